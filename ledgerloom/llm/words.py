@@ -3,49 +3,53 @@
 from __future__ import annotations
 
 #: Marks without width or meaning inside a word: soft hyphen, zero-width characters, joiners, byte order mark.
-UNSEEN = "[­​-‏⁠﻿]"
+UNSEEN = r"[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]"
 #: Markup between words: tags, character references, escaped line breaks, and punctuation outside ASCII.
 BETWEEN = r"</?[a-z][^<>\n]{0,60}>|&#x?[0-9a-f]+;?|&[a-z]+;|\\[nrt]|[\x{a0}-\x{a9}\x{ab}-\x{b4}\x{b6}-\x{b9}\x{bb}-\x{bf}\x{2000}-\x{206f}\x{3000}-\x{303f}\x{ff00}-\x{ff0f}]"
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def clean_texts(texts):
-    """Lower-case Arrow array without markup; null becomes empty."""
+def lower_texts(texts):
+    """Lower-case Arrow array without unseen marks; null becomes empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     t = pc.fill_null(texts, "")
     if isinstance(t, pa.ChunkedArray):
         t = t.combine_chunks()
-    t = pc.utf8_lower(t.cast(pa.large_string()))
-    t = pc.replace_substring_regex(t, UNSEEN, "")
-    return pc.replace_substring_regex(t, BETWEEN, " ")
+    return pc.replace_substring_regex(pc.utf8_lower(t.cast(pa.large_string())), UNSEEN, "")
 
 
-def words_of(texts):
-    """(document index, position in the document, 64-bit hash) of every word, and the number of words of each document.
+def clean_texts(texts):
+    """Lower-case Arrow array without unseen marks and markup; null becomes empty."""
+    import pyarrow.compute as pc
 
-    A word is a run of letters and digits of any script. ``texts`` is an Arrow array as ``clean_texts`` gives it.
-    """
+    return pc.replace_substring_regex(lower_texts(texts), BETWEEN, " ")
+
+
+def text_bytes(texts):
+    """All bytes of a large_string array, and where each text begins and the last ends."""
     import numpy as np
 
     n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], dtype="i8")[texts.offset : texts.offset + n + 1]
-    raw = texts.buffers()[2]
-    if raw is None or offsets[-1] == offsets[0]:
-        return np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "u8"), np.zeros(n, "i4")
-    data = np.frombuffer(raw, dtype="u1")[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    table = np.zeros(256, dtype=bool)
-    table[[*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)]] = True
-    inside = table[data]
+    _, offsets, raw = texts.buffers()
+    if offsets is None or raw is None or n == 0:
+        return np.zeros(0, "u1"), np.zeros(n + 1, "i8")
+    offsets = np.frombuffer(offsets, dtype="i8")[texts.offset : texts.offset + n + 1]
+    return np.frombuffer(raw, dtype="u1")[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def hash_runs(data, inside, offsets):
+    """Runs of ``inside`` bytes, none across two texts: (start of each run, its 64-bit hash, number of runs before each text)."""
+    import numpy as np
+
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     begins[heads] = inside[heads]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "u8"), np.zeros(n, "i4")
+        return starts, np.zeros(0, "u8"), np.zeros(len(offsets), "i8")
     with np.errstate(over="ignore"):
         power = np.full(len(data), np.uint64(MULTIPLIER))
         power[0] = 1
@@ -58,8 +62,21 @@ def words_of(texts):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    first = np.searchsorted(starts, offsets)
+    return starts, h, np.searchsorted(starts, offsets)
+
+
+def words_of(texts):
+    """(document index, position in the document, 64-bit hash) of every word, and the number of words of each document.
+
+    A word is a run of letters and digits of any script. ``texts`` is an Arrow array as ``clean_texts`` gives it.
+    """
+    import numpy as np
+
+    data, offsets = text_bytes(texts)
+    table = np.zeros(256, dtype=bool)
+    table[[*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)]] = True
+    starts, h, first = hash_runs(data, table[data], offsets)
     counts = np.diff(first)
-    doc = np.repeat(np.arange(n, dtype="i4"), counts)
+    doc = np.repeat(np.arange(len(texts), dtype="i4"), counts)
     pos = (np.arange(len(starts)) - np.repeat(first[:-1], counts)).astype("i4")
     return doc, pos, h, counts.astype("i4")
