@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .leakage import leaked_items
+from .mixing import mix_sources, mixture_shares, tokens_by_document
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,5 +17,20 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found,)}
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item with the number of documents it leaked into."""
+    found = p6_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("docs"))
+    return _t(spark, sf, "eval_items").select("item_id", "suite").join(found, "item_id", "left").fillna(0, ["docs"])
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(tokens_by_document(_t(spark, sf, "documents")), _t(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    tokens, targets = tokens_by_document(_t(spark, sf, "documents")), _t(spark, sf, "mix_targets")
+    return mixture_shares(tokens, targets, mix_sources(tokens, targets))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_mixture, p7_shares)}
 ORACLES: dict[str, str] = {}
