@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .abuse import abuse_scores, rates_by_source, train_on
 from .leakage import leaked_items
 from .mixing import mix_sources, mixture_shares, tokens_by_document
+from .sources import clean_source
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,5 +34,24 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture_shares(tokens, targets, mix_sources(tokens, targets))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_mixture, p7_shares)}
+def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
+    documents = _t(spark, sf, "documents")
+    model = train_on(documents, _t(spark, sf, "abuse_labels"))
+    return abuse_scores(documents.withColumn("source", clean_source("source")), model, ["source"]), model.threshold
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    scores, threshold = _scores(spark, sf)
+    return scores.where(F.col("score") >= threshold).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf)[0]
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return rates_by_source(*_scores(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 ORACLES: dict[str, str] = {}
