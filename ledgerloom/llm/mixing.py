@@ -147,7 +147,8 @@ def mix_sources(tokens: DataFrame, targets: DataFrame, block_tokens: int = 512,
         _permuted(F.col("before") + F.col("i"), F.col("slots"), F.xxhash64(F.lit(seed), "shard")).alias("slot"),
         _permuted(F.col("_nth"), F.col("blocks"), F.xxhash64(F.lit(seed), "number", "pass")).alias("block"),
     )
-    return slot.join(pack_blocks(tokens.where(F.col("source").isin(names)), block_tokens, seed), ["source", "block"]).select("shard", "slot", "source", "block", "pass", "at", "doc_id", "first_token", "n_tokens")
+    # the plan's few rows unfold into one per slot, which the planner can't foresee: never broadcast them
+    return slot.hint("merge").join(pack_blocks(tokens.where(F.col("source").isin(names)), block_tokens, seed), ["source", "block"]).select("shard", "slot", "source", "block", "pass", "at", "doc_id", "first_token", "n_tokens")
 
 
 def pack_blocks(tokens: DataFrame, block_tokens: int, seed: int = 7) -> DataFrame:
