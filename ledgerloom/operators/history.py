@@ -32,7 +32,7 @@ def merge_rounds(seg, payload):
 
 
 def _coalescer(entity: list[str], extra: list[str]) -> Callable:
-    cols = [*entity, "valid_from_ns", "payload", *extra]
+    cols = [*entity, "valid_from_ns", "_payload", *extra]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -48,7 +48,7 @@ def _coalescer(entity: list[str], extra: list[str]) -> Callable:
             ordinal += n
             arrays = [t.column(c).combine_chunks() for c in cols] + [pa.array(to, pa.int64()), pa.array(edge), pa.array(np.full(n, part, "i4")), pa.array(np.arange(ordinal - n, ordinal, dtype="i8"))]
             arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-            return pa.RecordBatch.from_arrays(arrays, names=[*cols, "valid_to_ns", "edge", "part", "ord"])
+            return pa.RecordBatch.from_arrays(arrays, names=[*cols, "valid_to_ns", "_edge", "_part", "_ord"])
 
         for b in batches:
             if not b.num_rows:
@@ -64,7 +64,7 @@ def _coalescer(entity: list[str], extra: list[str]) -> Callable:
                 x, y = a.slice(1), a.slice(0, n - 1)
                 unlike = pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False) | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
                 new[1:] |= unlike
-            ns, seg, payload = (t.column("valid_from_ns").to_numpy(), np.cumsum(new), t.column("payload").to_numpy())
+            ns, seg, payload = (t.column("valid_from_ns").to_numpy(), np.cumsum(new), t.column("_payload").to_numpy())
             # of rows at one time the last counts: its unit has no length otherwise
             unit = np.ones(n, dtype=bool)
             unit[:-1] = (seg[1:] != seg[:-1]) | (ns[1:] != ns[:-1])
@@ -91,7 +91,7 @@ def _edge_merger(columns: list[str]) -> Callable:
     def run(pdf):
         import numpy as np
 
-        pdf = pdf.sort_values(["part", "ord"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["_part", "_ord"], kind="stable").reset_index(drop=True)
         start, to = pdf["valid_from_ns"].to_numpy(), pdf["valid_to_ns"].to_numpy()
         if len(pdf) > 1:
             stay = np.ones(len(pdf), dtype=bool)
@@ -100,7 +100,7 @@ def _edge_merger(columns: list[str]) -> Callable:
             start, to = pdf["valid_from_ns"].to_numpy(), pdf["valid_to_ns"].to_numpy()
         # a run whose end is known has others behind it; it isn't the neighbour of the next edge row
         seg = np.concatenate([[0], np.cumsum(to[:-1] != 0)])
-        keep = np.flatnonzero(merge_rounds(seg, pdf["payload"].to_numpy()))
+        keep = np.flatnonzero(merge_rounds(seg, pdf["_payload"].to_numpy()))
         last = np.append(keep[1:], len(pdf)) - 1
         after = np.append(start[keep[1:]], 0)
         res = pdf.iloc[keep].copy()
@@ -126,12 +126,12 @@ def attribute_history(
     """
     spark = log.sparkSession
     rows = first_delivery(log, {**entity, **payload, "valid_from_ns": F.col(time).cast("long")}, uid, order).where("valid_from_ns IS NOT NULL")
-    rows = rows.select(*entity, "valid_from_ns", digest([F.col(c) for c in payload]).alias("payload"), *payload, F.col(order).alias("_order"), "uid")
+    rows = rows.select(*entity, "valid_from_ns", digest([F.col(c) for c in payload]).alias("_payload"), *payload, F.col(order).alias("_order"), "uid")
     keys = [F.col(c) for c in (*entity, "valid_from_ns", "_order", "uid")]
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*entity, "valid_from_ns", "payload", *payload)
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*entity, "valid_from_ns", "_payload", *payload)
     kinds = [T.StructField(f.name, f.dataType) for f in rows.schema]
-    schema = T.StructType([*kinds, T.StructField("valid_to_ns", T.LongType()), T.StructField("edge", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("ord", T.LongType())])
+    schema = T.StructType([*kinds, T.StructField("valid_to_ns", T.LongType()), T.StructField("_edge", T.BooleanType()), T.StructField("_part", T.IntegerType()), T.StructField("_ord", T.LongType())])
     runs = stage(rows.mapInArrow(_coalescer(list(entity), list(payload)), schema), "history")
     columns = [*entity, *payload, "valid_from_ns", "valid_to_ns"]
-    edges = runs.where("edge").groupBy(*entity).applyInPandas(_edge_merger(columns), runs.select(*columns).schema)
-    return runs.where("NOT edge").select(*columns).unionByName(edges)
+    edges = runs.where("_edge").groupBy(*entity).applyInPandas(_edge_merger(columns), runs.select(*columns).schema)
+    return runs.where("NOT _edge").select(*columns).unionByName(edges)
