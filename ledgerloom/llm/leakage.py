@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, stage
+from ..session import BROADCAST_BYTES, stage, tasks
 from .words import clean_texts, words_of
 
 INDEX = "doc_ids binary, n_words binary, terms binary, ends binary, doc binary, pos binary"
@@ -32,8 +32,8 @@ class Items:
     owners: list
 
 
-def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: float = 0.05, common: int = 8, window: int = 24) -> Items:
-    """Own words of the items: a run of ``stock_words`` words that more than ``stock_share`` of the different texts (and at least five)
+def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: float = 0.1, common: int = 8, window: int = 24) -> Items:
+    """Own words of the items: a run of ``stock_words`` words that more than ``stock_share`` of the different texts (and at least eight)
     contain is stock wording. Phrases in more than ``common`` different texts are no anchors, unless a window of the item has
     less than half of its phrases left; there all are.
     """
@@ -54,7 +54,7 @@ def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: f
 
     who = [distinct[t.tobytes()] for t in texts]
     runs = shared(stock_words, list(zip(who, texts, strict=True)))
-    limit, own = max(4, stock_share * len(distinct)), []
+    limit, own = max(7, stock_share * len(distinct)), []
     for t in texts:
         stock = np.zeros(len(t), dtype=bool)
         for i in range(len(t) - stock_words + 1):
@@ -79,8 +79,8 @@ def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: f
     return Items([r["item_id"] for r in rows], numbered, terms, phrases, list(at.values()))
 
 
-def build_index(documents: DataFrame, terms, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per shard (Arrow batch of documents): posting lists of ``terms`` (sorted 64-bit hashes; None: of all words).
+def build_index(documents: DataFrame, terms, text: str = "text", doc_id: str = "doc_id", shard_docs: int = 1000) -> DataFrame:
+    """One row per shard (at most ``shard_docs`` documents): posting lists of ``terms`` (sorted 64-bit hashes; None: of all words).
 
     Null and empty texts have no postings. Whole texts are indexed. Written into the shared folder.
     """
@@ -89,7 +89,7 @@ def build_index(documents: DataFrame, terms, text: str = "text", doc_id: str = "
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(k, shard_docs) for b in batches for k in range(0, b.num_rows, shard_docs)):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype("i8")
             doc, pos, h, n = words_of(clean_texts(b.column(1)))
             if terms is None:
@@ -132,74 +132,85 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
+def _padded(rows: list, fill: int):
+    import numpy as np
+
+    out = np.full((len(rows), max(map(len, rows))), fill, "i4")
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
 def align(words, streams, window: int, exchanged: int):
-    """Which ``streams`` (rows of term numbers, -1 behind the end) repeat ``window`` of ``words`` in order, one in ``exchanged`` differing.
+    """Which ``streams`` (rows of term numbers, -1 behind the end) repeat ``window`` of the same row of ``words`` (-2 behind the end) in
+    order, one in ``exchanged`` differing. A passage begins and ends with a repeated word.
 
-    Local alignment, all streams at once: a repeated word counts 1, an exchanged one -2, a stream word passed over (an interposed
-    line) -0.1. The best region is accepted if it meets the rule; if only a part of it may, it is traced back.
+    Local alignment of all rows at once: a repeated word counts 1, an exchanged one -2, a stream word passed over (an interposed
+    line) -0.1. The best region is accepted if it meets the rule; a row whose region holds less is looked at one by one if it
+    has half of the words that the rule asks for.
     """
     import numpy as np
 
     p, m = streams.shape
     slope = 0.1 * np.arange(m + 1, dtype="f4")
-    score, begin, hits = np.zeros((p, m + 1), "f4"), np.zeros((p, m + 1), "i4"), np.zeros((p, m + 1), "i4")
-    best, found = np.zeros(p, "f4"), np.zeros((p, 3), "i4")
-    every = np.arange(p)
-    cells = np.broadcast_to(np.arange(m + 1), (p, m + 1))
-    for i, w in enumerate(words):
-        same = streams == w
-        s, b, h = np.zeros_like(score), np.full_like(begin, i + 1), np.zeros_like(hits)
+    score, begin, hits = np.zeros((p, m + 1), "f4"), np.zeros((p, m + 1), "i2"), np.zeros((p, m + 1), "i2")
+    best, found, every = np.zeros(p, "f4"), np.zeros((p, 3), "i4"), np.arange(p)
+    cells = np.broadcast_to(np.arange(m + 1, dtype="i4"), (p, m + 1))
+    for i in range(words.shape[1]):
+        same = streams == words[:, i, None]
         diagonal = score[:, :-1] + np.where(same, np.float32(1), np.float32(-2))
-        up = score - 2
-        take = diagonal > up[:, 1:]
-        s[:, 1:] = np.where(take, diagonal, up[:, 1:])
-        b[:, 1:] = np.where(take, np.where(score[:, :-1] > 0, begin[:, :-1], i), begin[:, 1:])
-        h[:, 1:] = np.where(take, np.where(score[:, :-1] > 0, hits[:, :-1], 0) + same, hits[:, 1:])
-        dead = s <= 0
-        s[dead], h[dead], b[dead] = 0, 0, i + 1
+        s = score - np.float32(2)
+        b, h, live = begin.copy(), hits.copy(), score[:, :-1] > 0
+        take = diagonal > s[:, 1:]
+        s[:, 1:] = np.where(take, diagonal, s[:, 1:])
+        b[:, 1:] = np.where(take, np.where(live, begin[:, :-1], i), begin[:, 1:])
+        h[:, 1:] = np.where(take, hits[:, :-1] * live + same, hits[:, 1:])
+        np.maximum(s, 0, out=s)
         lifted = s + slope
         top = np.maximum.accumulate(lifted, axis=1)
         src = np.maximum.accumulate(np.where(lifted >= top, cells, 0), axis=1)
         score = top - slope
         begin, hits = np.take_along_axis(b, src, 1), np.take_along_axis(h, src, 1)
-        dead = score <= 0
-        score[dead], hits[dead], begin[dead] = 0, 0, i + 1
+        score[score <= 1e-4] = 0
         end = score.argmax(axis=1)
         now = score[every, end]
         better = now > best
-        best[better] = now[better]
-        found[better] = np.stack([begin[every, end], np.full(p, i), hits[every, end]], 1)[better]
+        if better.any():
+            best[better] = now[better]
+            found[better] = np.stack([begin[every, end], np.full(p, i), hits[every, end]], 1)[better]
     length, hit = found[:, 1] - found[:, 0] + 1, found[:, 2]
     ok = (length >= window) & (exchanged * hit >= (exchanged - 1) * length)
-    for k in np.flatnonzero(~ok & (exchanged * hit >= (exchanged - 1) * window)):
-        ok[k] = _part(words[found[k, 0] : found[k, 1] + 1], streams[k], window, exchanged)
+    for k in np.flatnonzero(~ok & (2 * exchanged * hit >= (exchanged - 1) * window)):
+        ok[k] = _part(words[k][words[k] >= 0], streams[k][streams[k] >= 0], window, exchanged)
     return ok
 
 
 def _part(words, stream, window: int, exchanged: int) -> bool:
-    """Whether a run of at least ``window`` of ``words`` meets the rule in the best alignment with ``stream``."""
+    """Whether a run of at least ``window`` of ``words`` meets the rule in the best alignment with ``stream``; exchanged words cost little."""
     import numpy as np
 
-    n, m = len(words), len(stream)
+    n, m, cost = len(words), len(stream), 0.3
     score = np.zeros((n + 1, m + 1))
+    slope = 0.1 * np.arange(m + 1)
     for i in range(1, n + 1):
-        row = np.maximum(0, score[i - 1] - 2)
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(stream == words[i - 1], 1, -2))
-        slope = 0.1 * np.arange(m + 1)
+        row = np.maximum(0, score[i - 1] - cost)
+        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(stream == words[i - 1], 1, -cost))
         score[i] = np.maximum.accumulate(row + slope) - slope
     flags = np.zeros(n, dtype=int)
     i, j = np.unravel_index(score.argmax(), score.shape)
-    while i and j and score[i, j] > 0:
+    while i and j and score[i, j] > 1e-9:
         if stream[j - 1] == words[i - 1] and abs(score[i, j] - score[i - 1, j - 1] - 1) < 1e-6:
             flags[i - 1], i, j = 1, i - 1, j - 1
-        elif abs(score[i, j] - score[i - 1, j - 1] + 2) < 1e-6:
+        elif abs(score[i, j] - score[i - 1, j - 1] + cost) < 1e-6:
             i, j = i - 1, j - 1
-        elif abs(score[i, j] - score[i - 1, j] + 2) < 1e-6:
+        elif abs(score[i, j] - score[i - 1, j] + cost) < 1e-6:
             i -= 1
         else:
             j -= 1
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return any(exchanged * (total[b] - total[a]) >= (exchanged - 1) * (b - a) for a in range(n) for b in range(a + window, n + 1))
+    total = np.append(0, np.cumsum(flags))
+    size = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
+    whole = np.append(flags, 0)[:, None] & np.append(0, flags)[None, :]  # a passage begins and ends with a repeated word
+    return bool((whole & (size >= window) & (exchanged * (total[None, :] - total[:, None]) >= (exchanged - 1) * size)).any())
 
 
 def _search(items: Items, rank, window: int, exchanged: int, least: int):
@@ -249,24 +260,15 @@ def _search(items: Items, rank, window: int, exchanged: int, least: int):
         hits = np.unique(np.stack([np.repeat(d, times), owners[which, 0], owners[which, 1]], 1), axis=0)
         pairs, counts = np.unique(hits[:, :2], axis=0, return_counts=True)
         pairs = pairs[counts >= least]
-        out = []
-        for item in np.unique(pairs[:, 1]):
-            docs = pairs[pairs[:, 1] == item, 0]
-            own = items.words[item]
-            asked = np.zeros(len(items.terms) + 1, dtype=bool)
-            asked[own] = True
-            streams = []
-            for k in docs:
-                s = place[base[k] : base[k] + n[k]]
-                streams.append(s[(s >= 0)])
-            order = np.argsort([len(s) for s in streams], kind="stable")
-            for group in np.array_split(order, max(1, len(order) // 64)):
-                longest = max(len(streams[k]) for k in group)
-                padded = np.full((len(group), longest), -1, "i4")
-                for r, k in enumerate(group):
-                    padded[r, : len(streams[k])] = streams[k]
-                good = align(own, padded, window, exchanged)
-                out += [(int(ids[docs[k]]), items.ids[item]) for k, g in zip(group, good, strict=True) if g]
+        streams = {}
+        for k in np.unique(pairs[:, 0]):
+            t = place[base[k] : base[k] + n[k]]
+            streams[k] = t[t >= 0]
+        out, order = [], np.argsort([len(streams[k]) for k in pairs[:, 0]], kind="stable")
+        for group in np.array_split(order, -(-len(order) // 128)) if len(order) else []:
+            w = _padded([items.words[i] for i in pairs[group, 1]], -2)
+            good = align(w, _padded([streams[k] for k in pairs[group, 0]], -1), window, exchanged)
+            out += [(int(ids[k]), items.ids[i]) for (k, i), g in zip(pairs[group], good, strict=True) if g]
         return out
 
     return run
@@ -307,4 +309,6 @@ def leaked_items(
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "item_id"])
 
+    # a shard takes long for its few bytes, so shards are dealt out one by one rather than by file size
+    index = index.repartition(max(tasks(index.sparkSession), -(-index.count() // 8)))
     return index.mapInArrow(run, "doc_id long, item_id long").distinct()
