@@ -77,10 +77,10 @@ def fold_words(texts):
     lone = inside & ~np.append(False, inside[:-1]) & ~np.append(inside[1:], False) & (data < 128) & ~digit[data]
     joint = np.zeros(len(data), dtype=bool)
     joint[1:-1] = (data[1:-1] == 32) & lone[:-2] & lone[2:]
-    pair = joint.copy()
-    pair[2:] |= joint[:-2]
-    twice = joint & (np.append(joint[2:], [False, False]) | np.append([False, False], joint[:-2]))
-    drop |= twice
+    twice = np.zeros(len(data), dtype=bool)
+    twice[:-2] |= joint[2:]
+    twice[2:] |= joint[:-2]
+    drop |= joint & twice
     kept = np.append(0, np.cumsum(~drop))
     offsets, data, inside = kept[offsets], data[~drop], inside[~drop]
     digits, blank = digit[data] & inside, (data == 32) | (data == 10) | (data == 13) | (data == 9)
@@ -388,9 +388,6 @@ def _fit(texts: list[str], labels: list[int], steps: int, batch: int, rounds: in
 
     t = Trainer(texts, labels, seed)
     rng, yes = t.rng, t.labels[t.text] > 0.5
-    if not yes.any() or yes.all():
-        t.model.threshold = 2.0  # nothing to learn from: no case
-        return t.model
     pos, neg = np.flatnonzero(yes), np.flatnonzero(~yes)
     w = np.zeros(len(t.text), "f4")
     for k in range(0, len(w), 8192):
@@ -426,11 +423,18 @@ def train(texts: list[str], labels: list[int], steps: int = 700, batch: int = 25
     import numpy as np
     import pyarrow as pa
 
-    y = np.asarray(labels)
+    y = np.asarray(labels, dtype="i8")
+    if not (y == 1).any() or not (y == 0).any():  # nothing to learn from: no case
+        model = new_model(np.zeros(1, "u8"))
+        model.threshold = 2.0
+        return model
     half = np.random.default_rng(seed).permutation(len(y)) % 2
     score = np.zeros(len(y))
     for k in (0, 1):
         here, there = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        if len(set(y[here])) < 2:
+            score[there] = y[there]
+            continue
         m = _fit([texts[i] for i in here], [labels[i] for i in here], steps // 2, batch, max(2, rounds - 2), seed + 1 + k)
         for i in range(0, len(there), 1000):
             part = there[i : i + 1000]
@@ -440,12 +444,11 @@ def train(texts: list[str], labels: list[int], steps: int = 700, batch: int = 25
         use[:] = True
     kept = np.flatnonzero(use)
     model = _fit([texts[i] for i in kept], [labels[i] for i in kept], steps, batch, rounds, seed)
-    if model.threshold <= 1:
-        levels = np.arange(0.5, 0.96, 0.05)
-        hit = np.array([(score[y == 1] >= t).sum() for t in levels])
-        miss, wrong = (y == 1).sum() - hit, np.array([(score[y == 0] >= t).sum() for t in levels])
-        f1 = 2 * hit / (2 * hit + miss + rarity * wrong + 1e-9)
-        model.threshold = float(np.median(levels[f1 >= f1.max() - 0.002]))
+    levels = np.arange(0.5, 0.96, 0.05)
+    hit = np.array([(score[y == 1] >= t).sum() for t in levels])
+    miss, wrong = (y == 1).sum() - hit, np.array([(score[y == 0] >= t).sum() for t in levels])
+    f1 = 2 * hit / (2 * hit + miss + rarity * wrong + 1e-9)
+    model.threshold = float(np.median(levels[f1 >= f1.max() - 0.002]))
     return model
 
 

@@ -155,10 +155,10 @@ def pack_blocks(tokens: DataFrame, block_tokens: int, seed: int = 7) -> DataFram
     """Columns ``source, block, at, doc_id, first_token, n_tokens``: where each document's tokens lie in its source's blocks.
 
     The order is that of hash groups and hashes within them. Offsets are prefix sums in two steps, group totals first, so that
-    no source is ever summed in one task. Documents without tokens lie nowhere.
+    no source is ever summed in one task. Documents without tokens or without source lie nowhere.
     """
     groups = 4 * tasks(tokens.sparkSession)
-    rows = tokens.where("n_tokens > 0").select("source", "doc_id", "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    rows = tokens.where("n_tokens > 0 AND source IS NOT NULL").select("source", "doc_id", "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     rows = rows.withColumn("group", F.pmod("h", F.lit(groups)).cast("int"))
     before = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("source", "group").agg(F.sum("n_tokens").alias("sum")).select("source", "group", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
