@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def fold_stream(rows: DataFrame, key: str, value: str, keep: Column, time: str = "valid_from_ns", order: str = "log_offset") -> DataFrame:
     """Changes of the current state, one row per key touched in a batch: ``key, value, time, order, alive``; update mode.
@@ -16,8 +18,8 @@ def fold_stream(rows: DataFrame, key: str, value: str, keep: Column, time: str =
     earlier one (log files follow each other). Within a batch rows are sorted by ``order``, so the size of a batch bounds what a key needs.
     """
     kinds = {f.name: f.dataType for f in rows.schema}
-    state = T.StructType([T.StructField("alive", T.BooleanType()), T.StructField("time", T.LongType()), T.StructField("order", T.LongType()), T.StructField("value", kinds[value])])
-    out = T.StructType([T.StructField(key, kinds[key]), T.StructField(value, kinds[value]), T.StructField(time, T.LongType()), T.StructField(order, T.LongType()), T.StructField("alive", T.BooleanType())])
+    state = T.StructType([T.StructField("alive", T.BooleanType()), T.StructField("time", T.LongType()), T.StructField("order", T.LongType()), T.StructField("value", T.StringType())])
+    out = T.StructType([T.StructField(key, kinds[key]), T.StructField(value, T.StringType()), T.StructField(time, T.LongType()), T.StructField(order, T.LongType()), T.StructField("alive", T.BooleanType())])
 
     def run(keys: tuple, chunks: Iterator, held) -> Iterator:
         import pandas as pd
@@ -31,8 +33,11 @@ def fold_stream(rows: DataFrame, key: str, value: str, keep: Column, time: str =
         held.update((alive, at, off, val))
         yield pd.DataFrame({key: [keys[0]], value: [val], time: [at], order: [off], "alive": [alive]})
 
-    slim = rows.select(key, F.col(value).alias("_v"), F.coalesce(keep, F.lit(False)).alias("_k"), F.coalesce(F.col(time), F.lit(-(1 << 63))).alias("_t"), F.col(order).alias("_o"))
-    return slim.groupBy(key).applyInPandasWithState(run, out, state, "update", "NoTimeout")
+    # values pass through Python as JSON, which keeps nulls and long numbers as they are
+    slim = rows.select(key, F.to_json(F.struct(F.col(value).alias("v")), FORMATS).alias("_v"), F.coalesce(keep, F.lit(False)).alias("_k"), F.coalesce(F.col(time), F.lit(-(1 << 63))).alias("_t"), F.col(order).alias("_o"))
+    changes = slim.groupBy(key).applyInPandasWithState(run, out, state, "update", "NoTimeout")
+    back = F.from_json(value, T.StructType([T.StructField("v", kinds[value])]), FORMATS)["v"]
+    return changes.withColumn(value, back)
 
 
 def fold_files(spark: SparkSession, folder: str, schema: T.StructType, key: str, value: str, keep: Column, sink: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
