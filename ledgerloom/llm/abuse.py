@@ -14,9 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import hash_runs, lower_texts, text_bytes
+from .words import hash_runs, lower_texts, parts_of, text_bytes
 
 WINDOW, STRIDE, GRAMS = 24, 12, 4096
+#: Bytes of text that a worker looks at in one go.
+PART_BYTES = 4 << 20
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = str.maketrans("авеѕіјкмнорстухԁɡοαερυκν", "abesijkmhopctyxdgoaepukv")
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -26,9 +28,9 @@ NUMBER, LONG = 1, 2  # hashes of all numbers and of all overlong runs
 def fold_words(texts):
     """Words with disguises folded: (hash of each word, start and length of each in ``data``, words before each text, ``data``).
 
-    Lower case; look-alike letters and stand-in signs become letters; hyphens within a word, single blanks between single
-    letters and letters beyond the first of three or more equal ones go; stars within a word become one star. A run with as many digits
-    as letters, or of seven or more hexadecimal digits, is a number; one of over 20 bytes, or part of over 40 bytes without
+    Lower case; look-alike letters and stand-in signs become letters; hyphens within a word, single blanks (dots, low lines) between
+    single letters and letters beyond the first of three or more equal ones go; stars within a word become one star. A run with as many digits
+    as letters, or of seven or more hexadecimal digits, is a number; one of over 20 bytes, or part of over 28 bytes without
     blank, is overlong. Of neighbouring numbers, and of overlong runs, one stands for all.
     """
     import numpy as np
@@ -73,10 +75,10 @@ def fold_words(texts):
     for k in np.flatnonzero(star):
         inside[heads[k]] = True
         drop[heads[k] + 1 : runs[k + 1]] = True
-    # blanks between single letters, at least two of them
+    # blanks, dots or low lines between single letters, at least two of them
     lone = inside & ~np.append(False, inside[:-1]) & ~np.append(inside[1:], False) & (data < 128) & ~digit[data]
     joint = np.zeros(len(data), dtype=bool)
-    joint[1:-1] = (data[1:-1] == 32) & lone[:-2] & lone[2:]
+    joint[1:-1] = ((data[1:-1] == 32) | (data[1:-1] == 46) | (data[1:-1] == 95)) & lone[:-2] & lone[2:]
     twice = np.zeros(len(data), dtype=bool)
     twice[:-2] |= joint[2:]
     twice[2:] |= joint[:-2]
@@ -98,7 +100,7 @@ def fold_words(texts):
     chunk = np.cumsum(blank)[starts]
     ends = np.append(np.flatnonzero(blank), len(data))
     behind = ends[chunk] - np.append(0, ends)[chunk]
-    h[(length > 20) | (behind > 40)] = LONG
+    h[(length > 20) | (behind > 28)] = LONG
     again = np.append(False, (h[1:] == h[:-1]) & (h[1:] <= LONG))
     again[first[:-1][first[:-1] < len(h)]] = False
     first = np.append(0, np.cumsum(~again))[first]
@@ -252,6 +254,17 @@ def score_texts(model: Model, texts, block: int = 8192):
     return scores
 
 
+def _score_cut(model: Model, segments):
+    """Score of one text that comes in segments: every two neighbours are joined at the seam, so no window is lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = segments.to_pylist()
+    seams = [" ".join([*a[-8192:].split()[-WINDOW:], *b[:8192].split()[:WINDOW]]) for a, b in zip(parts, parts[1:], strict=False)]
+    best = max(float(score_texts(model, pa.array([x], pa.large_string()))[0]) for x in parts)
+    return np.array([max(best, float(score_texts(model, pa.array(seams, pa.large_string())).max()) if seams else 0.0)], "f4")
+
+
 class Trainer:
     """Adam on windows of labelled texts, with masked words so that letters and context must do as well."""
 
@@ -452,8 +465,9 @@ def train(texts: list[str], labels: list[int], steps: int = 700, batch: int = 25
     return model
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
-    """At most ``most`` documents labelled bad and twice as many others (``text, bad``), drawn by hash of their id.
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int = 20_000) -> DataFrame:
+    """At most ``most`` documents labelled bad and twice as many others (``text, bad``), drawn by hash of their id, none of over
+    ``most_chars`` characters.
 
     Labels of a document are decided by majority of its distinct annotators; ties, unknown categories and documents without
     text are left out. The sample bounds what the driver reads.
@@ -463,7 +477,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = 2000) -
     votes = one.groupBy("doc_id").agg(F.sum(F.when(F.col("bad"), 1).otherwise(-1)).alias("v")).where("v <> 0")
     drawn = [votes.where(w).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for w, n in (("v > 0", most), ("v < 0", 2 * most))]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # no more than 3 x ``most`` rows
-    return documents.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id").select("doc_id", "text", (F.col("v") > 0).cast("int").alias("bad"))
+    return documents.select("doc_id", "text").where(F.length("text") <= most_chars).join(ids, "doc_id").select("doc_id", "text", (F.col("v") > 0).cast("int").alias("bad"))
 
 
 def train_on(documents: DataFrame, labels: DataFrame, most: int = 2000, **kw: object) -> Model:
@@ -480,10 +494,10 @@ def abuse_scores(documents: DataFrame, model: Model, keep: list[str] | None = No
         import pyarrow as pa
 
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                s = score_texts(model, part.column(len(keep))).astype("f8")
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(s)], names=[*keep, "score"])
+            for k, texts, cut in parts_of(b.column(len(keep)), 1000, PART_BYTES):
+                s = _score_cut(model, texts) if cut else score_texts(model, texts)
+                row = b.slice(k, len(s))
+                yield pa.RecordBatch.from_arrays([*(row.column(i) for i in range(len(keep))), pa.array(s.astype("f8"))], names=[*keep, "score"])
 
     return documents.select(*keep, "text").mapInArrow(run, f"{fields}, score double")
 

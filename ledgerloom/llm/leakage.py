@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, stage, tasks
-from .words import clean_texts, words_of
+from .words import clean_texts, parts_of, words_of
 
+#: Bytes of text that a worker looks at in one go.
+PART_BYTES = 8 << 20
 INDEX = "doc_ids binary, n_words binary, terms binary, ends binary, doc binary, pos binary"
 
 
@@ -89,24 +91,42 @@ def build_index(documents: DataFrame, terms, text: str = "text", doc_id: str = "
         import numpy as np
         import pyarrow as pa
 
-        for b in (b.slice(k, shard_docs) for b in batches for k in range(0, b.num_rows, shard_docs)):
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype("i8")
-            doc, pos, h, n = words_of(clean_texts(b.column(1)))
-            if terms is None:
-                known, t = np.unique(h, return_inverse=True)
-            else:
-                known, t = terms, np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
-                hit = np.flatnonzero(known[t] == h) if len(known) else np.zeros(0, "i8")
-                doc, pos, t = doc[hit], pos[hit], t[hit]
-            order = np.argsort(t.astype("i4"), kind="stable")
-            ends = np.cumsum(np.bincount(t, minlength=len(known)))
-            row = [ids, n, known, ends.astype("i8"), doc[order], pos[order]]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=[f.split()[0] for f in INDEX.split(", ")])
+        for b in batches:
+            every = b.column(0).to_numpy(zero_copy_only=False).astype("i8")
+            for k, texts, cut in parts_of(b.column(1), shard_docs, PART_BYTES):
+                doc, pos, h, n = _words(texts, terms) if cut else words_of(clean_texts(texts))
+                ids = every[k : k + len(n)]
+                if terms is None:
+                    known, t = np.unique(h, return_inverse=True)
+                else:
+                    known, t = terms, np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
+                    hit = np.flatnonzero(known[t] == h) if len(known) else np.zeros(0, "i8")
+                    doc, pos, t = doc[hit], pos[hit], t[hit]
+                order = np.argsort(t.astype("i4"), kind="stable")
+                ends = np.cumsum(np.bincount(t, minlength=len(known)))
+                row = [ids, n, known, ends.astype("i8"), doc[order], pos[order]]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=[f.split()[0] for f in INDEX.split(", ")])
 
     rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text)
     return stage(rows.mapInArrow(run, INDEX), "postings")
 
 
+def _words(segments, terms):
+    """``words_of`` for the segments of one long text: one document whose positions run on; only words among ``terms`` are kept."""
+    import numpy as np
+
+    found, total = [], 0
+    for k in range(len(segments)):
+        _, pos, h, n = words_of(clean_texts(segments.slice(k, 1)))
+        if terms is not None and len(terms):
+            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+            pos, h = pos[terms[at] == h], h[terms[at] == h]
+        found.append((pos + np.int32(total), h))
+        total += int(n.sum())
+    pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.zeros(len(h), "i4"), pos, h, np.array([total], "i4")
+
+
 def _unpack(row: dict):
     import numpy as np
 

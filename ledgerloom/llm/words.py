@@ -9,6 +9,40 @@ BETWEEN = r"</?[a-z][^<>\n]{0,60}>|&#x?[0-9a-f]+;?|&[a-z]+;|\\[nrt]|[\x{a0}-\x{a
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def parts_of(texts, rows: int, size: int):
+    """Cut an Arrow array of texts so that numpy never works on much more than ``size`` bytes: yields (first row, array of texts, cut).
+
+    A part has at most ``rows`` texts. A text of more than ``size`` bytes comes alone, as an array of its segments in order (``cut`` true),
+    split at blanks where there are any.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8")
+    k = 0
+    while k < len(n):
+        if n[k] > size:
+            yield k, pa.array(_segments(texts[k].as_py(), size // 4), pa.large_string()), True
+            k += 1
+            continue
+        stop = k + max(1, min(rows, int(np.searchsorted(np.cumsum(n[k : k + rows]), size, side="right"))))
+        yield k, texts.slice(k, stop - k), False
+        k = stop
+
+
+def _segments(text: str, size: int) -> list[str]:
+    out, at = [], 0
+    while at < len(text):
+        stop = at + size
+        if stop < len(text):
+            blank = max(text.rfind(" ", at, stop), text.rfind("\n", at, stop))
+            stop = blank + 1 if blank > at else stop
+        out.append(text[at:stop])
+        at = stop
+    return out
+
+
 def lower_texts(texts):
     """Lower-case Arrow array without unseen marks; null becomes empty."""
     import pyarrow as pa

@@ -14,7 +14,7 @@ def hashes(text):
 
 
 @pytest.mark.parametrize("disguised,plain", [
-    ("mo-ron", "moron"), ("MORON", "moron"), ("m0r0n", "moron"), ("you m o r o n here", "you moron here"), ("mo​ron", "moron"), ("мoron", "moron"),
+    ("mo-ron", "moron"), ("MORON", "moron"), ("m0r0n", "moron"), ("you m o r o n here", "you moron here"), ("m.o.r.o.n here", "moron here"), ("mo​ron", "moron"), ("мoron", "moron"),
     ("mororrrrn", "mororn"), ("m**n", "m*n"), ("m#ron", "m*ron"), ("a 123456 b", "a 9 b"), ("x de1234ad9 y", "x 17 y"), ("1 22 333", "4"),
 ])
 def test_disguises_fold(disguised, plain):
@@ -109,6 +109,21 @@ def test_scores_of_documents(spark):
     assert abuse.abuse_scores(docs.limit(0), model).count() == 0
 
 
+def test_text_cut_into_segments_scores_like_the_whole(monkeypatch):
+    from ledgerloom.llm.words import parts_of
+
+    texts, labels = phrases(4, 90)
+    model = abuse.train(texts, labels, steps=60)
+    long = "the build was slow " * 300 + "you are a moron and nobody likes you " + "the build was slow " * 300
+    for size in (400, 4000, 9000):
+        (k, segments, cut), = parts_of(pa.array([long]), 10, size)
+        assert cut and "".join(segments.to_pylist()) == long
+        whole = abuse.score_texts(model, pa.array([long]))[0]
+        assert abs(abuse._score_cut(model, segments)[0] - whole) < 0.2
+    parts = [(k, len(t), cut) for k, t, cut in parts_of(pa.array(["a" * 10, None, "b" * 10, "c" * 100, "", "d"]), 2, 50)]
+    assert parts == [(0, 2, False), (2, 1, False), (3, 9, True), (4, 2, False)]
+
+
 def test_labels_are_settled_by_majority(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(6)] + [(6, None)], "doc_id long, text string")
     labels = [(0, "a", "Hate "), (0, "b", "abuse"), (0, "c", "none"), (1, "a", "none"), (1, "a", "none"), (1, "b", "sexual"), (2, "a", None), (3, "a", "none"), (6, "a", "abuse"), (77, "a", "abuse"), (4, None, "none")]

@@ -71,6 +71,14 @@ def test_very_long_text_and_repeated_rows(spark):
     assert [tuple(x) for x in got] == [(1, 7)]
 
 
+def test_text_longer_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "PART_BYTES", 2000)
+    r, own, rows = make(6)
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(3000)) + " " + own[7] + " end" * 999), (2, own[8])], "doc_id long, text string")
+    got = leakage.leaked_items(docs, spark.createDataFrame(rows, "item_id long, suite string, text string")).collect()
+    assert sorted(tuple(x) for x in got) == [(1, 7), (2, 8)]
+
+
 def test_empty_tables_and_size_bound(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "s", "a b c"), (2, "s", None), (3, "s", "")], "item_id long, suite string, text string")

@@ -1,0 +1,30 @@
+"""Every registered query of the text operators on the smallest tables: columns, and what can be said without SQL."""
+
+import pytest
+
+from ledgerloom.llm.queries import QUERIES
+
+COLUMNS = {
+    "p6_found": {"doc_id", "item_id"},
+    "p6_items": {"item_id", "suite", "docs"},
+    "p7_mixture": {"shard", "slot", "source", "block", "pass", "at", "doc_id", "first_token", "n_tokens"},
+    "p7_shares": {"source", "target_share", "max_repeats", "target_tokens", "available_tokens", "used_tokens", "passes", "actual_share"},
+    "p8_found": {"doc_id"},
+    "p8_scores": {"doc_id", "source", "score"},
+    "p8_rates": {"source", "docs", "bad", "rate"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf, name):
+    df = QUERIES[name](spark, sf)
+    rows = df.collect()
+    assert set(df.columns) == COLUMNS[name]
+    if name.endswith("_found"):
+        assert len(set(rows)) == len(rows)
+    if name == "p8_scores":
+        assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+        assert all(0 <= r.score <= 1 for r in rows)
+    if name == "p7_shares":
+        assert abs(sum(r.actual_share for r in rows) - 1) < 1e-9
+        assert all(r.passes <= r.max_repeats for r in rows)
