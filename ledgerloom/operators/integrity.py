@@ -37,3 +37,11 @@ def remote_candidates(available: DataFrame, local: DataFrame) -> DataFrame:
 def counters(rows: DataFrame, **conditions: Column) -> DataFrame:
     """One row: number of rows and of those that meet each condition."""
     return rows.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(k) for k, c in conditions.items()))
+
+
+def assimilate(items: DataFrame, repo_id: str) -> DataFrame:
+    """Blob events for delivered content: ``items`` has blob_id (as expected), found_hash, found_size, path. Content that isn't what it was
+    announced as raises an error when its row is computed."""
+    wrong = F.concat(F.lit("unexpected content of "), F.coalesce("path", "blob_id"))
+    known = F.when(F.col("found_hash") == F.col("blob_id"), F.col("blob_id")).otherwise(F.raise_error(wrong).cast("string"))
+    return items.select(F.lit(repo_id).alias("repo_id"), known.alias("blob_id"), F.col("found_size").alias("blob_size"), F.lit(True).alias("has_blob"), "path")

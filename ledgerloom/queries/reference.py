@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import availability, integrity, logs, vfs
+from ..operators import availability, integrity, logs, upsert, vfs
 from ..operators.reduction import fold_increment, fold_latest
-from ..plans import filesystem, transfer
+from ..plans import filesystem, sync, transfer
 from ..session import shared_dir
 from ..sources import exchange, runlog
 from ..sources.inventory import Inventory
+from ..sources.logstore import LogStore
 from ..sources.walk import walk_files
 from ..streaming.fold import fold_files
 from .problems import _BLANKS, _first, _id
@@ -520,3 +521,59 @@ def st1_streaming_fold(spark: SparkSession, sf: str) -> DataFrame:
         part.coalesce(1).write.mode("append").parquet(f"{base}/log")
     state = fold_files(spark, f"{base}/log", rows.schema, "path", "blob_id", F.col("blob_id").isNotNull(), f"{base}/state", f"{base}/checkpoint")
     return state.select("path", "blob_id", "valid_from_ns")
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS log_offset, event_id, event_type FROM events")
+def q39_log_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended to a log in two transactions, compacted, and read back."""
+    e = Inventory(spark, sf).table("events").select("event_id", "event_type")
+    store = LogStore(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", e.schema)
+    middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    for part in (e.where(F.col("event_id") <= middle), e.where(F.col("event_id") > middle)):
+        with store.transaction():
+            store.append(part, ["event_id"])
+    store.compact(4)
+    return store.read()
+
+
+_ACTIONS = "(SELECT user_id, event_id, value, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'nochange' ELSE 'change' END AS action FROM events)"
+_EFFECTS = f"(SELECT *, lag(CASE WHEN action <> 'nochange' THEN {{'a': action, 'v': value}} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM {_ACTIONS})"
+
+
+def _actions(spark: SparkSession, sf: str) -> DataFrame:
+    e, kind = Inventory(spark, sf).table("events"), F.col("event_type")
+    return e.select("user_id", "event_id", "value", F.when(kind == "error", "delete").when(kind == "signup", "nochange").otherwise("change").alias("action"))
+
+
+def _empty(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id", "value").where("false")
+
+
+@query(f"SELECT user_id, event_id, value, action, CASE WHEN was.a = 'change' THEN was.v END AS previous, action = 'change' OR (action = 'delete' AND coalesce(was.a = 'change', false)) AS mutates FROM {_EFFECTS}")
+def q40_upsert_trace(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _actions(spark, sf)
+    return upsert.trace_actions(_empty(rows), rows, "user_id", "value", "event_id")
+
+
+@query(f"SELECT user_id, value FROM (SELECT * FROM {_ACTIONS} WHERE action <> 'nochange' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE action = 'change'")
+def q40_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _actions(spark, sf)
+    return upsert.upsert(_empty(rows), rows, "user_id", "value", "event_id")
+
+
+@query(f"SELECT count(*) AS processed, count(*) FILTER (action = 'change' OR (action = 'delete' AND was.a = 'change')) AS mutations FROM {_EFFECTS}")
+def q40_upsert_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.counts(q40_upsert_trace(spark, sf))
+
+
+@query("SELECT 'down' AS way, uid FROM remote WHERE uid NOT IN (SELECT uid FROM blobs) UNION ALL SELECT 'up', uid FROM blobs WHERE uid NOT IN (SELECT uid FROM remote)")
+def q41_sync_table(spark: SparkSession, sf: str) -> DataFrame:
+    inv = Inventory(spark, sf)
+    ways = sync.sync_table(inv.table("blobs_log"), inv.table("blobs_log_remote"))
+    return ways["down"].select(F.lit("down").alias("way"), "uid").unionByName(ways["up"].select(F.lit("up").alias("way"), "uid"))
+
+
+@query("SELECT 'here' AS repo_id, (SELECT max(log_offset) FROM blobs_log) AS last_blob_index, (SELECT max(log_offset) FROM files_log) AS last_file_index, (SELECT max(log_offset) FROM repository_metadata_log) AS last_name_index")
+def q41_positions(spark: SparkSession, sf: str) -> DataFrame:
+    inv = Inventory(spark, sf)
+    return sync.positions("here", {"blobs": inv.table("blobs_log"), "files": inv.table("files_log"), "repository_metadata": inv.table("repository_metadata_log")})

@@ -8,9 +8,14 @@ from helpers import ordered, rows_of
 from pyspark.sql import functions as F
 from test_inventory import random_log, sequential
 
+from ledgerloom.functions.paths import relative_path
+from ledgerloom.operators import integrity, upsert
+from ledgerloom.plans import sync
 from ledgerloom.sources import exchange, runlog
+from ledgerloom.sources.logstore import LogStore
 from ledgerloom.sources.walk import walk_files
 from ledgerloom.streaming.fold import fold_files
+from ledgerloom.streaming.tail import tail
 
 
 def test_exchange(spark, tmp_path):
@@ -86,3 +91,86 @@ def test_streaming_fold_and_restart(spark, tmp_path):
     deliver(rows[:50])
     got = deliver(rows[50:])  # takes up where the first one stopped
     assert rows_of(got.select("k", "v")) == ordered(sequential(rows))
+
+
+def test_log_store(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    store = LogStore(spark, str(tmp_path / "log"), T.StructType([T.StructField("v", T.LongType())]))
+    assert store.watermark() is None and store.read().count() == 0
+    with store.transaction():
+        assert store.append(spark.createDataFrame([(20,), (10,)], "v long"), ["v"]) == 2
+        with pytest.raises(RuntimeError), store.transaction():
+            pass
+    assert rows_of(store.read()) == [(0, 10), (1, 20)]
+    # a batch that was written but not published doesn't exist, and the next writer takes its place
+    spark.createDataFrame([(2, 99)], "log_offset long, v long").write.parquet(f"{store.path}/data/batch-1")
+    assert store.watermark() == 1 and store.read().count() == 2
+    with store.transaction():
+        assert store.append(spark.createDataFrame([(5,)], "v long"), ["v"]) == 1
+        assert store.append(spark.createDataFrame([], "v long"), ["v"]) == 0
+    assert rows_of(store.read(1)) == [(2, 5)] and store.read(2).count() == 0
+    store.compact()
+    with store.transaction():
+        store.append(spark.createDataFrame([(7,)], "v long"), ["v"])
+    assert rows_of(store.read()) == [(0, 10), (1, 20), (2, 5), (3, 7)]
+
+
+def test_tail_from_start_offset_and_head(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "log_offset long, v string"
+    write = lambda *o: spark.createDataFrame([(x, f"v{x}") for x in o], schema).coalesce(1).write.mode("append").parquet(log)
+
+    def drain(rows, name):
+        got = []
+        q = rows.writeStream.foreachBatch(lambda df, _: got.extend(r.log_offset for r in df.collect())).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(got)
+
+    write(0, 1, 2, 3, 4)
+    kind = spark.createDataFrame([], schema).schema
+    head = tail(spark, log, kind, "head")
+    write(5, 6)
+    assert drain(tail(spark, log, kind), "a") == [0, 1, 2, 3, 4, 5, 6]
+    assert drain(tail(spark, log, kind, 2), "b") == [2, 3, 4, 5, 6]
+    assert drain(head, "c") == [5, 6]
+
+
+def test_upserts(spark):
+    rows = [("change", 11), ("delete", None), ("nochange", None)]
+    current = spark.createDataFrame([("c", 10), ("d", 20), ("n", 30)], "k string, v int")
+    actions = spark.createDataFrame([(i, k, a, v) for i, (k, (a, v)) in enumerate(zip("cdnxyz", rows * 2))], "s long, k string, action string, v int")
+    traced = upsert.trace_actions(current, actions, "k", "v", "s")
+    assert rows_of(traced.select("k", "previous", "mutates")) == [("c", 10, True), ("d", 20, True), ("n", 30, False), ("x", None, True), ("y", None, False), ("z", None, False)]
+    assert tuple(upsert.counts(traced).first()) == (6, 3)
+    assert rows_of(upsert.upsert(current, actions, "k", "v", "s")) == [("c", 11), ("n", 30), ("x", 11)]
+    series = spark.createDataFrame([(i, None, a, v) for i, (a, v) in enumerate([("nochange", 1), ("change", 2), ("nochange", 9), ("change", 3), ("delete", 4), ("delete", 5), ("change", None), ("nochange", 0)])], "s long, k string, action string, v int")
+    got = upsert.trace_actions(current.limit(0), series, "k", "v", "s").orderBy("s").collect()
+    assert [r.previous for r in got] == [None, None, 2, 2, 3, None, None, None]
+    assert [r.mutates for r in got] == [False, True, False, True, True, False, True, False]
+
+
+def test_sync_is_idempotent(spark):
+    schema = "log_offset long, uid long, v string"
+    here = spark.createDataFrame([(0, 1, "a"), (1, 2, "b")], schema)
+    there = spark.createDataFrame([(0, 2, "b"), (1, 3, "c"), (2, 3, "again"), (3, 4, "d")], schema)
+    ways = sync.sync_table(here, there)
+    assert rows_of(ways["down"].select("uid", "v")) == [(3, "c"), (4, "d")] and rows_of(ways["up"].select("uid")) == [(1,)]
+    merged = here.unionByName(ways["down"])
+    assert sync.sync_table(merged, there, "down")["down"].count() == 0
+    assert rows_of(sync.sync_table(here, there, "down", read_to=2)["down"].select("uid")) == [(4,)]
+    seen = []
+    logs_of = dict.fromkeys(sync.ORDER, here)
+    sync.sync_repository(logs_of, dict.fromkeys(sync.ORDER, there), lambda table, way, rows: seen.append((table, way, rows.count())), "down")
+    assert seen == [("blobs", "down", 2), ("files", "down", 2), ("repository_metadata", "down", 2)]
+    assert rows_of(sync.merge_positions(sync.positions("r", {"blobs": here}), sync.positions("r", {"blobs": there}))) == [("r", 3)]
+
+
+def test_relative_paths_and_assimilation(spark):
+    assert relative_path("x.txt", "/r/d", "/r") == "d/x.txt" and relative_path("../y/", "/r/d", "/r") == "y/" and relative_path(".", "/r", "/r") == ""
+    for bad in ("../../z", "/rr/x"):
+        with pytest.raises(ValueError):
+            relative_path(bad, "/r/d", "/r")
+    items = spark.createDataFrame([("b1", "b1", 3, "p")], "blob_id string, found_hash string, found_size long, path string")
+    assert rows_of(integrity.assimilate(items, "r")) == [("r", "b1", 3, True, "p")]
+    with pytest.raises(Exception, match="unexpected content of p"):
+        integrity.assimilate(items.withColumn("found_hash", F.lit("z")), "r").collect()
