@@ -88,24 +88,22 @@ def _coalescer(entity: list[str], extra: list[str]) -> Callable:
 
 
 def _edge_merger(columns: list[str]) -> Callable:
-    def run(pdf):
+    def run(t):
         import numpy as np
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["_part", "_ord"], kind="stable").reset_index(drop=True)
-        start, to = pdf["valid_from_ns"].to_numpy(), pdf["valid_to_ns"].to_numpy()
-        if len(pdf) > 1:
-            stay = np.ones(len(pdf), dtype=bool)
-            stay[:-1] = ~((to[:-1] == 0) & (start[:-1] == start[1:]))
-            pdf = pdf[stay].reset_index(drop=True)
-            start, to = pdf["valid_from_ns"].to_numpy(), pdf["valid_to_ns"].to_numpy()
+        t = t.sort_by([("_part", "ascending"), ("_ord", "ascending")])
+        start, to = t.column("valid_from_ns").to_numpy(), t.column("valid_to_ns").to_numpy()
+        stay = np.ones(len(start), dtype=bool)
+        stay[:-1] = (to[:-1] != 0) | (start[:-1] != start[1:])
+        t, start, to = t.filter(pa.array(stay)), start[stay], to[stay]
         # a run whose end is known has others behind it; it isn't the neighbour of the next edge row
         seg = np.concatenate([[0], np.cumsum(to[:-1] != 0)])
-        keep = np.flatnonzero(merge_rounds(seg, pdf["_payload"].to_numpy()))
-        last = np.append(keep[1:], len(pdf)) - 1
+        keep = np.flatnonzero(merge_rounds(seg, t.column("_payload").to_numpy()))
+        last = np.append(keep[1:], len(start)) - 1
         after = np.append(start[keep[1:]], 0)
-        res = pdf.iloc[keep].copy()
-        res["valid_to_ns"] = np.where(to[last] != 0, to[last], after)
-        return res[columns]
+        res = t.take(pa.array(keep)).select(columns)
+        return res.set_column(columns.index("valid_to_ns"), "valid_to_ns", pa.array(np.where(to[last] != 0, to[last], after), pa.int64()))
 
     return run
 
@@ -133,5 +131,5 @@ def attribute_history(
     schema = T.StructType([*kinds, T.StructField("valid_to_ns", T.LongType()), T.StructField("_edge", T.BooleanType()), T.StructField("_part", T.IntegerType()), T.StructField("_ord", T.LongType())])
     runs = stage(rows.mapInArrow(_coalescer(list(entity), list(payload)), schema), "history")
     columns = [*entity, *payload, "valid_from_ns", "valid_to_ns"]
-    edges = runs.where("_edge").groupBy(*entity).applyInPandas(_edge_merger(columns), runs.select(*columns).schema)
+    edges = runs.where("_edge").groupBy(*entity).applyInArrow(_edge_merger(columns), runs.select(*columns).schema)
     return runs.where("NOT _edge").select(*columns).unionByName(edges)

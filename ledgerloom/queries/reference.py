@@ -279,7 +279,7 @@ def q17_availability(spark: SparkSession, sf: str) -> DataFrame:
     return availability.files_with_availability(inv.current_files(), inv.current_blobs(), inv.here)
 
 
-@query("""SELECT array_to_string(dir[1:n], '/') AS directory, sum(gone) AS missing, count(*) AS total
+@query("""SELECT array_to_string(dir[1:n], '/') AS directory, sum(gone)::BIGINT AS missing, count(*) AS total
  FROM (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p, p[1:greatest(len(p) - 1, 0)] AS dir, (blob_id NOT IN (SELECT blob_id FROM here))::INT AS gone, unnest(range(0, least(len(dir), 3) + 1)) AS n FROM cur_files)
  GROUP BY directory HAVING sum(gone) > 0 OR directory = ''""")
 def q18_missing_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -485,14 +485,14 @@ def q35_status_summary(spark: SparkSession, sf: str) -> DataFrame:
     return vfs.status_summary(inv.states().unionByName(inv.missing()))
 
 
-@query("SELECT digits, files, bytes, CASE WHEN t = 0 THEN 0 ELSE ((bytes::HUGEINT * 10000) // t::HUGEINT)::BIGINT END AS per_10000 FROM (SELECT length(CAST(blob_size AS VARCHAR)) AS digits, count(*) AS files, sum(blob_size::DECIMAL(38,0)) AS bytes, sum(sum(blob_size::DECIMAL(38,0))) OVER () AS t FROM here GROUP BY 1)")
+@query("SELECT digits, files, bytes::HUGEINT::VARCHAR AS bytes, CASE WHEN t = 0 THEN 0 ELSE ((bytes::HUGEINT * 10000) // t::HUGEINT)::BIGINT END AS per_10000 FROM (SELECT length(CAST(blob_size AS VARCHAR)) AS digits, count(*) AS files, sum(blob_size::DECIMAL(38,0)) AS bytes, sum(sum(blob_size::DECIMAL(38,0))) OVER () AS t FROM here GROUP BY 1)")
 def q36_size_bands(spark: SparkSession, sf: str) -> DataFrame:
     inv = Fixture(spark, sf)
     rows = availability.available(inv.current_blobs(), inv.here)
     bands = rows.groupBy(F.length(F.col("blob_size").cast("string")).alias("digits")).agg(F.count("*").alias("files"), F.sum(F.col("blob_size").cast("decimal(20,0)")).cast("decimal(38,0)").alias("bytes"))
     total = rows.agg(F.sum(F.col("blob_size").cast("decimal(20,0)")).alias("t"))
     part = F.when(F.col("t") == 0, 0).otherwise(F.expr("cast(cast(bytes as decimal(30,0)) * 10000 div t as bigint)"))
-    return bands.join(F.broadcast(total)).select("digits", "files", "bytes", F.coalesce(part, F.lit(0)).cast("long").alias("per_10000"))
+    return bands.join(F.broadcast(total)).select("digits", "files", F.col("bytes").cast("string").alias("bytes"), F.coalesce(part, F.lit(0)).cast("long").alias("per_10000"))
 
 
 @query("SELECT event_id, ts, (SELECT count(*) FROM events) AS total FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

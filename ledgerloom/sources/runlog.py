@@ -18,8 +18,7 @@ def at_most(level: str, most: str) -> Column:
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """Observations ``level, type, id, ts, data`` (other keys as a map of text). Cut-off files and lines without a closing brace are skipped
     up to the last complete line; rows without a readable time are dropped."""
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    lines = spark.read.text(path).where(F.rtrim("value").endswith("}"))
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).where(F.rtrim("value").endswith("}"))
     data = F.from_json("value", "map<string,string>")
     rows = lines.select(data.alias("data")).where("data IS NOT NULL")
     ts = F.try_to_timestamp(F.col("data")["timestamp"])

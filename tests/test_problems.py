@@ -75,6 +75,13 @@ def test_history_of_nothing(spark):
     assert got.count() == 0 and got.columns == ["repo_id", "has_blob", "valid_from_ns", "valid_to_ns"]
 
 
+def test_history_keeps_long_numbers_beside_nulls(spark):
+    big = (1 << 53) + 1
+    rows = [(i, i, "r", "b", None if i % 3 == 0 else big + i, True, None, i, 0, "", "", 0) for i in range(40)]
+    got = attribute_history(spark.createDataFrame(rows, BLOB_SCHEMA), {"repo_id": F.col("repo_id")}, {"blob_size": F.col("blob_size")})
+    assert [r.blob_size for r in got.orderBy("valid_from_ns").collect()] == [x[4] for x in rows]
+
+
 def test_merge_rounds_look_at_every_seam():
     import numpy as np
 
