@@ -101,6 +101,26 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return one.select(key, *(F.col(f"_one.{c}").alias(c) for c in rest))
 
 
+def runs(rows: DataFrame, key: str, order: str, block: int = 1 << 20) -> DataFrame:
+    """Runs of neighbouring rows (by ``order``, a whole number without repeats) with equal ``key``: ``key, first, last, rows``.
+
+    Runs are found within blocks of ``order`` and those that meet at a seam of blocks are joined; only a row per run and block goes on.
+    """
+    rows = rows.select(F.col(key).alias("_key"), F.col(order).alias("_at"), F.floor(F.col(order) / block).alias("_block"))
+    own = Window.partitionBy("_block").orderBy("_at")
+    new = (~F.col("_key").eqNullSafe(F.lag("_key").over(own)) | F.lag("_at").over(own).isNull()).cast("long")
+    parts = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(own))
+    parts = parts.groupBy("_block", "_run").agg(F.first("_key").alias("_key"), F.min("_at").alias("first"), F.max("_at").alias("last"), F.count("*").alias("rows"))
+    # what is left of a block: its outer runs; inner ones are done
+    ends = parts.withColumn("_outer", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy("_block"))))
+    seam = Window.orderBy("first")  # two rows a block at most
+    outer = ends.where("_outer").withColumn("_before", F.lag(F.struct("_block", "_run", "_key")).over(seam))
+    near = (F.col("_before._block") != F.col("_block")) & F.col("_before._key").eqNullSafe(F.col("_key"))
+    outer = outer.withColumn("_join", F.sum((~F.coalesce(near, F.lit(False))).cast("long")).over(seam.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = outer.groupBy("_join").agg(F.first("_key").alias("_key"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("rows")).drop("_join")
+    return ends.where("NOT _outer").select("_key", "first", "last", "rows").unionByName(joined).withColumnRenamed("_key", key)
+
+
 def compact(path_in: DataFrame, path_out: str, files: int) -> None:
     """Rewrite a table into ``files`` files of about equal size."""
     path_in.repartition(files).write.mode("errorifexists").parquet(path_out)

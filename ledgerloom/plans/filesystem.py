@@ -25,6 +25,13 @@ def remove_plan(files: DataFrame, selectors: list[str]) -> DataFrame:
     return rows.select("path").distinct().join(used).select("path", F.lit(None).cast("string").alias("blob_id"))
 
 
+def unmatched(files: DataFrame, selectors: list[str]) -> DataFrame:
+    """The selectors that hit no file, which forbid a removal: ``selector``."""
+    hits = reduce(DataFrame.unionByName, (select_files(files.select("path"), s).limit(1).select(F.lit(s).alias("_hit")) for s in selectors))
+    given = files.sparkSession.createDataFrame([(s,) for s in selectors], "selector string")
+    return given.join(hits, F.col("selector") == F.col("_hit"), "left_anti")
+
+
 def move_hint(source_is_file: bool, source_is_folder: bool, target_is_file: bool, target_is_folder: bool) -> str:
     """``file``, ``dir`` or ``unknown``; raises ValueError where the target forbids the move. A trailing slash makes a folder."""
     if target_is_file:

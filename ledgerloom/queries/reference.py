@@ -577,3 +577,14 @@ def q41_sync_table(spark: SparkSession, sf: str) -> DataFrame:
 def q41_positions(spark: SparkSession, sf: str) -> DataFrame:
     inv = Inventory(spark, sf)
     return sync.positions("here", {"blobs": inv.table("blobs_log"), "files": inv.table("files_log"), "repository_metadata": inv.table("repository_metadata_log")})
+
+
+@query("SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS rows FROM (SELECT *, row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events) GROUP BY event_type, g")
+def q42_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.runs(Inventory(spark, sf).table("events"), "event_type", "event_id", block=4096)
+
+
+@query("SELECT 'no such path' AS selector")
+def q20_unmatched_selectors(spark: SparkSession, sf: str) -> DataFrame:
+    inv = Fixture(spark, sf)
+    return filesystem.unmatched(inv.current_files(), [*inv.selectors(), "no such path"])

@@ -107,6 +107,21 @@ def test_previous_values(spark, block):
     assert rows_of(logs.first_seen(spark.createDataFrame(rows, "k string, s long, v int"), "k", "s").select("k", "s")) == ordered({k: (k, s) for k, s, _ in reversed(rows)}.values())
 
 
+@pytest.mark.parametrize("block", [1, 3, 10, 1000])
+def test_runs(spark, block):
+    r = random.Random(block)
+    keys = [r.choice(["a", "b", None]) for _ in range(50)]
+    keys[10:30] = ["a"] * 20  # over several blocks
+    want, start = [], 0
+    for i in range(1, 51):
+        if i == 50 or keys[i] != keys[start]:
+            want.append((keys[start], start, i - 1, i - start))
+            start = i
+    got = logs.runs(spark.createDataFrame(list(zip(keys, range(50))), "k string, s long"), "k", "s", block=block)
+    assert rows_of(got.select("k", "first", "last", "rows")) == ordered(want)
+    assert logs.runs(spark.createDataFrame([], "k string, s long"), "k", "s").count() == 0
+
+
 BLOBS = "blob_id string, repo_id string, blob_size long, path string"
 FILES = "path string, blob_id string"
 TREE = ["README.MD", "dir1/file1.txt", "dir1/file2.txt", "dir1/subdir/file3.txt", "dir2/file4.txt", "dir2/file5.txt", "dir2/file6.txt"]
@@ -202,6 +217,7 @@ def test_remove_plans(spark):
     assert paths("d/", "d/x.txt") == ["d/x.txt"]  # once
     assert paths("e") == ["e/z"] and paths("d1") == ["d10/y"]  # a prefix of text, not of components
     assert paths("d", "nothing") == []  # all or nothing
+    assert rows_of(filesystem.unmatched(files, ["d", "nothing", "e/"])) == [("nothing",)]
 
 
 def test_move_plans(spark):
