@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -306,11 +307,17 @@ def leaked_items(
     ``exchanged`` of them replaced. Layout, case, punctuation, markup and interposed lines do not matter; stock wording doesn't count.
 
     Null or empty texts on either side match nothing; an item stored under several ids is found under each. Repeated document ids
-    give one row. Items are a query set: beyond ``max_items_bytes`` of text an error asks for blocks of items.
+    give one row. Items are a query set: beyond ``max_items_bytes`` of text they are taken in blocks, drawn by hash of the id, each against
+    all documents; stock wording is judged within a block then.
     """
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_items_bytes:
-        raise ValueError(f"the items have {size} bytes; pass blocks of at most {max_items_bytes}")
+    blocks = 1 if size <= max_items_bytes else 2 * -(-size // max_items_bytes)
+    number = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    found = [_leaked(documents, items.where(number == k) if blocks > 1 else items, window, exchanged, least_phrases) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _leaked(documents: DataFrame, items: DataFrame, window: int, exchanged: int, least_phrases: int) -> DataFrame:
     asked = read_items(items.select("item_id", "text").collect(), window=window)
     index = build_index(documents, asked.terms)
     frequency = {r.term: r.docs for r in document_frequencies(index).collect()}  # no more rows than the items have words
@@ -331,4 +338,4 @@ def leaked_items(
 
     # a shard takes long for its few bytes, so shards are dealt out one by one rather than by file size
     index = index.repartition(max(tasks(index.sparkSession), -(-index.count() // 8)))
-    return index.mapInArrow(run, "doc_id long, item_id long").distinct()
+    return index.mapInArrow(run, "doc_id long, item_id long")

@@ -24,14 +24,17 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _ranks(vocabulary: str) -> dict[bytes, int]:
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 def count_tokens(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns of ``documents`` but ``text``, with ``n_tokens`` of the whole text; null and empty texts have 0.
 
     The vocabulary is read by the driver and sent to the workers (under 1 MB); strings of special tokens are ordinary text.
     """
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+    shared = documents.sparkSession.sparkContext.broadcast(_ranks(vocabulary))
     keep = [c for c in documents.columns if c != text]
     schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType())])
 
@@ -188,3 +191,27 @@ def mixture_shares(tokens: DataFrame, targets: DataFrame, mixture: DataFrame) ->
         number("available").alias("available_tokens"), number("used").alias("used_tokens"), number("passes").alias("passes"),
         F.coalesce(number("used") / F.sum(number("used")).over(whole), F.lit(0.0)).alias("actual_share"),
     )
+
+
+def fill_blocks(mixture: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The token ids of a mixture: ``shard, slot, source, tokens``, one row per slot of at most a block's length.
+
+    Documents are tokenized once and joined to their pieces; only the piece of each goes on to its slot.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(_ranks(vocabulary))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import tiktoken
+
+        coder = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        for b in batches:
+            ids = [coder.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
+
+    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    whole = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    part = F.slice("tokens", F.col("first_token").cast("int") + 1, F.col("n_tokens").cast("int"))
+    pieces = mixture.join(whole, "doc_id").select("shard", "slot", "source", "at", part.alias("part"))
+    blocks = pieces.groupBy("shard", "slot", "source").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    return blocks.select("shard", "slot", "source", F.flatten("parts.part").alias("tokens"))

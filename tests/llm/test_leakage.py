@@ -79,14 +79,20 @@ def test_text_longer_than_a_part(spark, monkeypatch):
     assert sorted(tuple(x) for x in got) == [(1, 7), (2, 8)]
 
 
-def test_empty_tables_and_size_bound(spark):
+def test_items_in_blocks(spark):
+    r, own, rows = make(1)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts_from(r, own))], "doc_id long, text string")
+    items = spark.createDataFrame(rows, "item_id long, suite string, text string")
+    whole, parts = leakage.leaked_items(docs, items), leakage.leaked_items(docs, items, max_items_bytes=6000)
+    assert set(whole.collect()) == set(parts.collect()) and parts.count() == len(set(parts.collect()))
+
+
+def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "s", "a b c"), (2, "s", None), (3, "s", "")], "item_id long, suite string, text string")
     assert leakage.leaked_items(docs, items).count() == 0
     assert leakage.leaked_items(docs.limit(0), items).count() == 0
     assert leakage.leaked_items(docs, items.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        leakage.leaked_items(docs, items, max_items_bytes=3)
 
 
 def test_index_holds_every_posting(spark):

@@ -89,13 +89,23 @@ def test_nothing_to_mix(spark, mixed):
     assert mixing.mixture_shares(tokens.limit(0), targets, mixing.mix_sources(tokens.limit(0), targets)).count() == 3
 
 
-def test_token_counts_agree_with_the_tokenizer(mixed):
-    import base64
+def test_blocks_filled_with_tokens(spark, mixed):
+    _, _, mixture, docs = mixed
+    documents = spark.createDataFrame([(d[0], d[1], "x") for d in docs], "doc_id long, text string, slot string")
+    want = collections.defaultdict(list)
+    for r in sorted(mixture.collect(), key=lambda r: r.at):
+        want[r.shard, r.slot] += encoder().encode_ordinary(docs[r.doc_id][1])[r.first_token : r.first_token + r.n_tokens]
+    got = {(r.shard, r.slot): r.tokens for r in mixing.fill_blocks(mixture, documents).collect()}
+    assert got == want
+
 
+def encoder():
     import tiktoken
 
-    with open(mixing.VOCABULARY, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks=mixing._ranks(mixing.VOCABULARY), special_tokens={})
+
+
+def test_token_counts_agree_with_the_tokenizer(mixed):
+    coder = encoder()
     want = {d[0]: len(coder.encode_ordinary(d[1] or "")) for d in mixed[3]}
     assert {r.doc_id: r.n_tokens for r in mixed[0].collect()} == want
