@@ -22,7 +22,7 @@ from ..sources.inventory import Inventory
 from ..sources.logstore import LogStore
 from ..sources.walk import walk_files
 from ..streaming.fold import fold_files
-from .problems import _BLANKS, _first, _id
+from .problems import _first, _id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
