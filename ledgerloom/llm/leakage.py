@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_BYTES, stage, tasks
 from .words import clean_texts, parts_of, words_of
 
+#: Stock wording is in at least so many different items.
+STOCK_TEXTS = 8
 #: Bytes of text that a worker looks at in one go.
 PART_BYTES = 8 << 20
 INDEX = "doc_ids binary, n_words binary, terms binary, ends binary, doc binary, pos binary"
@@ -35,10 +37,10 @@ class Items:
     owners: list
 
 
-def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: float = 0.1, common: int = 8, window: int = 24) -> Items:
+def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: float = 0.1, common: int = 8, window: int = 24, stock: set | None = None) -> Items:
     """Own words of the items: a run of ``stock_words`` words that more than ``stock_share`` of the different texts (and at least eight)
     contain is stock wording. Phrases in more than ``common`` different texts are no anchors, unless a window of the item has
-    less than half of its phrases left; there all are.
+    less than half of its phrases left; there all are. ``stock`` gives the stock runs, if ``rows`` aren't all items.
     """
     import numpy as np
     import pyarrow as pa
@@ -56,14 +58,16 @@ def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: f
         return seen
 
     who = [distinct[t.tobytes()] for t in texts]
-    runs = shared(stock_words, list(zip(who, texts, strict=True)))
-    limit, own = max(7, stock_share * len(distinct)), []
+    if stock is None:
+        limit = max(STOCK_TEXTS - 1, stock_share * len(distinct))
+        stock = {k for k, v in shared(stock_words, list(zip(who, texts, strict=True))).items() if len(v) > limit}
+    own = []
     for t in texts:
-        stock = np.zeros(len(t), dtype=bool)
+        common_words = np.zeros(len(t), dtype=bool)
         for i in range(len(t) - stock_words + 1):
-            if len(runs[t[i : i + stock_words].tobytes()]) > limit:
-                stock[i : i + stock_words] = True
-        own.append(t[~stock])
+            if t[i : i + stock_words].tobytes() in stock:
+                common_words[i : i + stock_words] = True
+        own.append(t[~common_words])
     terms = np.unique(np.concatenate(own)) if own else np.zeros(0, "u8")
     numbered = [np.searchsorted(terms, t).astype("i4") for t in own]
     often = {k: len(v) for k, v in shared(phrase, list(zip(who, numbered, strict=True))).items()}
@@ -82,6 +86,26 @@ def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: f
     return Items([r["item_id"] for r in rows], numbered, terms, phrases, list(at.values()))
 
 
+def stock_runs(items: DataFrame, stock_words: int = 8, stock_share: float = 0.1) -> set:
+    """The runs of words that count as stock wording, found over all items by Spark. Each is in over ``stock_share`` of the texts, so there are
+    no more than 1 / ``stock_share`` times the words of an item on average."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            _, _, h, n = words_of(clean_texts(b.column(0)))
+            for t in np.split(h, np.cumsum(n)[:-1]):
+                grams = list({t[i : i + stock_words].tobytes() for i in range(len(t) - stock_words + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()] * len(grams), pa.binary()), pa.array(grams, pa.binary())], names=["words", "gram"])
+
+    rows = items.where(F.length("text") > 0).select("text").mapInArrow(run, "words binary, gram binary").select(F.xxhash64("words").alias("words"), "gram").distinct()
+    texts = rows.select("words").distinct().count()
+    often = rows.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > max(STOCK_TEXTS - 1, stock_share * texts))
+    return {bytes(r.gram) for r in often.select("gram").collect()}
+
+
 def build_index(documents: DataFrame, terms, text: str = "text", doc_id: str = "doc_id", shard_docs: int = 1000) -> DataFrame:
     """One row per shard (at most ``shard_docs`` documents): posting lists of ``terms`` (sorted 64-bit hashes; None: of all words).
 
@@ -308,17 +332,18 @@ def leaked_items(
 
     Null or empty texts on either side match nothing; an item stored under several ids is found under each. Repeated document ids
     give one row. Items are a query set: beyond ``max_items_bytes`` of text they are taken in blocks, drawn by hash of the id, each against
-    all documents; stock wording is judged within a block then.
+    all documents; stock wording is judged over all items.
     """
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 if size <= max_items_bytes else 2 * -(-size // max_items_bytes)
     number = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    found = [_leaked(documents, items.where(number == k) if blocks > 1 else items, window, exchanged, least_phrases) for k in range(blocks)]
+    stock = stock_runs(items) if blocks > 1 else None
+    found = [_leaked(documents, items.where(number == k) if blocks > 1 else items, window, exchanged, least_phrases, stock) for k in range(blocks)]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _leaked(documents: DataFrame, items: DataFrame, window: int, exchanged: int, least_phrases: int) -> DataFrame:
-    asked = read_items(items.select("item_id", "text").collect(), window=window)
+def _leaked(documents: DataFrame, items: DataFrame, window: int, exchanged: int, least_phrases: int, stock: set | None) -> DataFrame:
+    asked = read_items(items.select("item_id", "text").collect(), window=window, stock=stock)
     index = build_index(documents, asked.terms)
     frequency = {r.term: r.docs for r in document_frequencies(index).collect()}  # no more rows than the items have words
 

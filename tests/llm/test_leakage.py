@@ -79,6 +79,15 @@ def test_text_longer_than_a_part(spark, monkeypatch):
     assert sorted(tuple(x) for x in got) == [(1, 7), (2, 8)]
 
 
+def test_stock_runs_agree(spark):
+    _, own, rows = make(4)
+    items = spark.createDataFrame(rows, "item_id long, suite string, text string")
+    as_rows = [{"item_id": i, "text": t} for i, _, t in rows]
+    stock = leakage.stock_runs(items)
+    a, b = leakage.read_items(as_rows), leakage.read_items(as_rows, stock=stock)
+    assert stock and all((x == y).all() for x, y in zip(a.words, b.words))
+
+
 def test_items_in_blocks(spark):
     r, own, rows = make(1)
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts_from(r, own))], "doc_id long, text string")
