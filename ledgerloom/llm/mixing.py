@@ -180,10 +180,10 @@ def pack_blocks(tokens: DataFrame, block_tokens: int, seed: int = 7) -> DataFram
 def mixture_shares(tokens: DataFrame, targets: DataFrame, mixture: DataFrame) -> DataFrame:
     """One row per target source: its target and actual share of the mixture, tokens wanted, available and used, passes used."""
     wanted = _targets(targets)
-    total = tokens.agg(F.sum("n_tokens").alias("all_tokens"))
+    total = F.coalesce(tokens.agg(F.sum("n_tokens")).scalar(), F.lit(0))
     have = tokens.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     used = mixture.groupBy("source").agg(F.sum("n_tokens").alias("used"), (F.max("pass") + 1).alias("passes"))
-    out = wanted.join(have, "source", "left").join(used, "source", "left").join(F.broadcast(total))
+    out = wanted.join(have, "source", "left").join(used, "source", "left").withColumn("all_tokens", total)
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     whole = Window.partitionBy(F.lit(1))  # one row per target source
     return out.select(
