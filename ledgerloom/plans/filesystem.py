@@ -13,16 +13,15 @@ from ..operators.vfs import ADDABLE
 def select_files(files: DataFrame, selector: str) -> DataFrame:
     """The file of exactly this path if there is one, else all files whose path starts with it."""
     exact = files.where(F.col("path") == selector)
-    found = exact.limit(1).agg(F.count("*").alias("_hit"))
-    return exact.unionByName(files.where(F.col("path").startswith(selector)).join(F.broadcast(found.where("_hit = 0")).drop("_hit")))
+    return exact.unionByName(files.where(F.col("path").startswith(selector) & (exact.agg(F.count("*")).scalar() == 0)))
 
 
 def remove_plan(files: DataFrame, selectors: list[str]) -> DataFrame:
     """Deletions ``path, blob_id`` (null) of all files the selectors hit, each once; nothing at all if a selector hits nothing."""
     hits = [select_files(files.select("path"), s).select("path", F.lit(i).alias("_by")) for i, s in enumerate(selectors)]
     rows = reduce(DataFrame.unionByName, hits)
-    used = F.broadcast(rows.agg(F.countDistinct("_by").alias("_used")).where(F.col("_used") == len(selectors)).drop("_used"))
-    return rows.select("path").distinct().join(used).select("path", F.lit(None).cast("string").alias("blob_id"))
+    used = rows.agg(F.countDistinct("_by")).scalar()
+    return rows.where(used == len(selectors)).select("path", F.lit(None).cast("string").alias("blob_id")).distinct()
 
 
 def unmatched(files: DataFrame, selectors: list[str]) -> DataFrame:
@@ -61,9 +60,8 @@ def move_check(files: DataFrame, source: str, target: str, hint: str = "unknown"
 def move_plan(files: DataFrame, source: str, target: str, hint: str = "unknown") -> DataFrame:
     """Events ``path, blob_id``: a deletion of each old path and an insertion of each new one; none if anything forbids the move."""
     checked = move_check(files, source, target, hint)
-    free = F.broadcast(checked.agg(F.count("violation").alias("_bad")).where("_bad = 0").drop("_bad"))
     pair = F.array(F.struct("path", F.lit(None).cast("string").alias("blob_id")), F.struct(F.col("new_path").alias("path"), "blob_id"))
-    return checked.join(free).select(F.inline(pair))
+    return checked.where(checked.agg(F.count("violation")).scalar() == 0).select(F.inline(pair))
 
 
 def materialise_plan(states: DataFrame) -> DataFrame:

@@ -35,5 +35,6 @@ def arrived(plan: DataFrame, events: DataFrame) -> DataFrame:
 
 def completeness(plan: DataFrame, events: DataFrame) -> DataFrame:
     """One row: ``expected, copied, complete``."""
-    a, b = plan.agg(F.count("*").alias("expected")), arrived(plan, events).agg(F.count("*").alias("copied"))
-    return a.join(F.broadcast(b)).withColumn("complete", F.col("copied") >= F.col("expected"))
+    copied = arrived(plan, events).agg(F.count("*")).scalar()
+    out = plan.agg(F.count("*").alias("expected")).select("expected", copied.alias("copied"))
+    return out.withColumn("complete", F.col("copied") >= F.col("expected"))

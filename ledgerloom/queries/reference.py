@@ -490,9 +490,9 @@ def q36_size_bands(spark: SparkSession, sf: str) -> DataFrame:
     inv = Fixture(spark, sf)
     rows = availability.available(inv.current_blobs(), inv.here)
     bands = rows.groupBy(F.length(F.col("blob_size").cast("string")).alias("digits")).agg(F.count("*").alias("files"), F.sum(F.col("blob_size").cast("decimal(20,0)")).cast("decimal(38,0)").alias("bytes"))
-    total = rows.agg(F.sum(F.col("blob_size").cast("decimal(20,0)")).alias("t"))
+    total = rows.agg(F.sum(F.col("blob_size").cast("decimal(20,0)"))).scalar()
     part = F.when(F.col("t") == 0, 0).otherwise(F.expr("cast(cast(bytes as decimal(30,0)) * 10000 div t as bigint)"))
-    return bands.join(F.broadcast(total)).select("digits", "files", F.col("bytes").cast("string").alias("bytes"), F.coalesce(part, F.lit(0)).cast("long").alias("per_10000"))
+    return bands.withColumn("t", total).select("digits", "files", F.col("bytes").cast("string").alias("bytes"), F.coalesce(part, F.lit(0)).cast("long").alias("per_10000"))
 
 
 @query("SELECT event_id, ts, (SELECT count(*) FROM events) AS total FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -500,7 +500,7 @@ def q37_newest(spark: SparkSession, sf: str) -> DataFrame:
     """The 50 newest events and how many there are."""
     e = Inventory(spark, sf).table("events")
     top = e.select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-    return top.join(F.broadcast(e.agg(F.count("*").alias("total"))))
+    return top.select("*", e.agg(F.count("*")).scalar().alias("total"))
 
 
 @query("SELECT uid, 'blobs' AS log, valid_from FROM blobs UNION ALL SELECT uid, 'files', valid_from FROM files UNION ALL SELECT uid, 'names', valid_from FROM names")
