@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.vfs import ADDABLE
 
 
+def _hits(files: DataFrame, selectors: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Files with each selector that hits them (``_by``, ``_exact``), and one row per selector that hits any (``_by``, ``_any``: exactly one)."""
+    path = F.col("path")
+    tests = F.array(*(F.struct(F.lit(s).alias("_by"), (path == s).alias("_exact"), path.startswith(s).alias("_ok")) for s in selectors))
+    rows = files.withColumn("_hit", F.explode(F.filter(tests, lambda x: x["_ok"]))).select("*", "_hit._by", "_hit._exact").drop("_hit")
+    return rows, rows.groupBy("_by").agg(F.max("_exact").alias("_any"))
+
+
+def _chosen(rows: DataFrame, by: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(by), "_by").where("_exact OR NOT _any").drop("_exact", "_any")  # one row per selector
+
+
 def select_files(files: DataFrame, selector: str) -> DataFrame:
     """The file of exactly this path if there is one, else all files whose path starts with it."""
-    exact = files.where(F.col("path") == selector)
-    return exact.unionByName(files.where(F.col("path").startswith(selector) & (exact.agg(F.count("*")).scalar() == 0)))
+    return _chosen(*_hits(files, [selector])).drop("_by")
 
 
 def remove_plan(files: DataFrame, selectors: list[str]) -> DataFrame:
     """Deletions ``path, blob_id`` (null) of all files the selectors hit, each once; nothing at all if a selector hits nothing."""
-    hits = [select_files(files.select("path"), s).select("path", F.lit(i).alias("_by")) for i, s in enumerate(selectors)]
-    rows = reduce(DataFrame.unionByName, hits)
-    used = rows.agg(F.countDistinct("_by")).scalar()
-    return rows.where(used == len(selectors)).select("path", F.lit(None).cast("string").alias("blob_id")).distinct()
+    rows, by = _hits(files.select("path"), selectors)
+    rows = _chosen(rows, by).where(by.agg(F.count("*")).scalar() == len(set(selectors)))
+    return rows.select("path").distinct().select("path", F.lit(None).cast("string").alias("blob_id"))
 
 
 def unmatched(files: DataFrame, selectors: list[str]) -> DataFrame:
     """The selectors that hit no file, which forbid a removal: ``selector``."""
-    hits = reduce(DataFrame.unionByName, (select_files(files.select("path"), s).limit(1).select(F.lit(s).alias("_hit")) for s in selectors))
     given = files.sparkSession.createDataFrame([(s,) for s in selectors], "selector string")
-    return given.join(hits, F.col("selector") == F.col("_hit"), "left_anti")
+    return given.join(_hits(files.select("path"), selectors)[1], F.col("selector") == F.col("_by"), "left_anti")
 
 
 def move_hint(source_is_file: bool, source_is_folder: bool, target_is_file: bool, target_is_folder: bool) -> str:

@@ -44,11 +44,8 @@ def sync_repository(local: dict[str, DataFrame], remote: dict[str, DataFrame], a
 def positions(repo_id: str, logs: dict[str, DataFrame]) -> DataFrame:
     """How far a repository's own logs go, as one row of sync states."""
     cols = {"blobs": "last_blob_index", "files": "last_file_index", "repository_metadata": "last_name_index"}
-    row = None
-    for table, log in logs.items():
-        one = log.agg(F.max("log_offset").alias(cols[table])).select(F.lit(repo_id).alias("repo_id"), cols[table])
-        row = one if row is None else row.join(one, "repo_id")
-    return row
+    tops = [log.agg(F.max("log_offset").alias("_top")).select(F.lit(repo_id).alias("repo_id"), *(F.col("_top").alias(c) if t == table else F.lit(None).cast("long").alias(c) for t, c in cols.items())) for table, log in logs.items()]
+    return max_positions(*tops)
 
 
 def merge_positions(*states: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def test_sync_is_idempotent(spark):
     logs_of = dict.fromkeys(sync.ORDER, here)
     sync.sync_repository(logs_of, dict.fromkeys(sync.ORDER, there), lambda table, way, rows: seen.append((table, way, rows.count())), "down")
     assert seen == [("blobs", "down", 2), ("files", "down", 2), ("repository_metadata", "down", 2)]
-    assert rows_of(sync.merge_positions(sync.positions("r", {"blobs": here}), sync.positions("r", {"blobs": there}))) == [("r", 3)]
+    assert rows_of(sync.merge_positions(sync.positions("r", {"blobs": here}), sync.positions("r", {"blobs": there}))) == [("r", 3, None, None)]
 
 
 def test_relative_paths_and_assimilation(spark):
