@@ -16,7 +16,7 @@ from ..functions import text
 from ..operators import availability, integrity, logs, upsert, vfs
 from ..operators.reduction import fold_increment, fold_latest
 from ..plans import filesystem, sync, transfer
-from ..session import shared_dir
+from ..session import shared_dir, stage
 from ..sources import exchange, runlog
 from ..sources.inventory import Inventory
 from ..sources.logstore import LogStore
@@ -95,8 +95,15 @@ class Fixture(Inventory):
     def __init__(self, spark: SparkSession, root: str) -> None:
         super().__init__(spark, root)
         self.here, self.there = self.largest_repositories(2)
+        self._paths: DataFrame | None = None
 
     def paths(self) -> DataFrame:
+        """One row per path, from which the derived tables are made; written once for all of them."""
+        if self._paths is None:
+            self._paths = stage(self._all_paths(), "paths")
+        return self._paths
+
+    def _all_paths(self) -> DataFrame:
         p = self.files().groupBy("path").agg(F.min("uid").alias("n")).join(self.current_files().select("path", F.col("blob_id").alias("f")), "path", "left")
         size = availability.present(self.current_blobs(), self.here)
         p = p.join(size, F.col("f") == F.col("_blob"), "left").select("path", "n", "f", F.col("_size").alias("l"))
@@ -430,7 +437,8 @@ def q29_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 'Sink ' || user_id AS label, epoch_us(ts) // 1000 AS at_ms, event_id * 1000 / 1e9 AS delay_s FROM runs WHERE type = 'sink'")
 def q30_delays(spark: SparkSession, sf: str) -> DataFrame:
-    return runlog.delay_series(_observations(spark, sf)).select("label", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "delay_s")
+    at = F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    return runlog.delay_series(_observations(spark, sf)).select("label", at.alias("at_ms"), "delay_s")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS position, sum(event_id * 1000)::BIGINT AS total_delay_ns, max(event_id * 1000) AS max_delay_ns FROM runs GROUP BY user_id")

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only where that is unset (one machine, tests) a temporary one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
