@@ -22,6 +22,8 @@ PART_BYTES = 4 << 20
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = str.maketrans("авеѕіјкмнорстухԁɡοαερυκν", "abesijkmhopctyxdgoaepukv")
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Letters that may follow the digits of a number.
+UNITS = frozenset(b"s ms us ns m h d w k b g x st nd rd th kb mb gb tb kib mib gib px pt em rem pc mm cm km kg hz khz mhz ghz".split())
 NUMBER, LONG = 1, 2  # hashes of all numbers and of all overlong runs
 
 
@@ -29,8 +31,9 @@ def fold_words(texts):
     """Words with disguises folded: (hash of each word, start and length of each in ``data``, words before each text, ``data``).
 
     Lower case; look-alike letters and stand-in signs become letters; hyphens within a word, single blanks (dots, low lines) between
-    single letters and letters beyond the first of three or more equal ones go; stars within a word become one star. A run with as many digits
-    as letters, or of seven or more hexadecimal digits, is a number; one of over 20 bytes, or part of over 28 bytes without
+    single letters and letters beyond the first of three or more equal ones go; stars within a word become one star. A run of digits, also with
+    a unit behind or a dollar before them, is a number, and so is a hexadecimal id: twelve or more hexadecimal digits, or seven if one of them is a
+    figure that stands for no letter. All else with digits is a word. A run of over 20 bytes, or part of over 28 bytes without
     blank, is overlong. Of neighbouring numbers, and of overlong runs, one stands for all.
     """
     import numpy as np
@@ -88,6 +91,7 @@ def fold_words(texts):
     digits, blank = digit[data] & inside, (data == 32) | (data == 10) | (data == 13) | (data == 9)
     blank[offsets[1:-1][offsets[1:-1] < len(data)]] = True
     hexed = inside & (digits | ((data >= 97) & (data <= 102)))
+    plain, raw = digits & (fold[data] == data), data
     data = fold[data]
     data[data == 35] = 42
     starts, h, first = hash_runs(data, inside, offsets)
@@ -96,7 +100,13 @@ def fold_words(texts):
     length = np.add.reduceat(inside.astype("i4"), starts)
     figures = np.add.reduceat(digits.astype("i4"), starts)
     hexes = np.add.reduceat(hexed.astype("i4"), starts)
-    h[(2 * figures >= length) | ((hexes == length) & (figures > 0) & (length >= 7))] = NUMBER
+    plains = np.add.reduceat(plain.astype("i4"), starts)
+    h[(figures == length) | ((figures == length - 1) & (raw[starts] == 36))] = NUMBER
+    h[(hexes == length) & (figures > 0) & ((length >= 12) | ((length >= 7) & (plains > 0)))] = NUMBER
+    so_far, tail = np.append(0, np.cumsum(digits)), length - figures
+    for k in np.flatnonzero((2 * figures >= length) & (tail > 0) & (tail <= 3) & (so_far[starts + figures] - so_far[starts] == figures)):
+        if raw[starts[k] + figures[k] : starts[k] + length[k]].tobytes() in UNITS:
+            h[k] = NUMBER
     chunk = np.cumsum(blank)[starts]
     ends = np.append(np.flatnonzero(blank), len(data))
     behind = ends[chunk] - np.append(0, ends)[chunk]
