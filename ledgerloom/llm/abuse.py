@@ -24,7 +24,45 @@ LOOKALIKES = str.maketrans("авеѕіјкмнорстухԁɡοαερυκν", "
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Letters that may follow the digits of a number.
 UNITS = frozenset(b"s ms us ns m h d w k b g x st nd rd th kb mb gb tb kib mib gib px pt em rem pc mm cm km kg hz khz mhz ghz".split())
-NUMBER, LONG = 1, 2  # hashes of all numbers and of all overlong runs
+#: Most letters of a word; longer runs are cut into overlapping pieces.
+LETTERS = 20
+NUMBER, LONG = 1, 2  # hashes of all numbers and of all runs of encoded data
+
+
+def lone_letters(data):
+    """Where to cut UTF-8 text of scripts without blanks (Han, kana, Thai, Lao, Tibetan, Burmese, Khmer): before and behind each of their letters."""
+    import numpy as np
+
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at < len(data) - 1]
+    a, b = data[at], data[at + 1]
+    lone = ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xE3) & (b >= 0x81)) | ((a == 0xE0) & (b >= 0xB8)) | ((a == 0xE1) & (np.isin(b, [0x80, 0x81, 0x82, 0x9E, 0x9F])))
+    lone |= ((a == 0xEF) & (((b >= 0xA4) & (b <= 0xAB)) | (b == 0xBD) | (b == 0xBE))) | ((a == 0xF0) & (b >= 0xA0))
+    cuts = np.concatenate([at[lone], at[lone] + np.where(a[lone] == 0xF0, 4, 3)])
+    return cuts[cuts < len(data)]
+
+
+def cut_runs(data, inside, lead, starts, h, length, letters, first):
+    """Runs of more than LETTERS letters (hashes above LONG) become pieces of LETTERS letters, each half over the one before, so that no word
+    of half that length is cut in all of them."""
+    import numpy as np
+
+    half = LETTERS // 2
+    count = np.where((letters > LETTERS) & (h > LONG), -(-(letters - half) // half), 1)
+    run = np.repeat(np.arange(len(starts)), count)
+    cut = np.flatnonzero(count[run] > 1)
+    if not len(cut):
+        return h, starts, length, first
+    end = (starts + length)[run]
+    k = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    places = np.append(np.flatnonzero(inside & lead), len(data))
+    at = np.searchsorted(places, starts)[run[cut]] + half * k[cut]
+    h, starts, length, first = h[run], starts[run], length[run], np.append(0, np.cumsum(count))[first]
+    starts[cut] = np.where(k[cut] > 0, places[at], starts[cut])
+    length[cut] = np.minimum(places[np.minimum(at + LETTERS, len(places) - 1)], end[cut]) - starts[cut]
+    pieces = np.frombuffer(b" ".join(data[a : a + n].tobytes() for a, n in zip(starts[cut], length[cut], strict=True)), "u1")
+    h[cut] = hash_runs(pieces, pieces != 32, np.array([0, len(pieces)]))[1]
+    return h, starts, length, first
 
 
 def fold_words(texts):
@@ -33,8 +71,9 @@ def fold_words(texts):
     Lower case; look-alike letters and stand-in signs become letters; hyphens within a word, single blanks (dots, low lines) between
     single letters and letters beyond the first of three or more equal ones go; stars within a word become one star. A run of digits, also with
     a unit behind or a dollar before them, is a number, and so is a hexadecimal id: twelve or more hexadecimal digits, or seven if one of them is a
-    figure that stands for no letter. All else with digits is a word. A run of over 20 bytes, or part of over 28 bytes without
-    blank, is overlong. Of neighbouring numbers, and of overlong runs, one stands for all.
+    figure that stands for no letter. All else with digits is a word. An ASCII run of over LETTERS letters
+    that changes often between letters and digits, some standing for no letter, is encoded data. Of neighbouring numbers, and of encoded runs, one
+    stands for all. Other runs of over LETTERS letters come in overlapping pieces; each letter of a script without blanks is a word.
     """
     import numpy as np
     import pyarrow as pa
@@ -88,13 +127,12 @@ def fold_words(texts):
     drop |= joint & twice
     kept = np.append(0, np.cumsum(~drop))
     offsets, data, inside = kept[offsets], data[~drop], inside[~drop]
-    digits, blank = digit[data] & inside, (data == 32) | (data == 10) | (data == 13) | (data == 9)
-    blank[offsets[1:-1][offsets[1:-1] < len(data)]] = True
+    digits, lead = digit[data] & inside, (data & 0xC0) != 0x80
     hexed = inside & (digits | ((data >= 97) & (data <= 102)))
     plain, raw = digits & (fold[data] == data), data
     data = fold[data]
     data[data == 35] = 42
-    starts, h, first = hash_runs(data, inside, offsets)
+    starts, h, first = hash_runs(data, inside, offsets, lone_letters(data))
     if not len(starts):
         return h, starts, starts, first, data
     length = np.add.reduceat(inside.astype("i4"), starts)
@@ -107,14 +145,15 @@ def fold_words(texts):
     for k in np.flatnonzero((2 * figures >= length) & (tail > 0) & (tail <= 3) & (so_far[starts + figures] - so_far[starts] == figures)):
         if raw[starts[k] + figures[k] : starts[k] + length[k]].tobytes() in UNITS:
             h[k] = NUMBER
-    chunk = np.cumsum(blank)[starts]
-    ends = np.append(np.flatnonzero(blank), len(data))
-    behind = ends[chunk] - np.append(0, ends)[chunk]
-    h[(length > 20) | (behind > 28)] = LONG
+    letters = np.add.reduceat((inside & lead).astype("i4"), starts)
+    turns = np.append(False, digits[1:] != digits[:-1]) & inside
+    turns[starts] = False
+    h[(letters > LETTERS) & (letters == length) & (plains > 0) & (5 * np.add.reduceat(turns.astype("i4"), starts) >= length)] = LONG
     again = np.append(False, (h[1:] == h[:-1]) & (h[1:] <= LONG))
     again[first[:-1][first[:-1] < len(h)]] = False
     first = np.append(0, np.cumsum(~again))[first]
-    h, starts, length = h[~again], starts[~again], length[~again]
+    h, starts, length, letters = h[~again], starts[~again], length[~again], letters[~again]
+    h, starts, length, first = cut_runs(data, inside, lead, starts, h, length, letters, first)
     return h, starts, length, first, data
 
 
@@ -122,7 +161,7 @@ def trigrams(data, starts, length):
     """Hashed letter trigrams of words, ends marked: (word number, bucket) of each."""
     import numpy as np
 
-    n = np.minimum(length, 20).astype("i8")
+    n = np.minimum(length, 4 * LETTERS).astype("i8")
     word = np.repeat(np.arange(len(starts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     pos = starts[word] + at
@@ -290,8 +329,8 @@ class Trainer:
         self.model = new_model(known[docs >= 2] if (docs >= 2).any() else known[:1], seed=seed)
         self.number = self.model.number(known)
         word, gram = trigrams(data, starts[where], length[where])
-        self.grams = np.full((len(known) + 1, 20), -1, "i4")
         slot = np.arange(len(word)) - np.searchsorted(word, word)
+        self.grams = np.full((len(known) + 1, int(slot.max(initial=0)) + 1), -1, "i4")
         self.grams[word, slot] = gram
         self.number, self.of = np.append(self.number, 0), np.append(of, len(known))
         self.text, self.begin, self.end = windows_of(first)
@@ -319,6 +358,7 @@ class Trainer:
         p = self.model.p
         u, of = np.unique(w, return_inverse=True)
         g = self.grams[u]
+        g = g[:, : max(1, int((g >= 0).sum(1).max(initial=0)))]
         n = np.maximum(1, (g >= 0).sum(1, keepdims=True)).astype("f4")
         chars = np.where((g >= 0)[:, :, None], p["char"][np.maximum(g, 0)], 0).sum(1) / n
         return u, of.reshape(w.shape), g, n, chars.astype("f4")

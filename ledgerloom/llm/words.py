@@ -73,12 +73,15 @@ def text_bytes(texts):
     return np.frombuffer(raw, dtype="u1")[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hash_runs(data, inside, offsets):
-    """Runs of ``inside`` bytes, none across two texts: (start of each run, its 64-bit hash, number of runs before each text)."""
+def hash_runs(data, inside, offsets, cuts=None):
+    """Runs of ``inside`` bytes, none across two texts: (start of each run, its 64-bit hash, number of runs before each text). ``cuts``: places where
+    another run begins in any case."""
     import numpy as np
 
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    if cuts is not None:
+        begins[cuts] = inside[cuts]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     begins[heads] = inside[heads]
     starts = np.flatnonzero(begins)

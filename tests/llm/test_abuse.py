@@ -29,6 +29,22 @@ def test_words_of_many_digits_stay_words(disguised, plain):
     assert hashes(disguised) == hashes(plain)
 
 
+def test_no_letters_are_lost_in_long_runs():
+    insult = hashes("moron")[0]
+    for text in ("x=find(/usr/share/lib/python/moron/you.py)", "<a-href='https://example.org/you/moron'>", "data:image/png;base64,iVBORw0KGgo2AAA8NSUhEU9gAA2moron9 moron"):
+        assert insult in hashes(text)
+    assert hashes("你是白痴白痴啊你是白痴白痴啊") == hashes(" ".join("你是白痴白痴啊你是白痴白痴啊")) and hashes("abc白痴x") == hashes("abc 白 痴 x")
+    assert hashes("คนโง่") == hashes(" ".join("คนโง่"))
+    long = "достопримечательность"[:20]
+    assert hashes(long)[0] > abuse.LONG and hashes(long) != hashes(long[:-1] + "ж")
+    for a, b in (("donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtsgesellschafk"), ("ы" * 1 + "достопримечательностями", "ы" * 1 + "достопримечательностяма")):
+        assert min(hashes(a)) > abuse.LONG and hashes(a) != hashes(b) and hashes(a)[0] == hashes(b)[0]
+    h, starts, length, first, data = abuse.fold_words(pa.array(["ok", "abcdefghijklmnopqrstuvwxyzabcdef ok", None, "x"]))
+    assert [data[s : s + n].tobytes().decode() for s, n in zip(starts, length)] == ["ok", "abcdefghijklmnopqrst", "klmnopqrstuvwxyzabcd", "uvwxyzabcdef", "ok", "x"]
+    assert first.tolist() == [0, 1, 5, 5, 6] and h[0] == h[4]
+    assert hashes("a 0a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6e7f8a9b c") == [hashes("a")[0], abuse.LONG, hashes("c")[0]]
+
+
 def test_folding_keeps_words_apart_and_texts_apart():
     assert hashes("diff -a +b") == hashes("diff a b") and hashes("a b c") != hashes("a b")
     h, starts, length, first, _ = abuse.fold_words(pa.array(["ab", "", None, "cd ef", "x"]))
