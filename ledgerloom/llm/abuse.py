@@ -73,7 +73,7 @@ def fold_words(texts):
     a unit behind or a dollar before them, is a number, and so is a hexadecimal id: twelve or more hexadecimal digits, or seven if one of them is a
     figure that stands for no letter. All else with digits is a word. An ASCII run of over LETTERS letters
     that changes often between letters and digits, some standing for no letter, is encoded data. Of neighbouring numbers, and of encoded runs, one
-    stands for all. Other runs of over LETTERS letters come in overlapping pieces; each letter of a script without blanks is a word.
+    stands for all, with length 0. Other runs of over LETTERS letters come in overlapping pieces; each letter of a script without blanks is a word.
     """
     import numpy as np
     import pyarrow as pa
@@ -153,6 +153,7 @@ def fold_words(texts):
     again[first[:-1][first[:-1] < len(h)]] = False
     first = np.append(0, np.cumsum(~again))[first]
     h, starts, length, letters = h[~again], starts[~again], length[~again], letters[~again]
+    length[h <= LONG] = 0  # they stand for many runs and have no letters of their own
     h, starts, length, first = cut_runs(data, inside, lead, starts, h, length, letters, first)
     return h, starts, length, first, data
 

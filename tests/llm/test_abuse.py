@@ -133,6 +133,21 @@ def test_scores_of_documents(spark):
     assert abuse.abuse_scores(docs.limit(0), model).count() == 0
 
 
+def test_a_text_scores_the_same_in_any_batch():
+    texts, labels = phrases(5, 90)
+    code = "0a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6e7f8a9b"
+    model = abuse.train([f"{x} {k}7 rows {code[k % 9 :]}" for k, x in enumerate(texts)], labels, steps=60)
+    text = f"17 you are 4242 {code} get lost 99 of 5"
+    alone = abuse.score_texts(model, pa.array([text]))[0]
+    for other in ("31337 1", code[::-1], "de1234ad9 2 " + code[3:]):
+        both = abuse.score_texts(model, pa.array([other, text]))
+        assert abs(both[1] - alone) < 1e-6
+    vectors = [abuse.word_inputs(model, model.number(h), data, starts, length) for h, starts, length, _, data in (abuse.fold_words(pa.array([x])) for x in ("17", "31337", "de1234ad9"))]
+    assert all((v == vectors[0]).all() for v in vectors)
+    grams = [abuse.Trainer([f"{n} ab", "cd"], [1, 0]).grams for n in ("17", "31337")]
+    assert (grams[0] == grams[1]).all()
+
+
 def test_text_cut_into_segments_scores_like_the_whole(monkeypatch):
     from ledgerloom.llm.words import parts_of
 
