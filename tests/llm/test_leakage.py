@@ -143,3 +143,10 @@ def test_items_bounds(spark):
     items = leakage.read_items([{"item_id": i, "text": t} for i, _, t in rows])
     assert all(len(w) == len(o.replace(",", "").split()) for w, o in zip(items.words, own))  # stock wording is gone
     assert len(items.ids) == len(rows)
+
+
+def test_items_of_many_words_are_aligned():
+    import numpy as np
+
+    words = np.arange(33_000, dtype="i4")[None, :]
+    assert leakage.align(words, words[:, -30:], 24, 6).tolist() == [True]
