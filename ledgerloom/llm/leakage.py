@@ -37,10 +37,10 @@ class Items:
     owners: list
 
 
-def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: float = 0.1, common: int = 8, window: int = 24, stock: set | None = None) -> Items:
+def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: float = 0.1, common: int = 8, window: int = 24, stock: set | None = None, exchanged: int = 6, least: int = 3) -> Items:
     """Own words of the items: a run of ``stock_words`` words that more than ``stock_share`` of the different texts (and at least eight)
-    contain is stock wording. Phrases in more than ``common`` different texts are no anchors, unless a window of the item has
-    less than half of its phrases left; there all are. ``stock`` gives the stock runs, if ``rows`` aren't all items.
+    contain is stock wording. Phrases in more than ``common`` different texts are no anchors, unless the exchanged words
+    that a window may have (one in ``exchanged``) could leave less than ``least`` of its anchors whole; there all phrases are. ``stock`` gives the stock runs, if ``rows`` aren't all items.
     """
     import numpy as np
     import pyarrow as pa
@@ -76,9 +76,9 @@ def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: f
         keys = [t[i : i + phrase].tobytes() for i in range(len(t) - phrase + 1)]
         rare = np.array([often[x] <= common for x in keys], dtype=bool)
         use = rare.copy()
-        size = window - phrase + 1
+        size, enough = window - phrase + 1, window // exchanged * phrase + least
         for i in range(max(0, len(keys) - size + 1)):
-            if rare[i : i + size].sum() < size // 2:
+            if rare[i : i + size].sum() < enough:
                 use[i : i + size] = True
         for i in np.flatnonzero(use):
             at[keys[i]].append((k, int(i)))
@@ -197,8 +197,8 @@ def align(words, streams, window: int, exchanged: int):
     import numpy as np
 
     p, m = streams.shape
-    slope = 0.1 * np.arange(m + 1, dtype="f4")
-    score, begin, hits = np.zeros((p, m + 1), "f4"), np.zeros((p, m + 1), "i4"), np.zeros((p, m + 1), "i4")
+    slope, kind = 0.1 * np.arange(m + 1, dtype="f4"), "i2" if max(words.shape[1], m) < 1 << 15 else "i4"
+    score, begin, hits = np.zeros((p, m + 1), "f4"), np.zeros((p, m + 1), kind), np.zeros((p, m + 1), kind)
     best, found, every = np.zeros(p, "f4"), np.zeros((p, 3), "i4"), np.arange(p)
     cells = np.broadcast_to(np.arange(m + 1, dtype="i4"), (p, m + 1))
     for i in range(words.shape[1]):
@@ -343,7 +343,7 @@ def leaked_items(
 
 
 def _leaked(documents: DataFrame, items: DataFrame, window: int, exchanged: int, least_phrases: int, stock: set | None) -> DataFrame:
-    asked = read_items(items.select("item_id", "text").collect(), window=window, stock=stock)
+    asked = read_items(items.select("item_id", "text").collect(), window=window, stock=stock, exchanged=exchanged, least=least_phrases)
     index = build_index(documents, asked.terms)
     frequency = {r.term: r.docs for r in document_frequencies(index).collect()}  # no more rows than the items have words
 

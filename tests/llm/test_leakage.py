@@ -1,5 +1,6 @@
 """Problem 6 against a word-by-word brute force."""
 
+import itertools
 import random
 
 import pytest
@@ -150,3 +151,21 @@ def test_items_of_many_words_are_aligned():
 
     words = np.arange(33_000, dtype="i4")[None, :]
     assert leakage.align(words, words[:, -30:], 24, 6).tolist() == [True]
+
+
+def test_windows_keep_anchors_for_all_allowed_exchanges():
+    import numpy as np
+
+    own, shared = [f"own{i}" for i in range(10)], [f"shared{i}" for i in range(14)]
+    rows = [{"item_id": k, "text": " ".join([*(f"x{k}y{i}" for i in range(30)), *shared[:7], f"z{k}", *shared[7:]])} for k in range(10)]
+    rows.append({"item_id": 99, "text": " ".join(own[:4] + shared[:7] + own[4:6] + shared[7:] + own[6:])})  # ten of its phrases are in eleven items
+    items = leakage.read_items(rows)
+    k = items.ids.index(99)
+    anchors = {i for owners in items.owners for o, i in owners if o == k}
+    text = items.words[k]
+    for at in range(len(text) - 23):
+        kept = np.array(sorted(i - at for i in anchors if at <= i <= at + 21))
+        worst = len(kept)
+        for wrong in itertools.combinations(range(1, 23), 4):
+            worst = min(worst, sum(not any(i <= w <= i + 2 for w in wrong) for i in kept))
+        assert worst >= 3
