@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import hash_runs, lower_texts, parts_of, text_bytes
+from .words import hash_runs, lone_letters, lower_texts, parts_of, text_bytes
 
 WINDOW, STRIDE, GRAMS = 24, 12, 4096
 #: Bytes of text that a worker looks at in one go.
@@ -29,19 +29,6 @@ LETTERS = 20
 NUMBER, LONG = 1, 2  # hashes of all numbers and of all runs of encoded data
 
 
-def lone_letters(data):
-    """Where to cut UTF-8 text of scripts without blanks (Han, kana, Thai, Lao, Tibetan, Burmese, Khmer): before and behind each of their letters."""
-    import numpy as np
-
-    at = np.flatnonzero(data >= 0xE0)
-    at = at[at < len(data) - 1]
-    a, b = data[at], data[at + 1]
-    lone = ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xE3) & (b >= 0x81)) | ((a == 0xE0) & (b >= 0xB8)) | ((a == 0xE1) & (np.isin(b, [0x80, 0x81, 0x82, 0x9E, 0x9F])))
-    lone |= ((a == 0xEF) & (((b >= 0xA4) & (b <= 0xAB)) | (b == 0xBD) | (b == 0xBE))) | ((a == 0xF0) & (b >= 0xA0))
-    cuts = np.concatenate([at[lone], at[lone] + np.where(a[lone] == 0xF0, 4, 3)])
-    return cuts[cuts < len(data)]
-
-
 def cut_runs(data, inside, lead, starts, h, length, letters, first):
     """Runs of more than LETTERS letters (hashes above LONG) become pieces of LETTERS letters, each half over the one before, so that no word
     of half that length is cut in all of them."""

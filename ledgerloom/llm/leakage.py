@@ -1,16 +1,20 @@
 """Evaluation texts that leaked into training text (problem 6).
 
-A distributed positional inverted index: every shard of documents becomes one row that holds the posting lists (document,
-position) of the terms that tests can ask for. Test items are the stated query set; they are broadcast in blocks of checked
-size. In a shard, phrases of three test terms are found from the postings of their rarest term, intersected with the
-offset-adjusted postings of the other two. Documents with enough phrases of an item are aligned with it word by word.
+A distributed positional inverted index of the corpus: every shard of documents becomes one row with the posting lists (places) of all
+its words, written once and asked by any number of item sets. Test items are the stated query set; they are broadcast in blocks of checked
+size. In a shard the rarest terms of every stretch of an item are looked up first; documents that hold enough of them are kept. For these the
+postings of the item's words, adjusted by the words' places in it, give exact phrases (equal adjusted places) and, in order and close
+to each other, proximity matches.
+
+Why nothing is lost: a passage of ``window`` or more words of an item, one in ``exchanged`` of them replaced, holds a passage of
+at most ``2 * shortest - 1`` words (see ``Rule``); among any ``window / 2`` words in a row there are ``RARE`` of the terms looked up, more than can be exchanged.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -23,67 +27,86 @@ from .words import clean_texts, parts_of, words_of
 STOCK_TEXTS = 8
 #: Bytes of text that a worker looks at in one go.
 PART_BYTES = 8 << 20
-INDEX = "doc_ids binary, n_words binary, terms binary, ends binary, doc binary, pos binary"
+#: How many of the rarest terms of each half window are looked up.
+RARE = 4
+#: Pairs are aligned in groups of at most so many cells.
+CELLS = 4_000_000
+INDEX = "doc_ids binary, n_words binary, terms binary, ends binary, places binary"
+
+
+@dataclass
+class Rule:
+    """What counts as a passage: ``window`` words of an item in order, one in ``exchanged`` differing, at most ``near`` words of the document
+    between neighbouring repeated words. It begins and ends with a repeated word.
+
+    A longer passage falls into stretches of ``shortest`` to ``longest`` words, one of which keeps the share; without the exchanged words at
+    its ends it still has ``window`` words. So only passages of up to ``longest`` words have to be looked for, and they span ``span`` words of the document at most.
+    """
+
+    window: int = 24
+    exchanged: int = 6
+    near: int = 60
+    shortest: int = field(init=False)
+    longest: int = field(init=False)
+    span: int = field(init=False)
+
+    def __post_init__(self) -> None:
+        n = self.window
+        while n - n // self.exchanged < self.window:
+            n += 1
+        self.shortest, self.longest = n, 2 * n - 1
+        self.span = self.longest * (self.near + 1)
+
+    def least(self, cost: int) -> int:
+        """The least score of a passage in which a repeated word counts 1 and an exchanged one -cost."""
+        return min(n - (1 + cost) * (n // self.exchanged) for n in range(self.window, self.longest + 1))
+
+    @property
+    def rare(self) -> int:
+        """How many looked-up words of a passage are repeated at least."""
+        half = max(1, self.window // 2)
+        return max(1, min(min(RARE, half) * (n // half) - n // self.exchanged for n in range(self.window, self.longest + 1)))
 
 
 @dataclass
 class Items:
-    """The query set: each item's own words as term numbers, and the phrases to look for."""
+    """The query set: the ids that share a text, its own words as term numbers, and the terms' hashes."""
 
-    ids: list[int]
+    ids: list[list[int]]
     words: list
     terms: object
-    phrases: object
-    owners: list
 
 
-def read_items(rows: list, phrase: int = 3, stock_words: int = 8, stock_share: float = 0.1, common: int = 8, window: int = 24, stock: set | None = None, exchanged: int = 6, least: int = 3) -> Items:
+def read_items(rows: list, stock_words: int = 8, stock_share: float = 0.1, stock: set | None = None) -> Items:
     """Own words of the items: a run of ``stock_words`` words that more than ``stock_share`` of the different texts (and at least eight)
-    contain is stock wording. Phrases in more than ``common`` different texts are no anchors, unless the exchanged words
-    that a window may have (one in ``exchanged``) could leave less than ``least`` of its anchors whole; there all phrases are. ``stock`` gives the stock runs, if ``rows`` aren't all items.
+    contain is stock wording. ``stock`` gives the stock runs, if ``rows`` aren't all items.
     """
     import numpy as np
     import pyarrow as pa
 
     rows = [r for r in rows if r["text"]]
-    doc, _, h, n = words_of(clean_texts(pa.array([r["text"] for r in rows], pa.string())))
+    _, _, h, n = words_of(clean_texts(pa.array([r["text"] for r in rows], pa.string())))
     texts = np.split(h, np.cumsum(n)[:-1]) if rows else []
-    distinct = {t.tobytes(): k for k, t in enumerate(texts)}
-
-    def shared(k: int, lists: list) -> dict:
-        seen = defaultdict(set)
-        for who, t in lists:
-            for i in range(len(t) - k + 1):
-                seen[t[i : i + k].tobytes()].add(who)
-        return seen
-
-    who = [distinct[t.tobytes()] for t in texts]
+    ids: dict[bytes, list] = defaultdict(list)
+    for r, t in zip(rows, texts, strict=True):
+        ids[t.tobytes()].append(r["item_id"])
+    texts = [np.frombuffer(k, "u8") for k in ids]
     if stock is None:
-        limit = max(STOCK_TEXTS - 1, stock_share * len(distinct))
-        stock = {k for k, v in shared(stock_words, list(zip(who, texts, strict=True))).items() if len(v) > limit}
+        seen = defaultdict(int)
+        for t in texts:
+            for gram in {t[i : i + stock_words].tobytes() for i in range(len(t) - stock_words + 1)}:
+                seen[gram] += 1
+        limit = max(STOCK_TEXTS - 1, stock_share * len(texts))
+        stock = {k for k, v in seen.items() if v > limit}
     own = []
     for t in texts:
-        common_words = np.zeros(len(t), dtype=bool)
+        common = np.zeros(len(t), dtype=bool)
         for i in range(len(t) - stock_words + 1):
             if t[i : i + stock_words].tobytes() in stock:
-                common_words[i : i + stock_words] = True
-        own.append(t[~common_words])
+                common[i : i + stock_words] = True
+        own.append(t[~common])
     terms = np.unique(np.concatenate(own)) if own else np.zeros(0, "u8")
-    numbered = [np.searchsorted(terms, t).astype("i4") for t in own]
-    often = {k: len(v) for k, v in shared(phrase, list(zip(who, numbered, strict=True))).items()}
-    at: dict[bytes, list] = defaultdict(list)
-    for k, t in enumerate(numbered):
-        keys = [t[i : i + phrase].tobytes() for i in range(len(t) - phrase + 1)]
-        rare = np.array([often[x] <= common for x in keys], dtype=bool)
-        use = rare.copy()
-        size, enough = window - phrase + 1, window // exchanged * phrase + least
-        for i in range(max(0, len(keys) - size + 1)):
-            if rare[i : i + size].sum() < enough:
-                use[i : i + size] = True
-        for i in np.flatnonzero(use):
-            at[keys[i]].append((k, int(i)))
-    phrases = np.array([np.frombuffer(p, "i4") for p in at], dtype="i4").reshape(-1, phrase)
-    return Items([r["item_id"] for r in rows], numbered, terms, phrases, list(at.values()))
+    return Items(list(ids.values()), [np.searchsorted(terms, t).astype("i4") for t in own], terms)
 
 
 def stock_runs(items: DataFrame, stock_words: int = 8, stock_share: float = 0.1) -> set:
@@ -106,10 +129,10 @@ def stock_runs(items: DataFrame, stock_words: int = 8, stock_share: float = 0.1)
     return {bytes(r.gram) for r in often.select("gram").collect()}
 
 
-def build_index(documents: DataFrame, terms, text: str = "text", doc_id: str = "doc_id", shard_docs: int = 1000) -> DataFrame:
-    """One row per shard (at most ``shard_docs`` documents): posting lists of ``terms`` (sorted 64-bit hashes; None: of all words).
-
-    Null and empty texts have no postings. Whole texts are indexed. Written into the shared folder.
+def build_index(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_docs: int = 1000) -> DataFrame:
+    """One row per shard (at most ``shard_docs`` documents): the sorted hashes of all its words, where the postings of each end, and the places
+    (numbered through the shard's documents, stored as differences). Null and empty texts have no postings. Whole texts are indexed. Written into
+    the shared folder once; every item set is asked of the same index.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -119,248 +142,265 @@ def build_index(documents: DataFrame, terms, text: str = "text", doc_id: str = "
         for b in batches:
             every = b.column(0).to_numpy(zero_copy_only=False).astype("i8")
             for k, texts, cut in parts_of(b.column(1), shard_docs, PART_BYTES):
-                doc, pos, h, n = _words(texts, terms) if cut else words_of(clean_texts(texts))
-                ids = every[k : k + len(n)]
-                if terms is None:
-                    known, t = np.unique(h, return_inverse=True)
+                if cut:
+                    found = [words_of(clean_texts(texts.slice(i, 1)))[2:] for i in range(len(texts))]
+                    h, n = np.concatenate([x for x, _ in found]), np.array([sum(int(x.sum()) for _, x in found)], "i4")
                 else:
-                    known, t = terms, np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
-                    hit = np.flatnonzero(known[t] == h) if len(known) else np.zeros(0, "i8")
-                    doc, pos, t = doc[hit], pos[hit], t[hit]
-                order = np.argsort(t.astype("i4"), kind="stable")
-                ends = np.cumsum(np.bincount(t, minlength=len(known)))
-                row = [ids, n, known, ends.astype("i8"), doc[order], pos[order]]
+                    _, _, h, n = words_of(clean_texts(texts))
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                last = np.append(h[1:] != h[:-1], True) if len(h) else np.zeros(0, dtype=bool)
+                row = [every[k : k + len(n)], n.astype("i8"), h[last], np.flatnonzero(last) + 1, np.diff(order, prepend=0).astype("i4")]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=[f.split()[0] for f in INDEX.split(", ")])
 
     rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text)
     return stage(rows.mapInArrow(run, INDEX), "postings")
 
 
-def _words(segments, terms):
-    """``words_of`` for the segments of one long text: one document whose positions run on; only words among ``terms`` are kept."""
+def unpack(row: dict):
+    """The arrays of an index row: document ids, words of each, terms, ends and places of their postings."""
     import numpy as np
 
-    found, total = [], 0
-    for k in range(len(segments)):
-        _, pos, h, n = words_of(clean_texts(segments.slice(k, 1)))
-        if terms is not None and len(terms):
-            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-            pos, h = pos[terms[at] == h], h[terms[at] == h]
-        found.append((pos + np.int32(total), h))
-        total += int(n.sum())
-    pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.zeros(len(h), "i4"), pos, h, np.array([total], "i4")
+    kinds = {"doc_ids": "i8", "n_words": "i8", "terms": "u8", "ends": "i8", "places": "i4"}
+    out = [np.frombuffer(row[k], kind) for k, kind in kinds.items()]
+    out[-1] = np.cumsum(out[-1], dtype="i8")
+    return out
 
 
-def _unpack(row: dict):
+def _ranges(begin, count):
+    """begin[0], begin[0] + 1, ... count[0] times, then the same for the others; and which one each belongs to."""
     import numpy as np
 
-    kinds = {"doc_ids": "i8", "n_words": "i4", "terms": "u8", "ends": "i8", "doc": "i4", "pos": "i4"}
-    return [np.frombuffer(row[k], kind) for k, kind in kinds.items()]
+    of = np.repeat(np.arange(len(count)), count)
+    return begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count), of
 
 
-def document_frequencies(index: DataFrame) -> DataFrame:
-    """Columns ``term`` (hash as bigint), ``docs``: in how many documents of the index each term occurs."""
+def rare_words(flat, first, postings, rule: Rule):
+    """Which words of the items (one behind the other in ``flat``, item k from ``first[k]`` on) are looked up: of any ``window / 2`` words in a
+    row the ``RARE`` with the fewest postings. Items of less than ``window`` words have none."""
+    import numpy as np
+    from numpy.lib.stride_tricks import sliding_window_view
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    half, out = max(1, rule.window // 2), np.zeros(len(flat), dtype=bool)
+    long = np.flatnonzero(np.diff(first) >= rule.window)
+    if not len(long):
+        return out
+    # word by word and no ties: the same terms are taken in overlapping stretches
+    rank = np.empty(len(flat), "i8")
+    rank[np.lexsort((flat, postings[flat]))] = np.arange(len(flat))
+    heads, _ = _ranges(first[long], np.diff(first)[long] - half + 1)
+    for part in np.array_split(heads, -(-len(heads) // 100_000)):
+        top = np.argpartition(sliding_window_view(rank, half)[part], min(RARE, half) - 1, axis=1)[:, : min(RARE, half)]
+        out[(part[:, None] + top).ravel()] = True
+    return out
 
-        for b in batches:
-            for row in b.to_pylist():
-                _, _, terms, ends, doc, _ = _unpack(row)
-                t = np.repeat(np.arange(len(terms)), np.diff(ends, prepend=0))
-                new = np.ones(len(t), dtype=bool)
-                new[1:] = (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view("i8")), pa.array(np.bincount(t[new], minlength=len(terms)))], names=["term", "docs"])
 
-    return index.mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+def enough_words(held, rule: Rule):
+    """Rows of ``held`` (words of an item that a document holds anywhere, False behind the end) in which a passage could be, order aside."""
+    import numpy as np
 
+    if held.shape[1] < rule.window:
+        return np.zeros(len(held), dtype=bool)
+    score = np.zeros((len(held), held.shape[1] + 1), "i4")
+    np.cumsum(np.where(held, 1, 1 - rule.exchanged), axis=1, out=score[:, 1:])
+    low = np.minimum.accumulate(score, axis=1)
+    return (score[:, rule.window :] >= low[:, : -rule.window]).any(axis=1)
 
-def _padded(rows: list, fill: int):
+
+def in_order(words, streams, rule: Rule, costs=(1, 2)):
+    """Rows in which ``streams`` (term numbers in document order, -1 behind the end) repeat enough of ``words`` (-2 behind the end) in order, however
+    far apart: local alignment in which other words of the document cost nothing and an exchanged word costs ``cost``."""
     import numpy as np
 
-    out = np.full((len(rows), max(map(len, rows))), fill, "i4")
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return out
+    alive = np.ones(len(words), dtype=bool)
+    for cost in costs:
+        at = np.flatnonzero(alive)
+        w, s = words[at], streams[at]
+        score, best = np.zeros((len(at), s.shape[1] + 1), "i4"), np.zeros(len(at), "i4")
+        for i in range(w.shape[1]):
+            hit = np.where(s == w[:, i, None], score[:, :-1] + 1, 0)
+            score -= cost
+            np.maximum(score, 0, out=score)
+            np.maximum(score[:, 1:], hit, out=score[:, 1:])
+            np.maximum.accumulate(score, axis=1, out=score)
+            np.maximum(best, score[:, -1], out=best)
+        alive[at] = best >= rule.least(cost)
+    return alive
+
+
+def phrases(word, place, rule: Rule) -> bool:
+    """Whether repeated words (``word``: place in the item, ``place``: in the document) form an unchanged phrase of ``window`` words."""
+    import numpy as np
+
+    order = np.lexsort((word, place - word))
+    w, d = word[order], (place - word)[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1] + 1), [True]]))
+    return len(w) > 0 and int(np.diff(new).max()) >= rule.window
 
 
-def align(words, streams, window: int, exchanged: int):
-    """Which ``streams`` (rows of term numbers, -1 behind the end) repeat ``window`` of the same row of ``words`` (-2 behind the end) in
-    order, one in ``exchanged`` differing. A passage begins and ends with a repeated word.
+def passages(hits: list, rule: Rule):
+    """For each list of repeated words (arrays of their places in item and document, by place in the document) whether it holds a passage.
 
-    Local alignment of all rows at once: a repeated word counts 1, an exchanged one -2, a stream word passed over (an interposed
-    line) -0.1. The best region is accepted if it meets the rule; a row whose region holds less is looked at one by one if it
-    has half of the words that the rule asks for.
+    For each repeated word: the most words of a passage that ends with it, by where in the item it begins (modulo ``ring``, as no passage is
+    longer than ``longest`` and no gap in it longer than its exchanged words). Exact; the lists of a group go step by step together.
     """
     import numpy as np
 
-    p, m = streams.shape
-    slope, kind = 0.1 * np.arange(m + 1, dtype="f4"), "i2" if max(words.shape[1], m) < 1 << 15 else "i4"
-    score, begin, hits = np.zeros((p, m + 1), "f4"), np.zeros((p, m + 1), kind), np.zeros((p, m + 1), kind)
-    best, found, every = np.zeros(p, "f4"), np.zeros((p, 3), "i4"), np.arange(p)
-    cells = np.broadcast_to(np.arange(m + 1, dtype="i4"), (p, m + 1))
-    for i in range(words.shape[1]):
-        same = streams == words[:, i, None]
-        diagonal = score[:, :-1] + np.where(same, np.float32(1), np.float32(-2))
-        s = score - np.float32(2)
-        b, h, live = begin.copy(), hits.copy(), score[:, :-1] > 0
-        take = diagonal > s[:, 1:]
-        s[:, 1:] = np.where(take, diagonal, s[:, 1:])
-        b[:, 1:] = np.where(take, np.where(live, begin[:, :-1], i), begin[:, 1:])
-        h[:, 1:] = np.where(take, hits[:, :-1] * live + same, hits[:, 1:])
-        np.maximum(s, 0, out=s)
-        lifted = s + slope
-        top = np.maximum.accumulate(lifted, axis=1)
-        src = np.maximum.accumulate(np.where(lifted >= top, cells, 0), axis=1)
-        score = top - slope
-        begin, hits = np.take_along_axis(b, src, 1), np.take_along_axis(h, src, 1)
-        score[score <= 1e-4] = 0
-        end = score.argmax(axis=1)
-        now = score[every, end]
-        better = now > best
-        if better.any():
-            best[better] = now[better]
-            found[better] = np.stack([begin[every, end], np.full(p, i), hits[every, end]], 1)[better]
-    length, hit = found[:, 1] - found[:, 0] + 1, found[:, 2]
-    ok = (length >= window) & (exchanged * hit >= (exchanged - 1) * length)
-    for k in np.flatnonzero(~ok & (2 * exchanged * hit >= (exchanged - 1) * window)):
-        ok[k] = _part(words[k][words[k] >= 0], streams[k][streams[k] >= 0], window, exchanged)
-    return ok
-
-
-def _part(words, stream, window: int, exchanged: int) -> bool:
-    """Whether a run of at least ``window`` of ``words`` meets the rule in the best alignment with ``stream``; exchanged words cost little."""
+    skip, found = rule.longest // rule.exchanged + 1, np.zeros(len(hits), dtype=bool)
+    ring = rule.longest + skip
+    order = np.argsort([len(w) for w, _ in hits], kind="stable")
+    while len(order):
+        size = max(1, min(len(order), CELLS // (ring * max(1, len(hits[order[-1]][0])))))
+        group, order = order[-size:], order[:-size]
+        m, b = max(len(hits[k][0]) for k in group), len(group)
+        word, place = np.full((b, m), -1, "i8"), np.full((b, m), 1 << 40, "i8")
+        for r, k in enumerate(group):
+            word[r, : len(hits[k][0])], place[r, : len(hits[k][0])] = hits[k]
+        starts, state, rows, low = np.arange(ring), np.zeros((b, m, ring), "i2"), np.arange(b), 0
+        for j in range(m):
+            i, p = word[:, j], place[:, j]
+            live = i >= 0
+            while low < j and not (place[live, low] >= p[live] - rule.near - 1).any():
+                low += 1
+            gap = i[:, None] - word[:, low:j]
+            near = (gap > 0) & (gap <= skip) & (word[:, low:j] >= 0) & (place[:, low:j] < p[:, None]) & (place[:, low:j] >= p[:, None] - rule.near - 1)
+            length = (i[:, None] - starts) % ring + 1
+            best = np.where(near[:, :, None], state[:, low:j], 0).max(axis=1) if j > low else np.zeros((b, ring), "i2")
+            best = np.where((best > 0) & (length <= rule.longest), best + 1, 0)
+            best[rows, i % ring] = 1
+            state[:, j] = best
+            ok = (length >= rule.window) & (rule.exchanged * best.astype("i4") >= (rule.exchanged - 1) * length)
+            found[group] |= ok.any(axis=1) & live
+    return found
+
+
+def _padded(rows: list, fill: int):
     import numpy as np
 
-    n, m, cost = len(words), len(stream), 0.3
-    score = np.zeros((n + 1, m + 1))
-    slope = 0.1 * np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.maximum(0, score[i - 1] - cost)
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(stream == words[i - 1], 1, -cost))
-        score[i] = np.maximum.accumulate(row + slope) - slope
-    flags = np.zeros(n, dtype=int)
-    i, j = np.unravel_index(score.argmax(), score.shape)
-    while i and j and score[i, j] > 1e-9:
-        if stream[j - 1] == words[i - 1] and abs(score[i, j] - score[i - 1, j - 1] - 1) < 1e-6:
-            flags[i - 1], i, j = 1, i - 1, j - 1
-        elif abs(score[i, j] - score[i - 1, j - 1] + cost) < 1e-6:
-            i, j = i - 1, j - 1
-        elif abs(score[i, j] - score[i - 1, j] + cost) < 1e-6:
-            i -= 1
-        else:
-            j -= 1
-    total = np.append(0, np.cumsum(flags))
-    size = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
-    whole = np.append(flags, 0)[:, None] & np.append(0, flags)[None, :]  # a passage begins and ends with a repeated word
-    return bool((whole & (size >= window) & (exchanged * (total[None, :] - total[:, None]) >= (exchanged - 1) * size)).any())
-
-
-def _search(items: Items, rank, window: int, exchanged: int, least: int):
-    """The search of one shard; ``rank``: terms by rising document frequency."""
+    out = np.full((len(rows), max(map(len, rows))), fill, "i4")
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def _search(items: Items, rule: Rule):
+    """The search of one shard: (document id, item number, whether as an unchanged phrase)."""
     import numpy as np
 
-    width = items.phrases.shape[1] if len(items.phrases) else 3
-    lead = rank[items.phrases].argmin(axis=1) if len(items.phrases) else np.zeros(0, "i8")
-    by_term = defaultdict(list)
-    for k, (p, o) in enumerate(zip(items.phrases, lead, strict=True)):
-        by_term[int(p[o])].append(k)
-    owner_n = np.array([len(o) for o in items.owners], dtype="i8")
-    owner_at = np.concatenate([[0], np.cumsum(owner_n)])
-    owners = np.array([x for o in items.owners for x in o], dtype="i8").reshape(-1, 2)
+    flat = np.concatenate(items.words) if items.words else np.zeros(0, "i4")
+    n_own = np.array([len(w) for w in items.words], "i8")
+    first, total = np.append(0, np.cumsum(n_own)), len(items.terms)
 
     def run(row: dict):
-        ids, n, terms, ends, doc, pos = _unpack(row)
-        base = np.concatenate([[0], np.cumsum(n.astype("i8") + width)]) + width
-        at = base[doc] + pos
-        # postings of all test terms by place: the offset-adjusted lists to intersect with
-        number = np.searchsorted(terms, items.terms)
-        has = (number < len(terms)) & (terms[np.minimum(number, max(0, len(terms) - 1))] == items.terms) if len(terms) else np.zeros(len(items.terms), dtype=bool)
-        place = np.full(int(base[-1]) + width, -1, "i4")
-        begins = np.concatenate([[0], ends])
-        for t in np.flatnonzero(has):
-            place[at[begins[number[t]] : begins[number[t] + 1]]] = t
-        hit_at, hit_phrase = [], []
-        for t, ks in by_term.items():
-            if not has[t]:
-                continue
-            ks = np.array(ks)
-            posting = at[begins[number[t]] : begins[number[t] + 1]]
-            for part in np.array_split(posting, max(1, len(posting) * len(ks) // 2_000_000)):
-                head = part[None, :] - lead[ks][:, None]
-                ok = np.ones(head.shape, dtype=bool)
-                for o in np.argsort(rank[items.phrases[ks]].mean(axis=0)):
-                    ok &= place[head + o] == items.phrases[ks, o][:, None]
-                a, b = np.nonzero(ok)
-                hit_at.append(part[b])
-                hit_phrase.append(ks[a])
-        if not hit_at:
+        ids, n, terms, ends, places = unpack(row)
+        if not len(terms) or not total:
+            return []
+        number = np.minimum(np.searchsorted(terms, items.terms), len(terms) - 1)
+        has = terms[number] == items.terms
+        begin = np.append(0, ends)[number]
+        count = np.where(has, ends[number] - begin, 0)
+        at, term = _ranges(begin, count)
+        if not len(at):
             return []
-        where, phrase = np.concatenate(hit_at), np.concatenate(hit_phrase)
-        d = np.searchsorted(base, where, side="right") - 1
-        times = owner_n[phrase]
-        which = np.repeat(owner_at[phrase], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        hits = np.unique(np.stack([np.repeat(d, times), owners[which, 0], owners[which, 1]], 1), axis=0)
-        pairs, counts = np.unique(hits[:, :2], axis=0, return_counts=True)
-        pairs = pairs[counts >= least]
-        streams = {}
-        for k in np.unique(pairs[:, 0]):
-            t = place[base[k] : base[k] + n[k]]
-            streams[k] = t[t >= 0]
-        out, order = [], np.argsort([len(streams[k]) for k in pairs[:, 0]], kind="stable")
-        for group in np.array_split(order, -(-len(order) // 128)) if len(order) else []:
-            w = _padded([items.words[i] for i in pairs[group, 1]], -2)
-            good = align(w, _padded([streams[k] for k in pairs[group, 0]], -1), window, exchanged)
-            out += [(int(ids[k]), items.ids[i]) for (k, i), g in zip(pairs[group], good, strict=True) if g]
+        at = places[at]
+        # long documents are looked at in pieces of two spans, each one span on: every passage lies within one
+        start = np.append(0, np.cumsum(n))
+        many = np.maximum(1, -(-n // rule.span) - 1)
+        piece_of, base = np.append(0, np.cumsum(many)), start[:-1]
+        doc = np.searchsorted(start, at, side="right") - 1
+        quarter = (at - base[doc]) // rule.span
+        pieces = [(q, (q >= 0) & (q < many[doc])) for q in (quarter, quarter - 1)]
+        size = piece_of[-1]
+        held = np.concatenate([term[ok] * size + (piece_of[doc] + q)[ok] for q, ok in pieces])
+        held.sort(kind="stable")
+        held = held[np.append(True, held[1:] != held[:-1])]  # which terms the pieces hold, by term
+        edge = np.searchsorted(held, np.arange(total + 1) * size)
+        rare = np.flatnonzero(rare_words(flat, first, count, rule))
+        item = np.searchsorted(first, rare, side="right") - 1
+        t = flat[rare]
+        which, of = _ranges(edge[t], edge[t + 1] - edge[t])
+        pairs, counts = np.unique(item[of] * size + held[which] % size, return_counts=True)
+        pairs = pairs[counts >= rule.rare]
+        k, piece = pairs // size, pairs % size
+        stream = np.full(int(start[-1]), -1, "i4")
+        stream[at] = term
+        out, left = [], []
+        for group in np.array_split(np.arange(len(k)), -(-len(k) * int(n_own.max()) // CELLS)) if len(k) else []:
+            own = _padded([items.words[i] for i in k[group]], -1)
+            key = np.where(own >= 0, own * size + piece[group][:, None], -1)
+            place = np.minimum(np.searchsorted(held, key), len(held) - 1)
+            left += group[enough_words(held[place] == key, rule)].tolist()
+        left = sorted(left, key=lambda x: int(k[x]))
+        todo, mark, last = [], np.zeros(total + 1, dtype=bool), -1
+        for x in left:
+            if k[x] != last:
+                mark[:] = False
+                last = int(k[x])
+                mark[items.words[last]] = True
+            d = int(np.searchsorted(piece_of, piece[x], side="right") - 1)
+            a = int(base[d] + (piece[x] - piece_of[d]) * rule.span)
+            s = stream[a : min(a + 2 * rule.span, int(start[d + 1]))]
+            where = np.flatnonzero(mark[s])
+            todo.append((d, last, s[where], where))
+        todo.sort(key=lambda x: len(x[2]))
+        while todo:
+            step = max(1, CELLS // (4 * max(1, len(todo[-1][2]))))
+            group, todo = todo[-step:], todo[:-step]
+            mine = in_order(_padded([items.words[i] for _, i, _, _ in group], -2), _padded([s for _, _, s, _ in group], -1), rule)
+            rest, hits = [], []
+            for (d, i, s, where), good in zip(group, mine, strict=True):
+                if not good:
+                    continue
+                a, w = np.nonzero(s[:, None] == items.words[i])
+                if phrases(w, where[a], rule):
+                    out.append((int(ids[d]), i, True))
+                else:
+                    rest.append((d, i))
+                    hits.append((w, where[a]))
+            out += [(int(ids[d]), i, False) for (d, i), ok in zip(rest, passages(hits, rule), strict=True) if ok]
         return out
 
     return run
 
 
-def leaked_items(
-    documents: DataFrame,
-    items: DataFrame,
-    window: int = 24,
-    exchanged: int = 6,
-    least_phrases: int = 3,
-    max_items_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Columns ``doc_id, item_id``: the document repeats in order at least ``window`` words of the item's own text, at most one in
-    ``exchanged`` of them replaced. Layout, case, punctuation, markup and interposed lines do not matter; stock wording doesn't count.
+def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 24, exchanged: int = 6, near: int = 60, max_items_bytes: int = BROADCAST_BYTES, index: DataFrame | None = None) -> DataFrame:
+    """Columns ``doc_id, item_id, kind``: the document repeats in order at least ``window`` words of the item's own text, at most one in
+    ``exchanged`` of them replaced, with at most ``near`` words of the document between neighbouring repeated ones. Layout, case, punctuation,
+    markup and interposed lines do not matter; stock wording doesn't count. ``kind`` is ``phrase`` if ``window`` words in a row are unchanged, else ``proximity``.
 
     Null or empty texts on either side match nothing; an item stored under several ids is found under each. Repeated document ids
-    give one row. Items are a query set: beyond ``max_items_bytes`` of text they are taken in blocks, drawn by hash of the id, each against
-    all documents; stock wording is judged over all items.
+    give one row. Items are a query set: beyond ``max_items_bytes`` of text they are taken in blocks, drawn by hash of the id, each asked of the
+    same index; stock wording is judged over all items. ``index``: one that ``build_index`` made of the documents.
     """
+    rule = Rule(window, exchanged, near)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 if size <= max_items_bytes else 2 * -(-size // max_items_bytes)
     number = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     stock = stock_runs(items) if blocks > 1 else None
-    found = [_leaked(documents, items.where(number == k) if blocks > 1 else items, window, exchanged, least_phrases, stock) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, found).distinct()
+    index = build_index(documents) if index is None else index
+    # a shard takes long for its few bytes, so shards are dealt out one by one rather than by file size
+    dealt = index.repartition(max(tasks(index.sparkSession), -(-index.count() // 8)))
+    found = [_ask(dealt, items.where(number == k) if blocks > 1 else items, rule, stock) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"))
 
 
-def _leaked(documents: DataFrame, items: DataFrame, window: int, exchanged: int, least_phrases: int, stock: set | None) -> DataFrame:
-    asked = read_items(items.select("item_id", "text").collect(), window=window, stock=stock, exchanged=exchanged, least=least_phrases)
-    index = build_index(documents, asked.terms)
-    frequency = {r.term: r.docs for r in document_frequencies(index).collect()}  # no more rows than the items have words
+def _ask(index: DataFrame, items: DataFrame, rule: Rule, stock: set | None) -> DataFrame:
+    asked = read_items(items.select("item_id", "text").collect(), stock=stock)
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        seen = np.array([frequency.get(int(t), 0) for t in asked.terms.view("i8")], dtype="i8")
-        rank = np.empty(len(seen), "i8")
-        rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
-        search = _search(asked, rank, window, exchanged, least_phrases)
+        search = _search(asked, rule)
         for b in batches:
             for k in range(b.num_rows):
-                found = search(b.slice(k, 1).to_pylist()[0])
+                found = [(d, i, "phrase" if whole else "proximity") for d, n, whole in search(b.slice(k, 1).to_pylist()[0]) for i in asked.ids[n]]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "item_id"])
+                    d, i, kind = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(kind, pa.string())], names=["doc_id", "item_id", "kind"])
 
-    # a shard takes long for its few bytes, so shards are dealt out one by one rather than by file size
-    index = index.repartition(max(tasks(index.sparkSession), -(-index.count() // 8)))
-    return index.mapInArrow(run, "doc_id long, item_id long")
+    return index.mapInArrow(run, "doc_id long, item_id long, kind string")
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, **rule: object) -> DataFrame:
+    """Columns ``doc_id, item_id`` of ``leaked_passages``."""
+    return leaked_passages(documents, items, **rule).select("doc_id", "item_id")

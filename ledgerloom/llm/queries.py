@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .abuse import abuse_scores, rates_by_source, train_on
-from .leakage import leaked_items
+from .leakage import leaked_items, leaked_passages
 from .mixing import mix_sources, mixture_shares, tokens_by_document
 from .sources import clean_source
 
@@ -19,6 +19,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
 
+def p6_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each leak with its kind: an unchanged phrase, or words in order near each other."""
+    return leaked_passages(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     """Each item with the number of documents it leaked into."""
     found = p6_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("docs"))
@@ -53,5 +58,5 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rates_by_source(*_scores(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ from ledgerloom.llm.queries import QUERIES
 
 COLUMNS = {
     "p6_found": {"doc_id", "item_id"},
+    "p6_matches": {"doc_id", "item_id", "kind"},
     "p6_items": {"item_id", "suite", "docs"},
     "p7_mixture": {"shard", "slot", "source", "block", "pass", "at", "doc_id", "first_token", "n_tokens"},
     "p7_shares": {"source", "target_share", "max_repeats", "target_tokens", "available_tokens", "used_tokens", "passes", "actual_share"},
