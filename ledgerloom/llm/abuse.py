@@ -2,7 +2,7 @@
 
 A bidirectional gated recurrent network with attention pooling reads windows of words. Each word enters as its own vector
 (if it was seen in training) and as the mean vector of its letter trigrams, after disguises of spelling are folded away.
-Training is plain numpy on the driver: documents carry the labels, so the network learns from the windows of a document that
+Training is plain numpy: documents carry the labels, so the network learns from the windows of a document that
 score highest. All overlapping windows of all texts are scored; a document's score is that of its worst window.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import hash_runs, lone_letters, lower_texts, parts_of, text_bytes
@@ -464,15 +464,28 @@ def _fit(texts: list[str], labels: list[int], steps: int, batch: int, rounds: in
     return t.model
 
 
-def train(texts: list[str], labels: list[int], steps: int = 700, batch: int = 256, rounds: int = 5, seed: int = 1, trust: float = 0.5, rarity: float = 5.0) -> Model:
+def _held_out(texts: list[str], labels, half, k: int, steps: int, batch: int, rounds: int, seed: int):
+    """Scores of the texts outside half ``k`` by a model of that half."""
+    import numpy as np
+    import pyarrow as pa
+
+    here, there = np.flatnonzero(half == k), np.flatnonzero(half != k)
+    if len(set(labels[here])) < 2:
+        return labels[there].astype("f8")
+    m = _fit([texts[i] for i in here], labels[here].tolist(), steps // 2, batch, max(2, rounds - 2), seed + 1 + k)
+    parts = [score_texts(m, pa.array([texts[j] for j in there[i : i + 1000]], pa.string())) for i in range(0, len(there), 1000)]
+    return np.concatenate([np.zeros(0), *parts]).astype("f8")
+
+
+def train(texts: list[str], labels: list[int], steps: int = 700, batch: int = 256, rounds: int = 5, seed: int = 1, trust: float = 0.5, rarity: float = 5.0, spark: SparkSession | None = None) -> Model:
     """A model from texts with label 1 or 0. The number of steps, and so the cost, is fixed.
 
     Labels are sometimes wrong: first each half is scored by a model of the other half, and positive texts scored under ``trust`` are
     left out of the final training (unless that would be over a quarter of them, as with few labels). The same scores set the threshold: the one
-    with the best F1 if a clean text counted ``rarity`` times, as the labelled sample holds more bad texts than a corpus.
+    with the best F1 if a clean text counted ``rarity`` times, as the labelled sample holds more bad texts than a corpus. With ``spark``
+    the halves are trained side by side on executors; the result is the same.
     """
     import numpy as np
-    import pyarrow as pa
 
     y = np.asarray(labels, dtype="i8")
     if not (y == 1).any() or not (y == 0).any():  # nothing to learn from: no case
@@ -481,15 +494,23 @@ def train(texts: list[str], labels: list[int], steps: int = 700, batch: int = 25
         return model
     half = np.random.default_rng(seed).permutation(len(y)) % 2
     score = np.zeros(len(y))
+    setting = (steps, batch, rounds, seed)
+    if spark is None:
+        found = [_held_out(texts, y, half, k, *setting) for k in (0, 1)]
+    else:
+        shared = spark.sparkContext.broadcast((texts, y, half))  # the labelled sample, of bounded size
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([_held_out(*shared.value, k, *setting).tobytes()])], names=["half", "scores"])
+
+        rows = {r.half: r.scores for r in spark.range(0, 2, 1, 2).mapInArrow(run, "half long, scores binary").collect()}
+        found = [np.frombuffer(rows[k], "f8") for k in (0, 1)]
     for k in (0, 1):
-        here, there = np.flatnonzero(half == k), np.flatnonzero(half != k)
-        if len(set(y[here])) < 2:
-            score[there] = y[there]
-            continue
-        m = _fit([texts[i] for i in here], [labels[i] for i in here], steps // 2, batch, max(2, rounds - 2), seed + 1 + k)
-        for i in range(0, len(there), 1000):
-            part = there[i : i + 1000]
-            score[part] = score_texts(m, pa.array([texts[j] for j in part], pa.string()))
+        score[half != k] = found[k]
     use = (y == 0) | (score >= trust)
     if use[y == 1].mean() < 0.75:
         use[:] = True
@@ -520,7 +541,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = 2000, m
 
 def train_on(documents: DataFrame, labels: DataFrame, most: int = 2000, **kw: object) -> Model:
     rows = sorted(labelled_sample(documents, labels, most).collect(), key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [r.bad for r in rows], **kw)
+    return train([r.text for r in rows], [r.bad for r in rows], spark=documents.sparkSession, **kw)
 
 
 def abuse_scores(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .abuse import abuse_scores, rates_by_source, train_on
+from .abuse import Model, abuse_scores, rates_by_source, train_on
 from .leakage import leaked_items, leaked_passages
 from .mixing import mix_sources, mixture_shares, tokens_by_document
 from .sources import clean_source
@@ -39,9 +39,16 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture_shares(tokens, targets, mix_sources(tokens, targets))
 
 
+#: Models trained in this session, by folder; the queries of problem 8 share them.
+MODELS: dict[tuple, Model] = {}
+
+
 def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
     documents = _t(spark, sf, "documents")
-    model = train_on(documents, _t(spark, sf, "abuse_labels"))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in MODELS:
+        MODELS[key] = train_on(documents, _t(spark, sf, "abuse_labels"))
+    model = MODELS[key]
     return abuse_scores(documents.withColumn("source", clean_source("source")), model, ["source"]), model.threshold
 
 
