@@ -1,15 +1,15 @@
 """Mixing sources to target weights (problem 7).
 
-The documents of a source, in pseudorandom order, are one stream of tokens cut into blocks of fixed length. Each output
+The documents of a source, in pseudorandom order, are one stream of tokens packed into blocks of fixed length. Each output
 shard draws how many of its slots each source gets (multinomially, from what is left of the sources' quotas). The slots of a source are
 numbered through all shards; the number is mapped through a pseudorandom permutation of the source's blocks, a new one
-for each pass over it. Slots and blocks are joined by that index. The result names pieces of documents, not their tokens.
+for each pass over it. Slots and blocks are joined by that index. ``mix_blocks`` gives the tokens, ``mix_sources`` only names the pieces of documents.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,32 +24,78 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Longer runs of blanks are more than the pattern can look ahead through; they are encoded by themselves.
+LONG_RUN = 100_000
+#: What the pattern calls a blank.
+BLANK = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: Shards whose counts are drawn together, see ``_slots``.
+GROUP = 256
+
+
 def _ranks(vocabulary: str) -> dict[bytes, int]:
     with open(vocabulary, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def count_tokens(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns of ``documents`` but ``text``, with ``n_tokens`` of the whole text; null and empty texts have 0.
+def encoder(ranks: dict[bytes, int]) -> Callable[[str | None], list[int]]:
+    """The token ids of a text (none of a null one); strings of special tokens are ordinary text.
+
+    The pattern takes a run of blanks but for its last, which goes to the word behind it; so a long run is one piece whatever is around it.
+    """
+    import re
+
+    import tiktoken
+
+    coder = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    long = re.compile(f"{BLANK}{{{LONG_RUN},}}")
 
-    The vocabulary is read by the driver and sent to the workers (under 1 MB); strings of special tokens are ordinary text.
+    def encode(text: str | None) -> list[int]:
+        out, at = [], 0
+        for run in long.finditer(text) if text and len(text) >= LONG_RUN else ():
+            stop = run.end() - (run.end() < len(text))
+            out += coder.encode_ordinary(text[at : run.start()]) + coder._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return out + coder.encode_ordinary(text[at:]) if text else out
+
+    return encode
+
+
+def count_tokens(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
+    """The columns of ``documents`` but ``text``, with ``n_tokens`` of the whole text, and with ``ids`` the ``tokens`` themselves; null and empty texts
+    have none. The vocabulary is read by the driver and sent to the workers (under 1 MB).
     """
     shared = documents.sparkSession.sparkContext.broadcast(_ranks(vocabulary))
     keep = [c for c in documents.columns if c != text]
-    schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType())])
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([documents.schema[c] for c in keep] + made[: 1 + ids])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import tiktoken
 
-        coder = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        encode = encoder(shared.value)
         for b in batches:
-            n = [len(coder.encode_ordinary(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
+            for k, n in slices(b.column(len(keep))):
+                part = b.slice(k, n)
+                tokens = [encode(t) for t in part.column(len(keep)).to_pylist()]
+                new = [pa.array(map(len, tokens), pa.int64()), pa.array(tokens, pa.list_(pa.int32()))] if ids else [pa.array(map(len, tokens), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *new], names=schema.names)
 
     return documents.select(*keep, text).mapInArrow(run, schema)
 
 
+def slices(texts, size: int = 8 << 20):
+    """(first row, rows) of slices of an Arrow array of texts, of at most ``size`` bytes or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    k = 0
+    while k < len(n):
+        stop = max(k + 1, int(np.searchsorted(n, (n[k - 1] if k else 0) + size, side="right")))
+        yield k, stop - k
+        k = stop
+
+
 def permute(index, size, seed):
     """Image of ``index`` under a pseudorandom permutation of ``range(size)``, one per seed; arrays of equal length.
 
@@ -111,18 +157,17 @@ def _targets(targets: DataFrame) -> DataFrame:
     return one.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
 
 
-def tokens_by_document(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Columns ``doc_id, source, n_tokens`` of all documents, written into the shared folder."""
-    return stage(count_tokens(documents.select(F.col(doc_id).alias("doc_id"), clean_source(source).alias("source"), F.col(text).alias("text")), "text", vocabulary), "tokens")
+def tokens_by_document(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
+    """Columns ``doc_id, source, n_tokens`` (and ``tokens`` with ``ids``) of all documents, written into the shared folder."""
+    rows = documents.select(F.col(doc_id).alias("doc_id"), clean_source(source).alias("source"), F.col(text).alias("text"))
+    return stage(count_tokens(rows, "text", vocabulary, ids), "tokens")
 
 
-def mix_sources(tokens: DataFrame, targets: DataFrame, block_tokens: int = 512, shard_slots: int = 4096, max_shards: int = 4096, seed: int = 7) -> DataFrame:
-    """One row per piece of a document in the mixture: ``shard, slot, source, block, pass, at, doc_id, first_token, n_tokens``.
+def _slots(tokens: DataFrame, targets: DataFrame, block_tokens: int, shard_slots: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """Columns ``shard, source, pass, slot, block`` of all slots, and the sources that give any.
 
-    ``tokens`` comes from ``tokens_by_document``. Each source gets ``target_share`` of the tokens of all documents, but never more than
-    ``max_repeats`` passes over its own; a source without tokens gives nothing. Quotas are rounded to whole blocks of
-    ``block_tokens``; the last block of a source may be shorter. No document is used in more than ``max_repeats`` passes, each
-    pass uses each token at most once. ``targets`` is a small settings table (one row per source), read by the driver.
+    Counts are drawn for groups of GROUP shards by the driver (one row a group: 500 million tokens at the usual sizes) and from these for the shards of each
+    group by the executors, in the same way; no shard has more than ``shard_slots`` slots.
     """
     spark = tokens.sparkSession
     wanted = {r.source: r for r in _targets(targets).collect()}
@@ -130,51 +175,90 @@ def mix_sources(tokens: DataFrame, targets: DataFrame, block_tokens: int = 512,
     have = {r.source: r.n or 0 for r in sums.collect()}
     total = sum(have.values())
     names = sorted(s for s in wanted if have.get(s))
-    blocks = {s: -(-have[s] // block_tokens) for s in names}
-    quota = [min(round(wanted[s].target_share * total / block_tokens), blocks[s] * wanted[s].max_repeats) for s in names]
-    shards = max(1, min(max_shards, -(-sum(quota) // shard_slots)))
-    slots = -(-sum(quota) // shards)
-    plan, used = [], dict.fromkeys(names, 0)
-    for k, counts in enumerate(draw_counts(quota, slots, shards, seed)):
-        before = 0
-        for s, n in zip(names, counts, strict=True):
-            if n:
-                plan.append((k, s, n, used[s], before, sum(counts), blocks[s], names.index(s)))
-                used[s], before = used[s] + n, before + n
-    plan = spark.createDataFrame(plan, "shard int, source string, n long, used long, before long, slots long, blocks long, number long").repartition(tasks(spark), "shard", "source")
+    blocks = [-(-have[s] // block_tokens) for s in names]
+    quota = [min(round(wanted[s].target_share * total / block_tokens), n * wanted[s].max_repeats) for s, n in zip(names, blocks, strict=True)]
+    groups, used, plan = -(-sum(quota) // (GROUP * shard_slots)), [0] * len(names), []
+    for k, counts in enumerate(draw_counts(quota, GROUP * shard_slots, groups, seed)):
+        plan.append((k, counts, used))
+        used = [a + n for a, n in zip(used, counts, strict=True)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for g in b.to_pylist():
+                rows, used = [], g["used"]
+                for k, counts in enumerate(draw_counts(g["counts"], shard_slots, -(-sum(g["counts"]) // shard_slots), seed + 1 + g["group"])):
+                    before = 0
+                    for s, n in enumerate(counts):
+                        if n:
+                            rows.append((g["group"] * GROUP + k, s, names[s], n, used[s], before, sum(counts), blocks[s]))
+                            used[s], before = used[s] + n, before + n
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 2 else pa.int64()) for i, c in enumerate(cols)], names=["shard", "number", "source", "n", "used", "before", "slots", "blocks"])
+
+    plan = spark.createDataFrame(plan, "group long, counts array<long>, used array<long>").repartition(tasks(spark), "group")
+    plan = plan.mapInArrow(run, "shard long, number long, source string, n long, used long, before long, slots long, blocks long").repartition(tasks(spark), "shard", "source")
     slot = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     turn = F.col("used") + F.col("i")
     slot = slot.withColumns({"pass": F.floor(turn / F.col("blocks")).cast("int"), "_nth": F.pmod(turn, F.col("blocks"))})
-    slot = slot.select(
+    return slot.select(
         "shard", "source", "pass",
         _permuted(F.col("before") + F.col("i"), F.col("slots"), F.xxhash64(F.lit(seed), "shard")).alias("slot"),
         _permuted(F.col("_nth"), F.col("blocks"), F.xxhash64(F.lit(seed), "number", "pass")).alias("block"),
-    )
+    ), names
+
+
+def mix_sources(tokens: DataFrame, targets: DataFrame, block_tokens: int = 512, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
+    """One row per piece of a document in the mixture: ``shard, slot, source, block, pass, at, doc_id, first_token, n_tokens``.
+
+    ``tokens`` comes from ``tokens_by_document``. Each source gets ``target_share`` of the tokens of all documents, but never more than
+    ``max_repeats`` passes over its own; a source without tokens gives nothing. Quotas are rounded to whole blocks of
+    ``block_tokens``; the last block of a source may be shorter. No document is used in more than ``max_repeats`` passes, each
+    pass uses each token at most once. ``targets`` is a small settings table (one row per source), read by the driver.
+    """
+    slot, names = _slots(tokens, targets, block_tokens, shard_slots, seed)
     # the plan's few rows unfold into one per slot, which the planner can't foresee: never broadcast them
-    return slot.hint("merge").join(pack_blocks(tokens.where(F.col("source").isin(names)), block_tokens, seed), ["source", "block"]).select("shard", "slot", "source", "block", "pass", "at", "doc_id", "first_token", "n_tokens")
+    pieces = pack_blocks(tokens.where(F.col("source").isin(names)), block_tokens, seed)
+    return slot.hint("merge").join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "at", "doc_id", "first_token", "n_tokens")
+
+
+def mix_blocks(tokens: DataFrame, targets: DataFrame, block_tokens: int = 512, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
+    """The mixture itself: ``shard, slot, source, block, pass, tokens``, one row per slot, with the token ids of its block (``block_tokens`` of them, fewer in the last
+    block of a source). ``tokens`` comes from ``tokens_by_document(..., ids=True)``; slots and blocks are those of ``mix_sources``.
+    """
+    slot, names = _slots(tokens, targets, block_tokens, shard_slots, seed)
+    pieces = pack_blocks(tokens.where(F.col("source").isin(names)), block_tokens, seed, ids=True)
+    blocks = pieces.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    blocks = blocks.select("source", "block", F.flatten("parts.part").alias("tokens"))
+    return slot.hint("merge").join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "tokens")
 
 
-def pack_blocks(tokens: DataFrame, block_tokens: int, seed: int = 7) -> DataFrame:
-    """Columns ``source, block, at, doc_id, first_token, n_tokens``: where each document's tokens lie in its source's blocks.
+def pack_blocks(tokens: DataFrame, block_tokens: int, seed: int = 7, ids: bool = False) -> DataFrame:
+    """Columns ``source, block, at, doc_id, first_token, n_tokens`` (and ``part``, the tokens, with ``ids``): where each document's tokens lie in its source's blocks.
 
     The order is that of hash groups and hashes within them. Offsets are prefix sums in two steps, group totals first, so that
-    no source is ever summed in one task. Documents without tokens or without source lie nowhere.
+    no source is ever summed in one task. Documents without tokens or without source lie nowhere. A document is cut into its pieces in one step, which costs
+    as much as it has tokens.
     """
     groups = 4 * tasks(tokens.sparkSession)
-    rows = tokens.where("n_tokens > 0 AND source IS NOT NULL").select("source", "doc_id", "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    own = ["tokens"] if ids else []
+    rows = tokens.where("n_tokens > 0 AND source IS NOT NULL").select("source", "doc_id", "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("h"), *own)
     rows = rows.withColumn("group", F.pmod("h", F.lit(groups)).cast("int"))
     before = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("source", "group").agg(F.sum("n_tokens").alias("sum")).select("source", "group", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("source", "group").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("until", F.sum("n_tokens").over(own)).join(bases, ["source", "group"])
-    start = F.col("base") + F.col("until") - F.col("n_tokens")
-    rows = rows.select("source", "doc_id", "n_tokens", start.alias("start"))
+    within = Window.partitionBy("source", "group").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("until", F.sum("n_tokens").over(within)).join(bases, ["source", "group"])
+    rows = rows.withColumn("start", F.col("base") + F.col("until") - F.col("n_tokens"))
     size = F.lit(block_tokens)
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n_tokens") - 1) / size)
-    rows = rows.select("*", F.explode(F.sequence(first, last)).alias("block"))
-    head = F.greatest(F.col("start"), F.col("block") * size)
-    tail = F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * size)
-    return rows.select("source", "block", (head - F.col("block") * size).alias("at"), "doc_id", (head - F.col("start")).alias("first_token"), (tail - head).alias("n_tokens"))
+
+    def piece(block: Column) -> Column:
+        head, tail = F.greatest(F.col("start"), block * size), F.least(F.col("start") + F.col("n_tokens"), (block + 1) * size)
+        part = [F.slice("tokens", (head - F.col("start")).cast("int") + 1, (tail - head).cast("int")).alias("part")] if ids else []
+        return F.struct(block.alias("block"), (head - block * size).alias("at"), "doc_id", (head - F.col("start")).alias("first_token"), (tail - head).alias("n_tokens"), *part)
+
+    return rows.select("source", F.inline(F.transform(F.sequence(first, last), piece)))
 
 
 def mixture_shares(tokens: DataFrame, targets: DataFrame, mixture: DataFrame) -> DataFrame:
@@ -191,27 +275,3 @@ def mixture_shares(tokens: DataFrame, targets: DataFrame, mixture: DataFrame) ->
         number("available").alias("available_tokens"), number("used").alias("used_tokens"), number("passes").alias("passes"),
         F.coalesce(number("used") / F.sum(number("used")).over(whole), F.lit(0.0)).alias("actual_share"),
     )
-
-
-def fill_blocks(mixture: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The token ids of a mixture: ``shard, slot, source, tokens``, one row per slot of at most a block's length.
-
-    Documents are tokenized once and joined to their pieces; only the piece of each goes on to its slot.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(_ranks(vocabulary))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import tiktoken
-
-        coder = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
-        for b in batches:
-            ids = [coder.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
-
-    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
-    whole = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
-    part = F.slice("tokens", F.col("first_token").cast("int") + 1, F.col("n_tokens").cast("int"))
-    pieces = mixture.join(whole, "doc_id").select("shard", "slot", "source", "at", part.alias("part"))
-    blocks = pieces.groupBy("shard", "slot", "source").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
-    return blocks.select("shard", "slot", "source", F.flatten("parts.part").alias("tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .abuse import Model, abuse_scores, rates_by_source, train_on
 from .leakage import leaked_items, leaked_passages
-from .mixing import mix_sources, mixture_shares, tokens_by_document
+from .mixing import mix_blocks, mix_sources, mixture_shares, tokens_by_document
 from .sources import clean_source
 
 
@@ -30,6 +30,10 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "eval_items").select("item_id", "suite").join(found, "item_id", "left").fillna(0, ["docs"])
 
 
+def p7_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_blocks(tokens_by_document(_t(spark, sf, "documents"), ids=True), _t(spark, sf, "mix_targets"))
+
+
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(tokens_by_document(_t(spark, sf, "documents")), _t(spark, sf, "mix_targets"))
 
@@ -65,5 +69,5 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rates_by_source(*_scores(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p6_items, p7_blocks, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 ORACLES: dict[str, str] = {}

@@ -89,23 +89,54 @@ def test_nothing_to_mix(spark, mixed):
     assert mixing.mixture_shares(tokens.limit(0), targets, mixing.mix_sources(tokens.limit(0), targets)).count() == 3
 
 
-def test_blocks_filled_with_tokens(spark, mixed):
-    _, _, mixture, docs = mixed
-    documents = spark.createDataFrame([(d[0], d[1], "x") for d in docs], "doc_id long, text string, slot string")
-    want = collections.defaultdict(list)
+def test_blocks_hold_the_tokens_of_their_pieces(spark, mixed):
+    _, targets, mixture, docs = mixed
+    documents = spark.createDataFrame([(*d[:3], "x") for d in docs], "doc_id long, text string, source string, tokens string")
+    want, encode = collections.defaultdict(list), mixing.encoder(mixing._ranks(mixing.VOCABULARY))
     for r in sorted(mixture.collect(), key=lambda r: r.at):
-        want[r.shard, r.slot] += encoder().encode_ordinary(docs[r.doc_id][1])[r.first_token : r.first_token + r.n_tokens]
-    got = {(r.shard, r.slot): r.tokens for r in mixing.fill_blocks(mixture, documents).collect()}
+        want[r.shard, r.slot] += encode(docs[r.doc_id][1])[r.first_token : r.first_token + r.n_tokens]
+    got = {(r.shard, r.slot): r.tokens for r in mixing.mix_blocks(mixing.tokens_by_document(documents, ids=True), targets, block_tokens=64, shard_slots=50).collect()}
     assert got == want
 
 
-def encoder():
+def test_blocks_hold_each_token_once_a_pass(spark):
+    docs = [(k, " ".join(f"w{k}x{j}" for j in range(k % 40)), "s", ) for k in range(300)] + [(7, "same id again", "s"), (7, "same id again", "s"), (8, None, "s")]
+    documents, targets = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([("s", 3.0, 2)], "source string, target_share double, max_repeats int")
+    tokens = mixing.tokens_by_document(documents, ids=True)
+    every = collections.Counter(t for r in tokens.collect() for t in r.tokens)
+    rows = mixing.mix_blocks(tokens, targets, block_tokens=64, shard_slots=7).collect()
+    assert collections.Counter(t for r in rows for t in r.tokens) == {t: 2 * n for t, n in every.items()}
+    assert max(collections.Counter(r.shard for r in rows).values()) == 7 and {len(r.tokens) for r in rows} <= {64, sum(every.values()) % 64}
+
+
+def test_shards_in_many_groups(spark, mixed, monkeypatch):
+    """Counts drawn in two steps: the same quotas, no shard over its size, however many there are."""
+    tokens, targets, mixture, _ = mixed
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    slots, names = mixing._slots(tokens, targets, 64, 5, 7)
+    rows = slots.collect()
+    size = lambda df: {r.source: r["count"] for r in df.groupBy("source").count().collect()}
+    assert size(slots) == size(mixture.select("shard", "slot", "source").distinct())
+    shards = collections.Counter(r.shard for r in rows)
+    assert len(shards) > 6 and sorted(shards) == list(range(len(shards))) and set(shards.values()) <= {5, len(rows) % 5}
+    assert len({(r.shard, r.slot) for r in rows}) == len({(r.source, r["pass"], r.block) for r in rows}) == len(rows)
+
+
+def test_long_runs_of_blanks(monkeypatch):
     import tiktoken
 
-    return tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks=mixing._ranks(mixing.VOCABULARY), special_tokens={})
+    ranks = mixing._ranks(mixing.VOCABULARY)
+    plain = tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    monkeypatch.setattr(mixing, "LONG_RUN", 5)
+    encode, r = mixing.encoder(ranks), np.random.default_rng(0)
+    for _ in range(300):
+        text = "".join(r.choice([" ", " " * 9, "\n", "\n\n\n\n\n\n", " \n\t\u3000\x85 ", "\u2003" * 6, "a", "don't", "7", "!?", "\x1c", "字"], 12))
+        assert encode(text) == plain(text)
+    monkeypatch.setattr(mixing, "LONG_RUN", 100_000)
+    encode = mixing.encoder(ranks)
+    assert len(encode(" " * 2_000_000 + "x")) == 2_000_000 and len(encode("x" + "\n" * 2_000_001)) == 1_000_002 and encode(None) == encode("") == []
 
 
 def test_token_counts_agree_with_the_tokenizer(mixed):
-    coder = encoder()
-    want = {d[0]: len(coder.encode_ordinary(d[1] or "")) for d in mixed[3]}
-    assert {r.doc_id: r.n_tokens for r in mixed[0].collect()} == want
+    encode = mixing.encoder(mixing._ranks(mixing.VOCABULARY))
+    assert {r.doc_id: r.n_tokens for r in mixed[0].collect()} == {d[0]: len(encode(d[1])) for d in mixed[3]}

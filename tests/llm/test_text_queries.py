@@ -8,6 +8,7 @@ COLUMNS = {
     "p6_found": {"doc_id", "item_id"},
     "p6_matches": {"doc_id", "item_id", "kind"},
     "p6_items": {"item_id", "suite", "docs"},
+    "p7_blocks": {"shard", "slot", "source", "block", "pass", "tokens"},
     "p7_mixture": {"shard", "slot", "source", "block", "pass", "at", "doc_id", "first_token", "n_tokens"},
     "p7_shares": {"source", "target_share", "max_repeats", "target_tokens", "available_tokens", "used_tokens", "passes", "actual_share"},
     "p8_found": {"doc_id"},
@@ -23,6 +24,9 @@ def test_query(spark, sf, name):
     plan = df._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert set(df.columns) == COLUMNS[name]
+    if name == "p7_blocks":
+        rows = [(*r[:-1], len(r[-1])) for r in rows]
+        assert 0 < max(r[-1] for r in rows) <= 512 and len({r[:2] for r in rows}) == len(rows)
     if name.endswith("_found"):
         assert len(set(rows)) == len(rows)
     if name == "p8_scores":
