@@ -1,72 +1,152 @@
 """References to records that do not exist (problem 4).
 
-Change deltas carry signed counts per key: +1 where a holder of the key appears, -1 where it goes, and a reference mark.
-Summed in event order they give, at each reference, how many holders exist; a reference with none is an orphan.
+Change deltas carry signed counts per key: a holder of the key appears (+1) or goes (-1), a reference to it appears or goes. Summed they are the
+state of a key: how many references it has and how many holders; a key with references and no holder is an orphan. ``key_states`` keeps
+that state and goes on from an older one; ``orphan_references`` follows it through time and gives each referring row at whose own time nothing held its key.
 
-A hot key (more than 1/(4 x shuffle partitions) of all rows, so there are at most that many) is cut into blocks of time: block
-totals are summed first and each block starts from the sum of those before it. All other keys are one block.
+Rows and deltas are range-partitioned by (key, time, row): a key with much of the table, or very many rows at one time, spreads over tasks. Each task
+adds up its own rows and streams them out; what a task's first key had before comes from an edge table (two rows a task).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import stage
+
+START = -(1 << 63)
+
+
+def _deltas(history: DataFrame, key: Column, present: Column, name: str) -> DataFrame:
+    there = F.coalesce(present, F.lit(False))
+    ends = F.array(
+        F.struct(F.col("valid_from_ns").alias("ns"), there.cast("int").alias("n"), F.lit(True).alias("begins")),
+        F.struct(F.when(there & (F.col("valid_to_ns") != 0), F.col("valid_to_ns")).alias("ns"), F.lit(-1).alias("n"), F.lit(False).alias("begins")),
+    )
+    rows = history.where(key.isNotNull()).select(key.alias("key"), F.xxhash64(*history.columns).alias("salt"), F.inline(ends)).where("ns IS NOT NULL")
+    counts = {c: F.col("n") if c == name else F.lit(0) for c in ("holders", "references")}
+    return rows.select("key", "ns", "salt", *(v.alias(k) for k, v in counts.items()), (F.col("begins") if name == "holders" else F.lit(False)).alias("begins"))
+
+
+def existence_deltas(history: DataFrame, key: Column, present: Column) -> DataFrame:
+    """Columns ``key, ns, salt, holders, references, begins``: signed changes of existence from versions as ``attribute_history`` gives them.
+
+    A version without presence gives 0: the key is known, nothing exists. Null keys are left out.
+    """
+    return _deltas(history, key, present, "holders")
+
 
-from ..session import tasks
+def reference_deltas(history: DataFrame, key: Column, present: Column) -> DataFrame:
+    """The same for references: each version refers to ``key`` while it is valid, if ``present``."""
+    return _deltas(history, key, present, "references")
 
 
-def existence_deltas(history: DataFrame, key: str, present: Column) -> DataFrame:
-    """Columns ``key, ns, delta``: signed existence changes of versions as ``attribute_history`` gives them.
+def key_states(deltas: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """One row per key: ``key, references, holders, first_ns`` (when the key first was known to exist or not to, null if never) after all deltas.
 
-    A version without presence gives delta 0: the key is known, nothing exists. Null keys are left out.
+    ``state`` is an earlier result; ``deltas`` then are those since. Deltas are added up before the shuffle.
     """
-    ends = F.array(F.struct(F.col("valid_from_ns").alias("ns"), F.when(present, 1).otherwise(0).alias("delta")), F.struct(F.when(present & (F.col("valid_to_ns") != 0), F.col("valid_to_ns")).alias("ns"), F.lit(-1).alias("delta")))
-    return history.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.inline(ends)).where("ns IS NOT NULL")
-
-
-def _hot(raw: list[tuple[DataFrame, Column, Column]], shards: int) -> tuple[DataFrame, int, int]:
-    """Keys with more than 1/shards of all rows (so fewer than ``shards`` of them), the first time, the width of a block."""
-    keys = None
-    for df, key, ns in raw:
-        one = df.select(key.alias("key"), ns.alias("ns")).groupBy("key").agg(F.count("*").alias("n"), F.min("ns").alias("lo"), F.max("ns").alias("hi"))
-        keys = one if keys is None else keys.unionByName(one)
-    keys = keys.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    spark = keys.sparkSession
-    total = sum(df.count() for df, _, _ in raw)
-    found = keys.where(F.col("key").isNotNull() & (F.col("n") > max(1, total // shards))).collect()
-    lo = min((r.lo for r in found if r.lo is not None), default=0)
-    hi = max((r.hi for r in found if r.hi is not None), default=0)
-    return spark.createDataFrame([(r.key,) for r in found], "hot string"), lo, (hi - lo) // shards + 1
-
-
-def orphan_references(
-    references: DataFrame,
-    deltas: DataFrame,
-    raw: list[tuple[DataFrame, Column, Column]],
-    shards: int | None = None,
-) -> DataFrame:
-    """The rows of ``references`` (columns ``key, ns`` and any others) whose key nothing holds at their own time, with ``reason``.
-
-    Deltas at the very time of a reference count. ``missing``: no delta for the key at all (a null key always), ``late``: the first
-    one is later, ``deleted``: otherwise. References without time are left out. ``raw`` names logs with their key and
-    time columns, from which hot keys are counted; it affects the plan only.
+    rows = deltas.select("key", F.col("references").cast("long"), F.col("holders").cast("long"), F.when(F.col("begins"), F.col("ns")).alias("first_ns"))
+    if state is not None:
+        rows = rows.unionByName(state.select("key", "references", "holders", "first_ns"))
+    return rows.groupBy("key").agg(F.sum("references").alias("references"), F.sum("holders").alias("holders"), F.min("first_ns").alias("first_ns"))
+
+
+def orphan_keys(state: DataFrame) -> DataFrame:
+    """The current orphan report: keys with references and no holder, ``key, references, reason`` (``missing``: never known, else ``deleted``)."""
+    reason = F.when(F.col("first_ns").isNull(), "missing").otherwise("deleted")
+    return state.where((F.col("references") > 0) & (F.col("holders") <= 0)).select("key", "references", reason.alias("reason"))
+
+
+def _follow(batches: Iterator) -> Iterator:
+    """Running counts of each key over sorted events. Rows (``mark``) at which nothing held the key, and all rows of a key that may have begun in an
+    earlier task (``open``), with the counts so far; at the end the counts of the first and the last key (``edge``)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    key, held, refs, first, opened, head = None, 0, 0, None, True, None
+
+    def out(t, open_, held, refs, first, known, edge):
+        n = t.num_rows
+        new = [pa.array(np.full(n, part, "i4")), pa.array(open_), pa.array(np.full(n, edge)), pa.array(held), pa.array(refs), pa.array(first, mask=~known)]
+        cols = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in t.columns]
+        return pa.RecordBatch.from_arrays([*cols, *new], names=[*t.column_names, "_part", "_open", "_edge", "_held", "_refs", "_first"])
+
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        t = pa.Table.from_batches([b])
+        keys = t.column("key").combine_chunks()
+        new = np.ones(n, dtype=bool)
+        new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        new[0] = key is None or keys[0].as_py() != key
+        head = t.slice(0, 1) if head is None else head
+        ns, kind = t.column("ns").to_numpy(), t.column("_kind").to_numpy()
+        seg = np.cumsum(new)  # 0: the key of the batch before goes on
+        starts = np.flatnonzero(new)
+        sums = []
+        for c, so_far in (("holders", held), ("references", refs)):
+            total = np.cumsum(t.column(c).to_numpy().astype("i8"))
+            sums.append(total - np.concatenate([[-so_far], total[starts] - t.column(c).to_numpy()[starts]])[seg])
+        known = np.append(first is not None, kind[starts] == 0)[seg]
+        since = np.append(first or 0, t.column("_value").to_numpy()[starts])[seg]
+        # the first key of the task is open unless its first event, the one that says when it was known, is here
+        first_seg = (seg == 0) & opened
+        if key is None and part > 0 and kind[0] != 0:
+            first_seg = seg == 1
+        opened = bool(first_seg[-1])
+        row = np.flatnonzero((kind == 2) & (first_seg | (sums[0] <= 0)))
+        if len(row):
+            yield out(t.take(pa.array(row)), first_seg[row], sums[0][row], sums[1][row], since[row], known[row], False)
+        key, held, refs, first = keys[n - 1].as_py(), int(sums[0][-1]), int(sums[1][-1]), int(since[-1]) if known[-1] else None
+        last = t.slice(n - 1, 1)
+    if head is not None:
+        yield out(last, np.ones(1, dtype=bool), np.array([held]), np.array([refs]), np.array([first or 0]), np.array([first is not None]), True)
+        if head.column("key")[0].as_py() != key:
+            yield out(head, np.ones(1, dtype=bool), np.zeros(1, "i8"), np.zeros(1, "i8"), np.zeros(1, "i8"), np.zeros(1, dtype=bool), True)
+
+
+def orphan_references(references: DataFrame, *deltas: DataFrame) -> DataFrame:
+    """The rows of ``references`` (columns ``key, ns, uid`` and any others) whose key nothing holds at their own time, with ``reason`` and
+    ``references`` (how many references the key has then, the row's own always counted).
+
+    Deltas at the very time of a row count. ``missing``: no holder was ever known (a null key always), ``late``: the first
+    one is later, ``deleted``: otherwise. Rows without time are left out.
     """
-    shards = shards or 4 * tasks(references.sparkSession)
-    hot, lo, width = _hot(raw, shards)
-    rest = [c for c in references.columns if c not in ("key", "ns")]
-    refs = references.where("ns IS NOT NULL").select("key", "ns", F.lit(1).alias("ref"), F.lit(0).alias("delta"), F.struct(*rest).alias("row"))
-    marks = deltas.select("key", "ns", F.lit(0).alias("ref"), "delta", F.lit(None).cast(refs.schema["row"].dataType).alias("row"))
-    events = refs.unionByName(marks).join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
-    block = F.when(F.col("hot").isNotNull(), F.floor((F.col("ns") - lo) / width) + 1).otherwise(F.lit(0)).cast("long")
-    events = events.withColumn("block", block).drop("hot")
-    sums = events.where("block <> 0").groupBy("key", "block").agg(F.sum("delta").alias("d"), F.sum(1 - F.col("ref")).alias("m"))
-    earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("key", "block", F.sum("d").over(earlier).alias("held"), F.sum("m").over(earlier).alias("past"), F.sum("m").over(Window.partitionBy("key")).alias("all"))
-    own = Window.partitionBy("key", "block").orderBy("ns", "ref").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("key", "block").orderBy("ns", "ref").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mark = 1 - F.col("ref")
-    events = events.withColumns({"_held": F.sum("delta").over(own), "_past": F.sum(mark).over(own), "_all": F.sum(mark).over(whole)}).where("ref = 1")
-    events = events.join(sums, ["key", "block"], "left")
-    total = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    reason = F.when(F.greatest("_all", F.coalesce("all", F.lit(0))) == 0, "missing").when(total("_past", "past") == 0, "late").otherwise("deleted")
-    return events.where(total("_held", "held") <= 0).select("key", "ns", "row.*", reason.alias("reason"))
+    rest = [c for c in references.columns if c not in ("key", "ns", "uid")]
+    rows = references.where("ns IS NOT NULL").select("key", "ns", "uid", *(F.col(c).alias(f"_r{i}") for i, c in enumerate(rest)))
+    lost = rows.where("key IS NULL").withColumns({"reason": F.lit("missing"), "references": F.lit(1).cast("long")})
+    change = reduce(DataFrame.unionByName, deltas)
+    none = {f"_r{i}": F.lit(None).cast(references.schema[c].dataType) for i, c in enumerate(rest)}
+    zero = {"holders": F.lit(0), "references": F.lit(0), "_value": F.lit(0).cast("long")}
+    marks = rows.where("key IS NOT NULL").withColumns({"_kind": F.lit(2), "_salt": F.col("uid"), **zero})
+    changes = change.select("key", "ns", F.lit(None).cast(references.schema["uid"].dataType).alias("uid"), F.col("salt").alias("_salt"), "holders", "references").withColumns({"_kind": F.lit(1), "_value": zero["_value"], **none})
+    known = change.where("begins").groupBy("key").agg(F.min("ns").alias("_value"))
+    known = known.withColumns({"ns": F.lit(START), "uid": F.lit(None).cast(references.schema["uid"].dataType), "_salt": F.lit(0).cast("long"), "_kind": F.lit(0), "holders": zero["holders"], "references": zero["references"], **none})
+    events = marks.unionByName(changes).unionByName(known)
+    order = ["key", "ns", "_kind", "_salt"]
+    events = events.repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt")
+    made = [("_part", T.IntegerType()), ("_open", T.BooleanType()), ("_edge", T.BooleanType()), ("_held", T.LongType()), ("_refs", T.LongType()), ("_first", T.LongType())]
+    schema = T.StructType([*events.schema.fields, *(T.StructField(n, k) for n, k in made)])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    found = stage(events.mapInArrow(_follow, schema), "orphans")
+    before = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = found.where("_edge").select(F.col("key").alias("_k"), F.col("_part").alias("_p"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_held", "_refs")), F.min("_first").over(before).alias("_first0"))
+    own = [F.col(c) for c in ("key", "ns", "uid", *none)]
+    reason = lambda first: F.when(first.isNull(), "missing").when(first > F.col("ns"), "late").otherwise("deleted").alias("reason")
+    count = lambda n: F.greatest(n, F.lit(1).cast("long")).alias("references")
+    done = found.where("NOT _edge AND NOT _open").select(*own, reason(F.col("_first")), count(F.col("_refs")))
+    # two rows a task of the partitioning above
+    rest_of = found.where("NOT _edge AND _open").join(F.broadcast(edges), (F.col("key") == F.col("_k")) & (F.col("_part") == F.col("_p")))
+    rest_of = rest_of.where(F.col("_held") + F.col("_held0") <= 0).select(*own, reason(F.coalesce("_first", "_first0")), count(F.col("_refs") + F.col("_refs0")))
+    out = done.unionByName(rest_of).unionByName(lost)
+    return out.select("key", "ns", "uid", *(F.col(f"_r{i}").alias(c) for i, c in enumerate(rest)), "references", "reason")

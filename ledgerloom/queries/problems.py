@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id
@@ -10,7 +12,7 @@ from ..operators.changefeed import apply_feed
 from ..operators.copydiff import diff_copies, diff_values
 from ..operators.deliveries import first_delivery
 from ..operators.history import attribute_history
-from ..operators.references import existence_deltas, orphan_references
+from ..operators.references import existence_deltas, key_states, orphan_keys, orphan_references, reference_deltas
 from ..operators.scandiff import scan_changes
 
 
@@ -51,17 +53,31 @@ def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     return p3_found(spark, sf).groupBy("repo_id", "seen_id", "change").agg(F.count("*").alias("files"))
 
 
+def _tagged(tag: str, key: str) -> Column:
+    return F.concat(F.lit(f"{tag}/"), F.col(key))
+
+
+def _changes(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Signed reference and existence changes of both kinds of references; keys are tagged by the table that refers."""
+    files, names, repo = _t(spark, sf, "files_log"), _t(spark, sf, "repository_metadata_log"), {"repo_id": clean_id("repo_id")}
+    blobs = blob_history(spark, sf)
+    paths = attribute_history(files, {"path": F.col("path")}, {"blob_id": clean_id("blob_id")})
+    named = attribute_history(names, repo, {"named": F.col("name").isNotNull()})
+    return [
+        existence_deltas(blobs, _tagged("files_log", "blob_id"), F.col("has_blob")), reference_deltas(paths, _tagged("files_log", "blob_id"), F.lit(True)),
+        existence_deltas(named, _tagged("blobs_log", "repo_id"), F.col("named")), reference_deltas(blobs, _tagged("blobs_log", "repo_id"), F.col("has_blob")),
+    ]
+
+
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    files, blobs, names = (_t(spark, sf, t) for t in ("files_log", "blobs_log", "repository_metadata_log"))
-    blob, repo, ns = clean_id("blob_id"), clean_id("repo_id"), F.col("valid_from_ns")
-    when = {"ns": ns, "valid_from": F.col("valid_from")}
-    refs = first_delivery(files, {"key": blob, **when}).where("key IS NOT NULL").select("key", "ns", "uid", "valid_from")
-    held = existence_deltas(blob_history(spark, sf), "blob_id", F.col("has_blob"))
-    lost_blobs = orphan_references(refs, held, [(files, blob, ns), (blobs, blob, ns)]).select(F.lit("files_log").alias("table_name"), "uid", "valid_from", "reason")
-    refs = first_delivery(blobs, {"key": repo, **when}).select("key", "ns", "uid", "valid_from")
-    named = attribute_history(names, {"repo_id": repo}, {"named": F.col("name").isNotNull()})
-    lost_repos = orphan_references(refs, existence_deltas(named, "repo_id", F.col("named")), [(blobs, repo, ns), (names, repo, ns)])
-    return lost_blobs.unionByName(lost_repos.select(F.lit("blobs_log").alias("table_name"), "uid", "valid_from", "reason"))
+    files, blobs = _t(spark, sf, "files_log"), _t(spark, sf, "blobs_log")
+    when = {"ns": F.col("valid_from_ns"), "valid_from": F.col("valid_from")}
+    refs = [
+        first_delivery(log, {"key": clean_id(key), **when}).select(_tagged(name, "key").alias("key"), "ns", "uid", "valid_from", F.lit(name).alias("table_name"))
+        for log, name, key in ((files, "files_log", "blob_id"), (blobs, "blobs_log", "repo_id"))
+    ]
+    refs = refs[0].where("key IS NOT NULL").unionByName(refs[1])  # a file without blob is a deletion, no reference
+    return orphan_references(refs, *_changes(spark, sf))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,6 +89,13 @@ def p4_by_month(spark: SparkSession, sf: str) -> DataFrame:
     return _orphans(spark, sf).groupBy("table_name", month, "reason").agg(F.count("*").alias("orphans"))
 
 
+def p4_orphan_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The orphan report as of now: ids that are referred to and that nothing holds, with the number of references."""
+    found = orphan_keys(key_states(reduce(DataFrame.unionByName, _changes(spark, sf))))
+    parts = F.split("key", "/", 2)
+    return found.select(parts[0].alias("table_name"), parts[1].alias("id"), "references", "reason")
+
+
 def file_state(spark: SparkSession, sf: str) -> DataFrame:
     values = {"blob_id": clean_id("blob_id"), "valid_from": F.col("valid_from")}
     return apply_feed(_t(spark, sf, "files_log"), "path", values, F.col("blob_id").isNotNull())
@@ -86,7 +109,7 @@ def p5_state(spark: SparkSession, sf: str) -> DataFrame:
     return file_state(spark, sf).select("path", "blob_id", "valid_from", "uid")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_repository_names, p3_found, p3_counts, p4_found, p4_by_month, p5_found, p5_state)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_repository_names, p3_found, p3_counts, p4_found, p4_by_month, p4_orphan_keys, p5_found, p5_state)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 
@@ -156,6 +179,13 @@ ORACLES = {
     "p3_counts": f"{_P3} SELECT repo_id, seen_id, change, count(*) AS files FROM found GROUP BY ALL",
     "p4_found": f"{_P4} SELECT table_name, uid, reason FROM found",
     "p4_by_month": f"{_P4} SELECT table_name, strftime(valid_from, '%Y-%m') AS month, reason, count(*) AS orphans FROM found GROUP BY ALL",
+    "p4_orphan_keys": f"""{_P4},
+ now AS (SELECT path, k FROM (SELECT uid, path, {_id('blob_id')} AS k, valid_from_ns, log_offset FROM {_first('files_log')}) QUALIFY row_number() OVER (PARTITION BY path ORDER BY valid_from_ns DESC, log_offset DESC) = 1)
+ SELECT 'files_log' AS table_name, k AS id, count(*) AS references, CASE WHEN k IN (SELECT k FROM blob_first) THEN 'deleted' ELSE 'missing' END AS reason
+ FROM now WHERE k IS NOT NULL AND k NOT IN (SELECT blob_id FROM versions WHERE payload AND valid_to_ns = 0) GROUP BY k
+ UNION ALL
+ SELECT 'blobs_log', repo_id, count(*), CASE WHEN repo_id IN (SELECT k FROM repo_first) THEN 'deleted' ELSE 'missing' END
+ FROM versions WHERE payload AND valid_to_ns = 0 AND repo_id NOT IN (SELECT repo_id FROM named WHERE payload AND valid_to_ns = 0) GROUP BY repo_id""",
     "p5_found": f"SELECT path, uid FROM ({_P5}) WHERE blob_id IS NOT NULL",
     "p5_state": f"SELECT path, {_id('blob_id')} AS blob_id, valid_from, uid FROM ({_P5}) WHERE blob_id IS NOT NULL",
 }

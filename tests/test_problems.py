@@ -1,5 +1,6 @@
 """Problems 1 to 5 against plain Python, with nulls, ties, repeats, hot keys, empty tables and clashing extra columns."""
 
+import os
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from ledgerloom.functions.ids import clean_id
 from ledgerloom.operators.changefeed import apply_feed
 from ledgerloom.operators.copydiff import diff_copies, diff_values
 from ledgerloom.operators.history import attribute_history, merge_rounds
-from ledgerloom.operators.references import existence_deltas, orphan_references
+from ledgerloom.operators.references import existence_deltas, key_states, orphan_keys, orphan_references, reference_deltas
 from ledgerloom.operators.scandiff import scan_changes
 from ledgerloom.queries.problems import blob_fields
 
@@ -131,12 +132,13 @@ def test_scan_changes_of_nothing(spark):
     assert rows_of(scan_changes(o, s.limit(0))) == []
 
 
-@pytest.mark.parametrize("seed,shards", [(1, 2), (2, 6), (3, 1000)])
-def test_orphan_references(spark, seed, shards):
-    """With few shards the key with most rows is cut into blocks of time, with very many every key is."""
+@pytest.mark.parametrize("seed,batch", [(1, 10_000), (2, 3), (3, 1)])
+def test_orphan_references(spark, seed, batch):
+    """Half of the rows are of one key, many at one time, one far off; Arrow batches of few rows: what a task carries from batch to batch."""
     r = random.Random(seed)
     log = blob_log(seed, n=250, uids=10_000, keys=5, times=60, hot=0.5)
-    refs = [(None if r.random() < 0.05 else r.choice(["r0", "r0", "r1", "r4", "zz"]), r.choice([*range(70), None]), i) for i in range(200)]
+    refs = [(None if r.random() < 0.3 else r.choice(["r0", "r0", "r1", "r4", "zz"]), r.choice([*range(70), 30, 30, 30, 10**15, None]), i) for i in range(400)]
+    uses = [(x[0], 0 if r.random() < 0.3 else x[1]) for x in refs if x[0] and x[1] is not None]
     history = brute_history(log)
     want = []
     for key, ns, uid in refs:
@@ -145,19 +147,49 @@ def test_orphan_references(spark, seed, shards):
         own = [h for h in history if h[0] == key and key is not None]
         if not any(h[4] and h[2] <= ns and (h[3] == 0 or h[3] > ns) for h in own):
             first = min((h[2] for h in own), default=None)
-            want.append((uid, "missing" if first is None else "late" if first > ns else "deleted"))
+            count = sum(k == key and (t == 0 or t <= ns) for k, t in uses)
+            want.append((uid, "missing" if first is None else "late" if first > ns else "deleted", max(1, count)))
     df = spark.createDataFrame(log, BLOB_SCHEMA)
     hist = attribute_history(df, {"repo_id": clean_id("repo_id"), "blob_id": clean_id("blob_id")}, {"has_blob": F.col("has_blob")})
-    references = spark.createDataFrame([(*x, "c") for x in refs], "key string, ns long, uid long, block string")
-    got = orphan_references(references, existence_deltas(hist, "repo_id", F.coalesce("has_blob", F.lit(False))), [(references, F.col("key"), F.col("ns")), (df, clean_id("repo_id"), F.col("valid_from_ns"))], shards=shards)
-    assert rows_of(got.select("uid", "reason")) == ordered(want)
+    used = spark.createDataFrame([(*x, 0, i) for i, x in enumerate(uses)], "k string, valid_from_ns long, valid_to_ns long, i long")
+    references = spark.createDataFrame([(*x, "c") for x in refs], "key string, ns long, uid long, _part string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = orphan_references(references, existence_deltas(hist, F.col("repo_id"), F.col("has_blob")), reference_deltas(used, F.col("k"), F.lit(True)))
+        assert rows_of(got.select("uid", "reason", "references")) == ordered(want)
+        assert set(got.columns) == {"key", "ns", "uid", "_part", "references", "reason"}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_rows_of_one_key_and_time_spread_over_tasks(spark):
+    """A third of the rows without key, a third of one key at one time, and one far-off time: no task has much more than its share."""
+    refs = spark.range(9000).select(F.when(F.col("id") % 3 == 1, "hot").when(F.col("id") % 3 == 2, F.concat(F.lit("k"), F.col("id") % 100)).alias("key"), F.when(F.col("id") == 4, 10**18).otherwise(5).cast("long").alias("ns"), F.col("id").alias("uid"))
+    held = spark.createDataFrame([("hot", 1, 5, 1), ("hot", 6, 0, 2)], "k string, valid_from_ns long, valid_to_ns long, n int")
+    got = orphan_references(refs, existence_deltas(held, F.col("k"), F.lit(True)))
+    assert got.groupBy("reason").count().orderBy("reason").collect() == [("deleted", 2999), ("missing", 6000)]
+    import glob
+
+    staged = max(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/orphans-*"), key=os.path.getmtime)
+    sizes = [r["count"] for r in spark.read.parquet(staged).where("NOT _edge").groupBy("_part").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 2 * min(sizes)
 
 
 def test_orphan_references_of_nothing(spark):
     refs = spark.createDataFrame([("k", 1, 1)], "key string, ns long, uid long")
-    none = spark.createDataFrame([], "key string, ns long, delta int")
-    assert rows_of(orphan_references(refs, none, [(refs, F.col("key"), F.col("ns"))]).select("uid", "reason")) == [(1, "missing")]
-    assert orphan_references(refs.limit(0), none, [(refs.limit(0), F.col("key"), F.col("ns"))]).count() == 0
+    none = existence_deltas(spark.createDataFrame([], "k string, valid_from_ns long, valid_to_ns long"), F.col("k"), F.lit(True))
+    assert rows_of(orphan_references(refs, none).select("uid", "reason")) == [(1, "missing")]
+    assert orphan_references(refs.limit(0), none).count() == 0
+
+
+def test_key_states_go_on(spark):
+    schema = "k string, valid_from_ns long, valid_to_ns long"
+    held, used = spark.createDataFrame([("a", 5, 9), ("b", 2, 0), (None, 1, 0)], schema), spark.createDataFrame([("a", 1, 0), ("a", 3, 4), ("c", 1, 0), ("b", 1, 0)], schema)
+    deltas = existence_deltas(held, F.col("k"), F.lit(True)).unionByName(reference_deltas(used, F.col("k"), F.lit(True)))
+    whole = key_states(deltas)
+    assert rows_of(whole) == ordered([("a", 1, 0, 5), ("b", 1, 1, 2), ("c", 1, 0, None)])
+    assert rows_of(key_states(deltas.where("ns > 3"), key_states(deltas.where("ns <= 3")))) == rows_of(whole)
+    assert rows_of(orphan_keys(whole)) == [("a", 1, "deleted"), ("c", 1, "missing")]
 
 
 @pytest.mark.parametrize("seed,batches", [(1, 1), (2, 3), (3, 7)])
