@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ids import digest
 from ..session import stage
 
 START = -(1 << 63)
@@ -64,41 +65,38 @@ def orphan_keys(state: DataFrame) -> DataFrame:
 
 
 def _follow(batches: Iterator) -> Iterator:
-    """Running counts of each key over sorted events. Rows (``mark``) at which nothing held the key, and all rows of a key that may have begun in an
-    earlier task (``open``), with the counts so far; at the end the counts of the first and the last key (``edge``)."""
+    """Running counts of each key over sorted events. Rows (kind 2) at which nothing held the key, and all rows of a key that may have begun in an
+    earlier task (``_open``), with the counts so far; at the end the counts of the first and the last key (``_edge``)."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    key, held, refs, first, opened, head = None, 0, 0, None, True, None
+    key, held, refs, first, opened, head, last = None, 0, 0, None, True, None, None
 
     def out(t, open_, held, refs, first, known, edge):
         n = t.num_rows
         new = [pa.array(np.full(n, part, "i4")), pa.array(open_), pa.array(np.full(n, edge)), pa.array(held), pa.array(refs), pa.array(first, mask=~known)]
-        cols = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in t.columns]
-        return pa.RecordBatch.from_arrays([*cols, *new], names=[*t.column_names, "_part", "_open", "_edge", "_held", "_refs", "_first"])
+        return pa.RecordBatch.from_arrays([*t.columns, *new], names=[*t.schema.names, "_part", "_open", "_edge", "_held", "_refs", "_first"])
 
-    for b in batches:
-        n = b.num_rows
+    for t in batches:
+        n = t.num_rows
         if not n:
             continue
-        t = pa.Table.from_batches([b])
-        keys = t.column("key").combine_chunks()
+        k1, k2, kind, value = (t.column(c).to_numpy(zero_copy_only=False) for c in ("_k1", "_k2", "_kind", "_value"))
         new = np.ones(n, dtype=bool)
-        new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        new[0] = key is None or keys[0].as_py() != key
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        new[0] = key != (k1[0], k2[0])
         head = t.slice(0, 1) if head is None else head
-        ns, kind = t.column("ns").to_numpy(), t.column("_kind").to_numpy()
         seg = np.cumsum(new)  # 0: the key of the batch before goes on
         starts = np.flatnonzero(new)
         sums = []
         for c, so_far in (("holders", held), ("references", refs)):
-            total = np.cumsum(t.column(c).to_numpy().astype("i8"))
-            sums.append(total - np.concatenate([[-so_far], total[starts] - t.column(c).to_numpy()[starts]])[seg])
+            delta = t.column(c).to_numpy(zero_copy_only=False).astype("i8")
+            total = np.cumsum(delta)
+            sums.append(total - np.concatenate([[-so_far], total[starts] - delta[starts]])[seg])
         known = np.append(first is not None, kind[starts] == 0)[seg]
-        since = np.append(first or 0, t.column("_value").to_numpy()[starts])[seg]
+        since = np.append(first or 0, value[starts])[seg]
         # the first key of the task is open unless its first event, the one that says when it was known, is here
         first_seg = (seg == 0) & opened
         if key is None and part > 0 and kind[0] != 0:
@@ -107,46 +105,49 @@ def _follow(batches: Iterator) -> Iterator:
         row = np.flatnonzero((kind == 2) & (first_seg | (sums[0] <= 0)))
         if len(row):
             yield out(t.take(pa.array(row)), first_seg[row], sums[0][row], sums[1][row], since[row], known[row], False)
-        key, held, refs, first = keys[n - 1].as_py(), int(sums[0][-1]), int(sums[1][-1]), int(since[-1]) if known[-1] else None
+        key, held, refs, first = (k1[-1], k2[-1]), int(sums[0][-1]), int(sums[1][-1]), int(since[-1]) if known[-1] else None
         last = t.slice(n - 1, 1)
     if head is not None:
         yield out(last, np.ones(1, dtype=bool), np.array([held]), np.array([refs]), np.array([first or 0]), np.array([first is not None]), True)
-        if head.column("key")[0].as_py() != key:
+        if key != (head.column("_k1")[0].as_py(), head.column("_k2")[0].as_py()):
             yield out(head, np.ones(1, dtype=bool), np.zeros(1, "i8"), np.zeros(1, "i8"), np.zeros(1, "i8"), np.zeros(1, dtype=bool), True)
 
 
 def orphan_references(references: DataFrame, *deltas: DataFrame) -> DataFrame:
-    """The rows of ``references`` (columns ``key, ns, uid`` and any others) whose key nothing holds at their own time, with ``reason`` and
+    """The rows of ``references`` (columns ``key, ns`` and any others) whose key nothing holds at their own time: ``ns``, the other columns, ``reason`` and
     ``references`` (how many references the key has then, the row's own always counted).
 
     Deltas at the very time of a row count. ``missing``: no holder was ever known (a null key always), ``late``: the first
-    one is later, ``deleted``: otherwise. Rows without time are left out.
+    one is later, ``deleted``: otherwise. Rows without time are left out. Keys are followed as 128-bit digests.
     """
-    rest = [c for c in references.columns if c not in ("key", "ns", "uid")]
-    rows = references.where("ns IS NOT NULL").select("key", "ns", "uid", *(F.col(c).alias(f"_r{i}") for i, c in enumerate(rest)))
-    lost = rows.where("key IS NULL").withColumns({"reason": F.lit("missing"), "references": F.lit(1).cast("long")})
+    rest = [c for c in references.columns if c not in ("key", "ns")]
+    own = {f"_r{i}": c for i, c in enumerate(rest)}
+    ids = [digest([F.col("key")], n).alias(f"_k{n}") for n in (1, 2)]
+    rows = references.where("ns IS NOT NULL").select("key", "ns", *(F.col(c).alias(r) for r, c in own.items()))
+    lost = rows.where("key IS NULL").select("ns", *own, F.lit("missing").alias("reason"), F.lit(1).cast("long").alias("references"))
+    byte = lambda c, name: F.col(c).cast("byte").alias(name) if isinstance(c, str) else F.lit(c).cast("byte").alias(name)
+    none = [F.lit(None).cast(references.schema[c].dataType).alias(r) for r, c in own.items()]
+    nothing = F.lit(None).cast("long").alias("_value")
+
+    # kinds: 0 when the key was first known, 1 changes, 2 rows
+    marks = rows.where("key IS NOT NULL").select(*ids, "ns", byte(2, "_kind"), F.hash(*own).alias("_salt"), byte(0, "holders"), byte(0, "references"), nothing, *own)
     change = reduce(DataFrame.unionByName, deltas)
-    none = {f"_r{i}": F.lit(None).cast(references.schema[c].dataType) for i, c in enumerate(rest)}
-    zero = {"holders": F.lit(0), "references": F.lit(0), "_value": F.lit(0).cast("long")}
-    marks = rows.where("key IS NOT NULL").withColumns({"_kind": F.lit(2), "_salt": F.col("uid"), **zero})
-    changes = change.select("key", "ns", F.lit(None).cast(references.schema["uid"].dataType).alias("uid"), F.col("salt").alias("_salt"), "holders", "references").withColumns({"_kind": F.lit(1), "_value": zero["_value"], **none})
-    known = change.where("begins").groupBy("key").agg(F.min("ns").alias("_value"))
-    known = known.withColumns({"ns": F.lit(START), "uid": F.lit(None).cast(references.schema["uid"].dataType), "_salt": F.lit(0).cast("long"), "_kind": F.lit(0), "holders": zero["holders"], "references": zero["references"], **none})
-    events = marks.unionByName(changes).unionByName(known)
-    order = ["key", "ns", "_kind", "_salt"]
-    events = events.repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt")
+    changes = change.where("holders <> 0 OR references <> 0").select(*ids, "ns", byte(1, "_kind"), F.hash("salt").alias("_salt"), byte("holders", "holders"), byte("references", "references"), nothing, *none)
+    known = change.where("begins").select(*ids, "ns").groupBy("_k1", "_k2").agg(F.min("ns").alias("_value"))
+    known = known.select("_k1", "_k2", F.lit(START).alias("ns"), byte(0, "_kind"), F.lit(0).alias("_salt"), byte(0, "holders"), byte(0, "references"), "_value", *none)
+    order = ["_k1", "_k2", "ns", "_kind", "_salt"]
+    events = marks.unionByName(changes).unionByName(known).repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt")
     made = [("_part", T.IntegerType()), ("_open", T.BooleanType()), ("_edge", T.BooleanType()), ("_held", T.LongType()), ("_refs", T.LongType()), ("_first", T.LongType())]
-    schema = T.StructType([*events.schema.fields, *(T.StructField(n, k) for n, k in made)])
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    schema = T.StructType([T.StructField(n, k) for n, k in [*((f.name, f.dataType) for f in events.schema), *made]])
     found = stage(events.mapInArrow(_follow, schema), "orphans")
-    before = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    edges = found.where("_edge").select(F.col("key").alias("_k"), F.col("_part").alias("_p"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_held", "_refs")), F.min("_first").over(before).alias("_first0"))
-    own = [F.col(c) for c in ("key", "ns", "uid", *none)]
+    before = Window.partitionBy("_k1", "_k2").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = found.where("_edge").select(
+        F.col("_k1").alias("_e1"), F.col("_k2").alias("_e2"), F.col("_part").alias("_p"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_held", "_refs")), F.min("_first").over(before).alias("_first0")
+    )
     reason = lambda first: F.when(first.isNull(), "missing").when(first > F.col("ns"), "late").otherwise("deleted").alias("reason")
     count = lambda n: F.greatest(n, F.lit(1).cast("long")).alias("references")
-    done = found.where("NOT _edge AND NOT _open").select(*own, reason(F.col("_first")), count(F.col("_refs")))
+    done = found.where("NOT _edge AND NOT _open").select("ns", *own, reason(F.col("_first")), count(F.col("_refs")))
     # two rows a task of the partitioning above
-    rest_of = found.where("NOT _edge AND _open").join(F.broadcast(edges), (F.col("key") == F.col("_k")) & (F.col("_part") == F.col("_p")))
-    rest_of = rest_of.where(F.col("_held") + F.col("_held0") <= 0).select(*own, reason(F.coalesce("_first", "_first0")), count(F.col("_refs") + F.col("_refs0")))
-    out = done.unionByName(rest_of).unionByName(lost)
-    return out.select("key", "ns", "uid", *(F.col(f"_r{i}").alias(c) for i, c in enumerate(rest)), "references", "reason")
+    rest_of = found.where("NOT _edge AND _open").join(F.broadcast(edges), (F.col("_k1") == F.col("_e1")) & (F.col("_k2") == F.col("_e2")) & (F.col("_part") == F.col("_p")))
+    rest_of = rest_of.where(F.col("_held") + F.col("_held0") <= 0).select("ns", *own, reason(F.coalesce("_first", "_first0")), count(F.col("_refs") + F.col("_refs0")))
+    return done.unionByName(rest_of).unionByName(lost).select("ns", *(F.col(r).alias(c) for r, c in own.items()), "references", "reason")

@@ -69,24 +69,25 @@ def _changes(spark: SparkSession, sf: str) -> list[DataFrame]:
     ]
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     files, blobs = _t(spark, sf, "files_log"), _t(spark, sf, "blobs_log")
-    when = {"ns": F.col("valid_from_ns"), "valid_from": F.col("valid_from")}
+    values = {"ns": F.col("valid_from_ns"), **{c: F.col(c) for c in extra}}
     refs = [
-        first_delivery(log, {"key": clean_id(key), **when}).select(_tagged(name, "key").alias("key"), "ns", "uid", "valid_from", F.lit(name).alias("table_name"))
+        first_delivery(log, {"key": clean_id(key), **values}).select(_tagged(name, "key").alias("key"), "ns", "uid", F.lit(name == "files_log").alias("file"), *extra)
         for log, name, key in ((files, "files_log", "blob_id"), (blobs, "blobs_log", "repo_id"))
     ]
     refs = refs[0].where("key IS NOT NULL").unionByName(refs[1])  # a file without blob is a deletion, no reference
-    return orphan_references(refs, *_changes(spark, sf))
+    found = orphan_references(refs, *_changes(spark, sf))
+    return found.select(F.when(F.col("file"), "files_log").otherwise("blobs_log").alias("table_name"), "uid", "reason", *extra)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf).select("table_name", "uid", "reason")
+    return _orphans(spark, sf)
 
 
 def p4_by_month(spark: SparkSession, sf: str) -> DataFrame:
     month = F.date_format("valid_from", "yyyy-MM").alias("month")
-    return _orphans(spark, sf).groupBy("table_name", month, "reason").agg(F.count("*").alias("orphans"))
+    return _orphans(spark, sf, "valid_from").groupBy("table_name", month, "reason").agg(F.count("*").alias("orphans"))
 
 
 def p4_orphan_keys(spark: SparkSession, sf: str) -> DataFrame:
