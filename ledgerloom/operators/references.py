@@ -83,7 +83,7 @@ def _follow(batches: Iterator) -> Iterator:
         n = t.num_rows
         if not n:
             continue
-        k1, k2, kind, value = (t.column(c).to_numpy(zero_copy_only=False) for c in ("_k1", "_k2", "_kind", "_value"))
+        k1, k2, kind, value = (t.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("_k1", "_k2", "_kind", "_value"))
         new = np.ones(n, dtype=bool)
         new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
         new[0] = key != (k1[0], k2[0])
