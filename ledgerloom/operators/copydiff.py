@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import digest
-from ..session import tasks
+from ..session import stage, tasks
 from .deliveries import first_delivery
+from .prefilter import likely_in
 
 ROLL = 3
 
@@ -73,13 +74,14 @@ def diff_copies(
 def diff_values(left: DataFrame, right: DataFrame, fields: dict[str, Column], uid: str = "uid", order: str = "log_offset", **kw: object) -> DataFrame:
     """``diff_copies`` with both values as text: ``uid, difference, left_value, right_value``; a missing row has two nulls.
 
-    Full values are read for the differing keys only: the keys filter both copies before their rows are ordered.
+    Full values are read for the differing keys only: a bitmap of these, then they themselves, filter both copies before their rows are ordered.
     """
-    found = diff_copies(left, right, fields, uid, order, **kw)
+    found = stage(diff_copies(left, right, fields, uid, order, **kw), "differences")
     keys = found.where(F.col("difference").isin(list(fields))).select("uid").distinct()
     sides = []
     for name, df in (("left_value", left), ("right_value", right)):
-        some = df.join(keys.withColumnRenamed("uid", "_key"), F.col(uid).eqNullSafe(F.col("_key")), "left_semi")
+        some = likely_in(df, F.xxhash64(uid), keys, F.xxhash64("uid"))
+        some = some.join(keys.withColumnRenamed("uid", "_key"), F.col(uid).eqNullSafe(F.col("_key")), "left_semi")
         one = first_delivery(some, {f: c.cast("string") for f, c in fields.items()}, uid, order)
         pairs = F.array(*(F.struct(F.lit(f).alias("difference"), F.col(f).alias(name)) for f in fields))
         sides.append(one.select("uid", F.inline(pairs)))

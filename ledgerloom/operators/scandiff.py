@@ -2,7 +2,7 @@
 
 A file is reduced to a 128-bit key hash, the number of its scan and a 64-bit row hash. Hash buckets of bounded size hold
 these compact arrays; numpy sorts them and takes set differences of neighbouring scans by searchsorted. Names are fetched
-for the differing keys only.
+for the differing keys only: a bitmap of their hashes drops other rows before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id, digest
+from ..session import stage
+from .prefilter import likely_in
 
 
 def _bucket_diff(pdf):
@@ -57,7 +59,9 @@ def scan_changes(
     buckets = max(1, -(-observations.count() // bucket_rows)) * 4
     rows = rows.withColumn("bucket", F.pmod(F.col("k2"), F.lit(buckets)).cast("int"))
     diffs = rows.groupBy("bucket").applyInPandas(lambda pdf: _bucket_diff(pdf), "k1 long, k2 long, scan long, change string")
-    names = observations.select(*k, F.struct(repo.alias("repo_id"), path.alias("rel_path")).alias("name")).groupBy("k1", "k2").agg(F.min("name").alias("name"))
+    diffs = stage(diffs, "changes")
+    names = observations.select(*k, F.struct(repo.alias("repo_id"), path.alias("rel_path")).alias("name"))
+    names = likely_in(names, F.col("k1"), diffs, F.col("k1")).groupBy("k1", "k2").agg(F.min("name").alias("name"))
     out = diffs.join(names, ["k1", "k2"]).select(F.col("name.repo_id").alias("_repo"), F.col("scan").alias("_scan"), F.col("name.rel_path").alias("rel_path"), "change")
     out = out.join(listed.select("repo_id", "seen_id", "scan"), F.col("_repo").eqNullSafe(F.col("repo_id")) & (F.col("_scan") == F.col("scan")))
     return out.select("repo_id", "seen_id", "rel_path", "change")

@@ -11,6 +11,7 @@ from ledgerloom.functions.ids import clean_id
 from ledgerloom.operators.changefeed import apply_feed
 from ledgerloom.operators.copydiff import diff_copies, diff_values
 from ledgerloom.operators.history import attribute_history, merge_rounds
+from ledgerloom.operators.prefilter import likely_in
 from ledgerloom.operators.references import existence_deltas, key_states, orphan_keys, orphan_references, reference_deltas
 from ledgerloom.operators.scandiff import scan_changes
 from ledgerloom.queries.problems import blob_fields
@@ -83,6 +84,16 @@ def test_history_keeps_long_numbers_beside_nulls(spark):
     assert [r.blob_size for r in got.orderBy("valid_from_ns").collect()] == [x[4] for x in rows]
 
 
+@pytest.mark.parametrize("words", [1, 4, 1 << 18])
+def test_likely_in_keeps_every_match(spark, words):
+    rows = spark.range(2000).select("id", F.lit(1).alias("_d"), F.lit(2).alias("_w")).unionByName(spark.range(5).select("id", F.lit(1).alias("_d"), F.lit(2).alias("_w")))
+    keys = spark.range(0, 2000, 40).select("id")
+    got = [r.id for r in likely_in(rows, F.xxhash64("id"), keys, F.xxhash64("id"), words).collect()]
+    assert sorted(x for x in got if x % 40 == 0) == [0, 0, *range(40, 2000, 40)]
+    assert words < 1 << 18 or len(got) < 60
+    assert likely_in(rows, F.xxhash64("id"), keys.limit(0), F.xxhash64("id"), words).count() == 0
+
+
 def test_merge_rounds_look_at_every_seam():
     import numpy as np
 
