@@ -22,3 +22,14 @@ def digest(cols: Iterable[Column], salt: int = 0) -> Column:
     for c in cols:
         parts += [c.isNull(), c]
     return F.xxhash64(*parts)
+
+
+def or_epoch(col: str | Column) -> Column:
+    """A time (without zone), or the epoch where a message had none."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(c, F.expr("timestamp_ntz '1970-01-01'"))
+
+
+def new_name(length: int = 8) -> Column:
+    """A random alphanumeric name in lower case, another one for each row (for temporary files)."""
+    return F.substring(F.replace(F.uuid(), F.lit("-")), 1, length)

@@ -35,16 +35,22 @@ def event_line(state: str, id: str, detail: str, count: str) -> Column:
 def parse_connection(kind: str, parameter: str) -> Column:
     """Parts of a connection parameter as a struct; all null where it can't be read.
 
-    ssh: user[:password]@host[:port]/path; rclone: name and path around the last colon; local: the path.
+    ssh: user[:password]@host[:port]/path with a port up to 65535; ``auth`` is ``password`` (given in ``password``) or ``agent``. rclone: name and path around the last
+    colon; local: the path.
     """
     p, k = F.col(parameter), F.col(kind)
-    ssh = r"^([^@:]*)(?::([^@]*))?@([^/:]*)(?::(\d+))?(/.*)$"
-    ok = p.rlike(ssh)
+    ssh = r"^([^@:]*)(:[^@]*)?@([^/:]*)(?::([^/]*))?(/.*)$"
+    port = F.regexp_extract(p, ssh, 4)
+    number = F.when(port.rlike(r"^\+?0*\d{1,5}$"), port.cast("int"))
+    ok = (k == "ssh") & p.rlike(ssh) & (~p.rlike(r"^[^@]*@[^/:]*:") | ((number >= 0) & (number <= 65535)))
     part = lambda i: F.when(ok, F.nullif(F.regexp_extract(p, ssh, i), F.lit("")))
     cloud = r"^(.*):([^:]*)$"
+    given = F.regexp_extract(p, ssh, 2)
     return F.struct(
-        F.when(k == "ssh", part(1)).alias("user"),
+        part(1).alias("user"),
+        F.when(ok, F.when(given == "", "agent").otherwise("password")).alias("auth"),
+        F.when(ok & (given != ""), F.substring(given, F.lit(2), F.length(given))).alias("password"),
         F.when(k == "ssh", part(3)).when((k == "rclone") & p.rlike(cloud), F.regexp_extract(p, cloud, 1)).alias("host"),
-        F.when(k == "ssh", part(4).cast("int")).alias("port"),
+        F.when(ok, number).alias("port"),
         F.when(k == "ssh", part(5)).when((k == "rclone") & p.rlike(cloud), F.regexp_extract(p, cloud, 2)).when(k == "local", p).alias("path"),
     )

@@ -20,7 +20,7 @@ def verify_local(available: DataFrame, content: DataFrame) -> DataFrame:
 def verify_remote(candidates: DataFrame, results: DataFrame, repo_id: str) -> DataFrame:
     """Blob events of a remote check by path. ``candidates``: path, blob_id, blob_size; ``results``: path, ok.
 
-    A result for a path that was no candidate raises an error when the row is computed.
+    A result for a path that was no candidate raises an error when the row is computed; a path that several blobs share gives an event for each.
     """
     j = results.join(candidates.select("path", "blob_id", "blob_size"), "path", "left")
     known = F.when(F.col("blob_id").isNull(), F.raise_error(F.concat(F.lit("no candidate for "), F.col("path")))).otherwise(F.col("blob_id"))

@@ -61,3 +61,10 @@ def status_summary(states: DataFrame) -> DataFrame:
     rows = [(i, label, s) for i, (label, ss) in enumerate(SUMMARY.items()) for s in ss]
     labels = states.sparkSession.createDataFrame(rows, "position int, label string, state string")
     return labels.join(counts, "state", "left").groupBy("position", "label").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("files"))
+
+
+def status_message(summary: DataFrame) -> DataFrame:
+    """A result of ``status_summary`` as one sentence: the labels that have files, in order; one row ``message``."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("files") > 0, F.struct("position", F.concat_ws(" ", F.col("files").cast("string"), "label", F.lit("files")).alias("part")))))
+    text = F.array_join(F.transform(parts, lambda x: x["part"]), ", ")  # six labels at most
+    return summary.agg(F.when(F.size(parts) > 0, F.concat(F.lit("detected "), text)).otherwise("no files detected").alias("message"))

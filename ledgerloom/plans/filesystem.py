@@ -9,15 +9,19 @@ from ..operators.vfs import ADDABLE
 
 
 def _hits(files: DataFrame, selectors: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Files with each selector that hits them (``_by``, ``_exact``), and one row per selector that hits any (``_by``, ``_any``: exactly one)."""
-    path = F.col("path")
-    tests = F.array(*(F.struct(F.lit(s).alias("_by"), (path == s).alias("_exact"), path.startswith(s).alias("_ok")) for s in selectors))
-    rows = files.withColumn("_hit", F.explode(F.filter(tests, lambda x: x["_ok"]))).select("*", "_hit._by", "_hit._exact").drop("_hit")
+    """Files with each selector that hits them (``_by``, ``_exact``), and one row per selector that hits any (``_by``, ``_any``: exactly one).
+
+    A path is cut to each length that a selector has and joined by that, so a path costs as much as there are lengths, not selectors.
+    """
+    path, lengths = F.col("path"), sorted({len(s) for s in selectors})
+    given = files.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(selectors)], "_by string")
+    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
+    rows = files.withColumn("_head", F.explode(heads)).join(given, F.col("_head") == F.col("_by")).drop("_head").withColumn("_exact", path == F.col("_by"))
     return rows, rows.groupBy("_by").agg(F.max("_exact").alias("_any"))
 
 
 def _chosen(rows: DataFrame, by: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(by), "_by").where("_exact OR NOT _any").drop("_exact", "_any")  # one row per selector
+    return rows.join(by, "_by").where("_exact OR NOT _any").drop("_exact", "_any")
 
 
 def select_files(files: DataFrame, selector: str) -> DataFrame:

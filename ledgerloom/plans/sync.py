@@ -46,7 +46,3 @@ def positions(repo_id: str, logs: dict[str, DataFrame]) -> DataFrame:
     cols = {"blobs": "last_blob_index", "files": "last_file_index", "repository_metadata": "last_name_index"}
     tops = [log.agg(F.max("log_offset").alias("_top")).select(F.lit(repo_id).alias("repo_id"), *(F.col("_top").alias(c) if t == table else F.lit(None).cast("long").alias(c) for t, c in cols.items())) for table, log in logs.items()]
     return max_positions(*tops)
-
-
-def merge_positions(*states: DataFrame) -> DataFrame:
-    return max_positions(*states)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import file_system
+
 #: Columns of the exchanged tables by position; required ones end with "!".
 TABLES = {
     "blobs": "uid! bigint, repo_id! string, blob_id! string, blob_size! bigint, has_blob! boolean, path string, valid_from! bigint",
@@ -15,17 +17,15 @@ TABLES = {
 }
 
 
+NANOS = "spark.sql.legacy.parquet.nanosAsLong"
+
+
 def write_table(rows: DataFrame, table: str, path: str) -> None:
     """Write a table for exchange; times are epoch nanoseconds. An existing target is an error."""
     names = [c.split()[0].rstrip("!") for c in TABLES[table].split(", ")]
     rows.select(*names).write.mode("errorifexists").parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """An exchanged table, columns taken by position and cast (unsigned ids and nanosecond times of other writers included).
 
@@ -33,10 +33,15 @@ def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """
     specs = [c.split() for c in TABLES[table].split(", ")]
     schema = T.StructType([T.StructField(n.rstrip("!"), T._parse_datatype_string(k)) for n, k in specs])
-    if not exists(spark, path):
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], schema)
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    raw = spark.read.parquet(path)
+    was = spark.conf.get(NANOS)
+    spark.conf.set(NANOS, "true")  # no reader option has it; the schema is settled when the table is opened
+    try:
+        raw = spark.read.parquet(path)
+    finally:
+        spark.conf.set(NANOS, was)
     cols = []
     for source, (name, kind) in zip(raw.columns, specs, strict=True):
         c = F.col(f"`{source}`").cast(kind)

@@ -1,58 +1,75 @@
-"""The fold of ``operators.reduction`` over a stream of log files."""
+"""The fold of ``operators.reduction`` over a stream of log files.
 
-from __future__ import annotations
+Every micro-batch is summarised (its size bounds the work, whatever has been read before) and its summary written once, by batch number; the state is what the
+summaries add up to. Every MERGE batches they are merged into one. All of it are DataFrame plans; there is no state in Python workers.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+from ..operators.reduction import add_up, states, summarise
+from ..session import file_system
 
+MERGE = 32
 
-def fold_stream(rows: DataFrame, key: str, value: str, keep: Column, time: str = "valid_from_ns", order: str = "log_offset") -> DataFrame:
-    """Changes of the current state, one row per key touched in a batch: ``key, value, time, order, alive``; update mode.
 
-    State per key is one row and never expires; there is no bound on lateness. A batch must not hold rows that arrived before those of an
-    earlier one (log files follow each other). Within a batch rows are sorted by ``order``, so the size of a batch bounds what a key needs.
-    """
-    kinds = {f.name: f.dataType for f in rows.schema}
-    state = T.StructType([T.StructField("alive", T.BooleanType()), T.StructField("time", T.LongType()), T.StructField("order", T.LongType()), T.StructField("value", T.StringType())])
-    out = T.StructType([T.StructField(key, kinds[key]), T.StructField(value, T.StringType()), T.StructField(time, T.LongType()), T.StructField(order, T.LongType()), T.StructField("alive", T.BooleanType())])
+class FoldSink:
+    """Summaries in a folder: ``batch=N`` of one batch, ``base=N`` of all up to N; one without _SUCCESS doesn't exist."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, value: str, keep: Column, time: str = "valid_from_ns", order: str = "log_offset") -> None:
+        self.spark, self.path, self.key, self.fold = spark, path.rstrip("/"), key, ([value], keep, time, order)
+
+    def _numbers(self, kind: str) -> list[int]:
+        fs, p = file_system(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = [n for n in names if n.startswith(f"{kind}=") and fs.exists(file_system(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
+        return sorted(int(n.split("=")[1]) for n in done)
 
-    def run(keys: tuple, chunks: Iterator, held) -> Iterator:
-        import pandas as pd
+    def _parts(self) -> list[str]:
+        base = self._numbers("base")[-1:]
+        return [f"{self.path}/base={n}" for n in base] + [f"{self.path}/batch={n}" for n in self._numbers("batch") if not base or n > base[0]]
 
-        alive, at, off, val = held.get if held.exists else (False, 0, -1, None)
-        for pdf in sorted((p for p in chunks if len(p)), key=lambda p: p["_o"].min()):
-            pdf = pdf.sort_values("_o", kind="stable")
-            for k, t, o, v in zip(pdf["_k"].tolist(), pdf["_t"].tolist(), pdf["_o"].tolist(), pdf["_v"].tolist(), strict=True):
-                if not (alive and at > t):
-                    alive, at, off, val = bool(k), int(t), int(o), v
-        held.update((alive, at, off, val))
-        yield pd.DataFrame({key: [keys[0]], value: [val], time: [at], order: [off], "alive": [alive]})
+    def summaries(self) -> DataFrame | None:
+        parts = self._parts()
+        return self.spark.read.parquet(*parts) if parts else None
 
-    # values pass through Python as JSON, which keeps nulls and long numbers as they are
-    slim = rows.select(key, F.to_json(F.struct(F.col(value).alias("v")), FORMATS).alias("_v"), F.coalesce(keep, F.lit(False)).alias("_k"), F.coalesce(F.col(time), F.lit(-(1 << 63))).alias("_t"), F.col(order).alias("_o"))
-    changes = slim.groupBy(key).applyInPandasWithState(run, out, state, "update", "NoTimeout")
-    back = F.from_json(value, T.StructType([T.StructField("v", kinds[value])]), FORMATS)["v"]
-    return changes.withColumn(value, back)
+    def write(self, batch: DataFrame, number: int) -> None:
+        """Idempotent per batch number."""
+        add_up(summarise(batch, [self.key], *self.fold), [self.key], F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        if len(self._parts()) > MERGE:
+            self.merge()
+
+    def merge(self) -> None:
+        """One summary in place of all so far; those it stands for are removed after it is there."""
+        numbers = [*self._numbers("base")[-1:], *self._numbers("batch")]
+        rows = self.summaries()
+        if rows is None:
+            return
+        top = numbers[-1]
+        add_up(rows, [self.key], F.lit(top)).write.mode("overwrite").parquet(f"{self.path}/base={top}")
+        for kind in ("base", "batch"):
+            for n in self._numbers(kind):
+                if n < top or kind == "batch" and n == top:
+                    fs, p = file_system(self.spark, f"{self.path}/{kind}={n}")
+                    fs.delete(p, True)
+
+    def state(self) -> DataFrame | None:
+        rows = self.summaries()
+        return None if rows is None else states(rows, [self.key])
 
 
 def fold_files(spark: SparkSession, folder: str, schema: T.StructType, key: str, value: str, keep: Column, sink: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """Fold all files now in ``folder`` and return the state. Started again with the same ``checkpoint`` it takes up where it stopped.
+    """Fold all files now in ``folder`` and return the state: ``key, value, valid_from_ns, log_offset``. Started again with the same ``checkpoint`` it takes up where it stopped.
 
-    Each batch appends the touched keys to ``sink`` (idempotent per batch id); the state is the last row of each key.
+    There is no bound on lateness. A batch must not hold rows that arrived before those of an earlier one (log files follow each other).
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    q = fold_stream(rows, key, value, keep).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = FoldSink(spark, sink, key, value, keep)
+    q = rows.writeStream.foreachBatch(out.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    cols = [key, value, "valid_from_ns", "log_offset", "alive"]
-    last = spark.read.parquet(sink).groupBy(key).agg(F.max(F.struct("batch", *cols[1:])).alias("_m"))
-    return last.where("_m.alive").select(key, *(F.col(f"_m.{c}").alias(c) for c in cols[1:-1]))
+    state = out.state()
+    kinds = {f.name: f.dataType for f in schema}
+    return spark.createDataFrame([], T.StructType([T.StructField(c, kinds[c]) for c in (key, value, "valid_from_ns", "log_offset")])) if state is None else state

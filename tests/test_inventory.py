@@ -62,6 +62,16 @@ def test_fold_scenarios(spark):
     assert fold() == []
 
 
+def test_fold_of_a_backfill_keeps_two_rows_a_block(spark):
+    """A log that arrives newest first: every row is a candidate, and a block still comes down to one summary."""
+    from ledgerloom.operators.reduction import summarise
+
+    rows = [(o, "k", o, o != 1, 5000 - o, 0) for o in range(1000)]
+    df = spark.createDataFrame(rows, LOG)
+    assert summarise(df, ["k"], ["v"], F.col("keep"), block=F.floor(F.col("_at") / 100)).count() == 10
+    assert rows_of(fold_latest(df, ["k"], ["v"], F.col("keep"), block_rows=100).select("k", "v")) == ordered(sequential(rows))
+
+
 def test_log_ranges_and_numbers(spark):
     df = spark.createDataFrame([(i, f"r{i}") for i in range(10)], "log_offset long, v string")
     assert logs.since(df, None).count() == 10 and logs.since(df, 9).count() == 0 and logs.since(df, 3, 6).count() == 3
@@ -267,4 +277,8 @@ def test_texts(spark):
     line = spark.createDataFrame([("done", None, "d", 3), (None, "i", None, None), ("x", "i", None, None)], "s string, i string, d string, c long")
     assert [r[0] for r in line.select(text.event_line("s", "i", "d", "c")).collect()] == ["done d count=3", None, "x i"]
     c = spark.createDataFrame([("ssh", "u:p@h:22/x"), ("ssh", "u@h/x/y"), ("ssh", "h/x"), ("rclone", "a:b:c"), ("rclone", "abc"), ("local", "/p"), (None, None)], "k string, p string")
-    assert [tuple(r[0]) for r in c.select(text.parse_connection("k", "p")).collect()] == [("u", "h", 22, "/x"), ("u", "h", None, "/x/y"), (None,) * 4, (None, "a:b", None, "c"), (None,) * 4, (None, None, None, "/p"), (None,) * 4]
+    assert [tuple(r[0]) for r in c.select(text.parse_connection("k", "p")).collect()] == [("u", "password", "p", "h", 22, "/x"), ("u", "agent", None, "h", None, "/x/y"), (None,) * 6, (None, None, None, "a:b", None, "c"), (None,) * 6, (None, None, None, None, None, "/p"), (None,) * 6]
+    odd = {"u@h:65536/x": None, "u@h:65535/x": 65535, "u@h:99999999999999999999/x": None, "u@h:/x": None, "u@h:+22/x": 22, "u@h:2a/x": None, "u:p:q@h/x": "p:q"}
+    for p, want in odd.items():
+        got = spark.createDataFrame([("ssh", p)], "k string, p string").select(text.parse_connection("k", "p").alias("c")).first().c
+        assert (got.port if want is None or isinstance(want, int) else got.password) == want and (got.user is None) == (want is None), p

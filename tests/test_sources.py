@@ -2,20 +2,25 @@
 
 import gzip
 import os
+import random
 
 import pytest
 from helpers import ordered, rows_of
 from pyspark.sql import functions as F
 from test_inventory import random_log, sequential
 
-from ledgerloom.functions.paths import relative_path
+from ledgerloom.functions.paths import relative_path, relative_paths
 from ledgerloom.operators import integrity, upsert
+from ledgerloom.operators.logs import max_positions
 from ledgerloom.plans import sync
 from ledgerloom.sources import exchange, runlog
 from ledgerloom.sources.logstore import LogStore
+from ledgerloom.sources.inventory import Inventory
+from ledgerloom.sources.state import StateStore
 from ledgerloom.sources.walk import walk_files
 from ledgerloom.streaming.fold import fold_files
-from ledgerloom.streaming.progress import heartbeats
+from ledgerloom.streaming import fold
+from ledgerloom.streaming.progress import Heartbeats
 from ledgerloom.streaming.tail import tail
 
 
@@ -73,11 +78,33 @@ def test_transfer_lines(spark):
 def test_paths_and_walk(spark, tmp_path):
     runlog.write_paths(spark.createDataFrame([("a/b",), ("c",)], "path string"), str(tmp_path / "list"))
     assert rows_of(spark.read.text(str(tmp_path / "list"))) == [("a/b",), ("c",)]
-    root = tmp_path / "tree"
-    for p, n in (("x.txt", 3), ("d/y.txt", 5), (".hidden/z.txt", 1), ("d/_skip", 1)):
+    root = tmp_path / "tree+(1)[a]"
+    tree = {
+        "x.txt": 3, "d/y.txt": 5, ".hidden/z.txt": 1, "d/_kept": 1, "d/e/f/deep.log": 2, "d/e/keep.log": 2, "d/e/.ignore": "!keep.log\n/only.txt\n", "d/e/only.txt": 1, "d/e/f/only.txt": 1, ".gitignore": "# c\n\n*.log\nbuild/\n/top.txt\na?c\n[xy].md\nm/**/n\n!.seen\n",
+        "build/b.txt": 1, "d/build/b.txt": 1, "top.txt": 1, "d/top.txt": 1, "abc": 1, "d/a/c": 1, "x.md": 1, "z.md": 1, "m/n": 1, "m/o/p/n": 1, "mn": 1, "tmp/t": 1, ".seen": 1, "build.txt/build": 1,
+    }
+    for p, n in tree.items():
         os.makedirs((root / p).parent, exist_ok=True)
-        (root / p).write_bytes(b"a" * n)
-    assert rows_of(walk_files(spark, str(root)).select("rel_path", "size")) == [("d/y.txt", 5), ("x.txt", 3)]
+        (root / p).write_bytes(n.encode() if isinstance(n, str) else b"a" * n)
+    os.symlink(root / "x.txt", root / "link.txt")
+    got = walk_files(spark, str(root), ("!tmp/",))
+    want = {"x.txt", "d/y.txt", "d/_kept", "d/e/keep.log", "d/e/f/only.txt", "d/top.txt", "d/a/c", "z.md", "mn", ".seen", "build.txt/build"}
+    assert {r.rel_path for r in got.collect()} == want and dict(rows_of(got.select("rel_path", "size")))["d/y.txt"] == 5
+    assert {r.rel_path for r in walk_files(spark, str(root), ("*.txt", "!d/e/")).collect()} == {"x.txt", "d/y.txt", "d/top.txt", "top.txt"}
+    assert walk_files(spark, str(tmp_path / "list"), rule_files=()).where("rel_path = '_SUCCESS'").count() == 1
+
+
+def test_relative_path_columns(spark):
+    typed = ["a/b", "./a/./b/", "../x", "../../x", "/data/inv/y", "/data/inventory", "/data/inv", "..", "../", "a/../../../../../e", "", "/"]
+    rows = spark.createDataFrame([(t,) for t in [*typed, None]], "path string")
+    for folder, root in (("/data/inv/sub", "/data/inv"), ("/data/inv", "/data/inv/"), ("/a", "/")):
+        got = {r.path: r.rel for r in rows.select("path", relative_paths("path", folder, root).alias("rel")).collect()}
+        assert got[None] is None
+        for t in typed:
+            try:
+                assert got[t] == relative_path(t, folder, root), t
+            except ValueError:
+                assert got[t] is None, t
 
 
 def test_streaming_fold_and_restart(spark, tmp_path):
@@ -94,6 +121,35 @@ def test_streaming_fold_and_restart(spark, tmp_path):
     assert rows_of(got.select("k", "v")) == ordered(sequential(rows))
 
 
+def test_streaming_fold_merges_its_summaries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fold, "MERGE", 3)
+    rows, schema = sorted(random_log(12, n=120)), "log_offset long, k string, v int, keep boolean, valid_from_ns long, other int"
+    sink = fold.FoldSink(spark, str(tmp_path / "sink"), "k", "v", F.col("keep"))
+    assert sink.state() is None
+    for n, k in enumerate(range(0, 120, 17)):
+        sink.write(spark.createDataFrame(rows[k : k + 17], schema), n)
+        if n == 4:
+            sink.write(spark.createDataFrame(rows[k : k + 17], schema), n)  # a batch that is written again
+        assert len(sink._parts()) <= 3
+        assert rows_of(sink.state().select("k", "v")) == ordered(sequential(rows[: k + 17]))
+
+
+def test_kept_states_follow_the_logs(spark, tmp_path):
+    r, kinds = random.Random(3), "log_offset long, uid long, path string, blob_id string, valid_from timestamp_ntz, valid_from_ns long"
+    spark.createDataFrame([], "log_offset long, uid long, repo_id string, blob_id string, blob_size long, has_blob boolean, path string, valid_from timestamp_ntz, valid_from_ns long").write.parquet(str(tmp_path / "blobs_log.parquet"))
+    spark.createDataFrame([], "log_offset long, uid long, repo_id string, name string, valid_from timestamp_ntz, valid_from_ns long").write.parquet(str(tmp_path / "repository_metadata_log.parquet"))
+    rows = [(o, r.randrange(150), r.choice("abcde"), r.choice(["X ", "y", None]), None, r.randrange(40)) for o in range(200)]  # many deliveries are repeated
+    inv = Inventory(spark, str(tmp_path))
+    store = StateStore(inv, str(tmp_path / "states"))
+    for k in range(0, 200, 40):
+        spark.createDataFrame(rows[k : k + 40], kinds).write.mode("append").parquet(str(tmp_path / "files_log.parquet"))
+        store.look()
+        assert rows_of(store.read("files")) == rows_of(inv.current_files())
+        assert store.positions()["files"] == k + 39 and store.read("blobs").count() == 0
+    assert len(os.listdir(tmp_path / "states" / "files")) == 3  # two versions and the commits
+    assert StateStore(inv, str(tmp_path / "states")).read("files").count() == inv.current_files().count()
+
+
 def test_log_store(spark, tmp_path):
     from pyspark.sql import types as T
 
@@ -104,8 +160,8 @@ def test_log_store(spark, tmp_path):
         with pytest.raises(RuntimeError), store.transaction():
             pass
     assert rows_of(store.read()) == [(0, 10), (1, 20)]
-    # a batch that was written but not published doesn't exist, and the next writer takes its place
-    spark.createDataFrame([(2, 99)], "log_offset long, v long").write.parquet(f"{store.path}/data/batch-1")
+    # a batch that was written but not published doesn't exist
+    spark.createDataFrame([(2, 99)], "log_offset long, v long").write.parquet(f"{store.path}/data/b1")
     assert store.watermark() == 1 and store.read().count() == 2
     with store.transaction():
         assert store.append(spark.createDataFrame([(5,)], "v long"), ["v"]) == 1
@@ -117,16 +173,45 @@ def test_log_store(spark, tmp_path):
     assert rows_of(store.read()) == [(0, 10), (1, 20), (2, 5), (3, 7)]
 
 
+def test_log_store_compacts_beside_a_writer(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    a, b = (LogStore(spark, str(tmp_path / "log"), T.StructType([T.StructField("v", T.LongType())])) for _ in range(2))
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v long")
+    with pytest.raises(RuntimeError, match="transaction"):
+        a.append(rows(1), ["v"])
+    with a.transaction():
+        a.append(rows(1), ["v"])
+        a.append(rows(2), ["v"])
+        with pytest.raises(RuntimeError, match="written to"):
+            b.compact()
+        a.compact()
+        a.append(rows(3), ["v"])
+        os.remove(tmp_path / "log" / "lock")  # by hand, as if the writer were dead
+        with b.transaction():
+            b.append(rows(4), ["v"])
+            with pytest.raises(RuntimeError, match="lost"):
+                a.append(rows(5), ["v"])
+            b.compact()
+    assert rows_of(b.read()) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert b.vacuum() >= 4 and rows_of(b.read()) == [(0, 1), (1, 2), (2, 3), (3, 4)] and len(os.listdir(tmp_path / "log" / "data")) == 1
+    with b.transaction():
+        b.append(rows(6), ["v"])
+    assert b.watermark() == 4
+
+
 def test_tail_from_start_offset_and_head(spark, tmp_path):
     log, schema = str(tmp_path / "log"), "log_offset long, v string"
     write = lambda *o: spark.createDataFrame([(x, f"v{x}") for x in o], schema).coalesce(1).write.mode("append").parquet(log)
 
     def drain(rows, name):
         got = []
+        beats = Heartbeats(spark)
         q = rows.writeStream.foreachBatch(lambda df, _: got.extend(r.log_offset for r in df.collect())).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
-        beats = heartbeats(spark, q).collect()
-        assert beats and (name != "a" or beats[-1].position == 7)  # a filter on offsets may skip rows in the scan
+        told = beats.read(q).collect()
+        beats.close()
+        assert told and (name != "a" or told[-1].position == 7)  # a filter on offsets may skip rows in the scan
         return sorted(got)
 
     write(0, 1, 2, 3, 4)
@@ -165,7 +250,7 @@ def test_sync_is_idempotent(spark):
     logs_of = dict.fromkeys(sync.ORDER, here)
     sync.sync_repository(logs_of, dict.fromkeys(sync.ORDER, there), lambda table, way, rows: seen.append((table, way, rows.count())), "down")
     assert seen == [("blobs", "down", 2), ("files", "down", 2), ("repository_metadata", "down", 2)]
-    assert rows_of(sync.merge_positions(sync.positions("r", {"blobs": here}), sync.positions("r", {"blobs": there}))) == [("r", 3, None, None)]
+    assert rows_of(max_positions(sync.positions("r", {"blobs": here}), sync.positions("r", {"blobs": there}))) == [("r", 3, None, None)]
 
 
 def test_relative_paths_and_assimilation(spark):
