@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -275,3 +276,29 @@ def mixture_shares(tokens: DataFrame, targets: DataFrame, mixture: DataFrame) ->
         number("available").alias("available_tokens"), number("used").alias("used_tokens"), number("passes").alias("passes"),
         F.coalesce(number("used") / F.sum(number("used")).over(whole), F.lit(0.0)).alias("actual_share"),
     )
+
+
+def audit_mixture(tokens: DataFrame, targets: DataFrame, pieces: DataFrame, blocks: DataFrame, block_tokens: int = 512) -> DataFrame:
+    """Columns ``fault, times``: how often ``pieces`` (of ``mix_sources``) and ``blocks`` (of ``mix_blocks``) break what they promise; a quota is met to a block."""
+    pieces = stage(pieces, "pieces")
+    wanted = _targets(targets)
+    total = F.coalesce(tokens.agg(F.sum("n_tokens")).scalar(), F.lit(0))
+    shares = mixture_shares(tokens, targets, pieces).withColumn("limit", F.least(F.round(F.col("target_share") * total), F.col("available_tokens") * F.col("max_repeats")))
+    used = pieces.groupBy("doc_id", "source").agg(F.countDistinct("pass").alias("passes")).join(wanted, "source")
+    slots = pieces.groupBy("shard", "slot").agg(F.sum("n_tokens").alias("n"))
+    sizes = blocks.select("shard", "slot", F.size("tokens").alias("size"))
+    both = slots.join(sizes, ["shard", "slot"], "full")
+    # pieces of a document in a pass begin one behind the other; documents that repeat an id are told apart by their number
+    copies = tokens.groupBy("doc_id", "source").agg(F.count("*").alias("copies"))
+    twice = pieces.groupBy("doc_id", "source", "pass", "first_token").agg(F.count("*").alias("n")).join(copies, ["doc_id", "source"]).where("n > copies")
+    over = block_tokens * F.greatest(F.col("max_repeats"), F.lit(1))
+    faults = {
+        "document in too many passes": used.where("passes > max_repeats"),
+        "token twice in a pass": twice,
+        "piece of a source that is no target": pieces.join(wanted, "source", "left_anti"),
+        "source over its quota": shares.where(F.col("used_tokens") > F.col("limit") + over),
+        "source under its quota": shares.where(F.col("used_tokens") < F.col("limit") - over),
+        "slot without its block": both.where("n IS NULL OR size IS NULL"),
+        "block of a wrong length": both.where((F.col("n") != F.col("size")) | (F.col("size") > block_tokens)),
+    }
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("times")).select(F.lit(k).alias("fault"), "times") for k, df in faults.items()])
