@@ -174,3 +174,34 @@ def test_without_labels_nothing_is_found(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     model = abuse.train_on(docs, spark.createDataFrame([], "doc_id long, annotator string, category string"))
     assert model.threshold > 1 and abuse.abuse_scores(docs, model).count() == 1
+
+
+def scripts(seed, n):
+    r = random.Random(seed)
+    calm = {
+        "han": "提交之前请先检查缓存目录是否已经清空否则旧的索引会被重新读取然后再次运行测试", "thai": "กรุณาตรวจสอบแคชก่อนส่งงานทุกครั้งเพื่อให้ระบบทำงานได้ดีและรวดเร็ว",
+        "cyrillic": "перед отправкой проверьте каталог кэша иначе старый индекс будет прочитан заново при запуске", "latin": "the build of this module was slow so we cache the parsed tree and drop stale rows",
+    }
+    bad = {"han": ["你是白痴", "白痴滚出去", "你这个白痴"], "thai": ["ไอ้โง่ออกไป", "แกมันโง่", "คนโง่อย่างแก"], "cyrillic": ["ты человеконенавистник", "уйди человеконенавистник", "вот человеконенавистник"], "latin": ["you are/a_worthless.disgusting_piece/of_garbage", "a_worthless/disgusting.piece", "path/of/worthless.garbage_you"]}
+    texts, labels, kinds = [], [], []
+    for k in range(n):
+        kind = list(calm)[k % 4]
+        words = calm[kind].split() if " " in calm[kind] else list(calm[kind])
+        words = [r.choice(words) for _ in range(r.randrange(20, 90))]
+        at, yes = r.randrange(len(words)), k // 4 % 2
+        if yes:
+            words[at:at] = [r.choice(bad[kind])]
+        texts.append((" " if kind in ("cyrillic", "latin") else "").join(words))
+        labels.append(yes)
+        kinds.append(kind)
+    return texts, labels, kinds
+
+
+def test_insults_in_any_script():
+    texts, labels, _ = scripts(1, 640)
+    model = abuse.train(texts, labels, steps=300)
+    unseen, truth, kinds = scripts(2, 240)
+    found = abuse.score_texts(model, pa.array(unseen)) >= model.threshold
+    for kind in sorted(set(kinds)):
+        here = np.array([k == kind for k in kinds])
+        assert (found[here] == np.array(truth)[here]).mean() > 0.93, kind
