@@ -206,38 +206,46 @@ def _sigmoid(x):
 
 
 def _recur(g, u, back: bool, keep: bool):
-    """Hidden states of one direction; ``g``: inputs (step, window, 3 x hidden) already projected."""
+    """Hidden states of one direction, and with ``keep`` what ``_recur_back`` needs; ``g``: inputs (step, window, 3 x hidden) already projected."""
     import numpy as np
 
     steps, n, width = g.shape
     d = width // 3
-    h, out, cache = np.zeros((n, d), "f4"), np.empty((steps, n, d), "f4"), []
+    h, out = np.zeros((n, d), "f4"), np.empty((steps, n, d), "f4")
+    was, zr, q, c = (np.empty((steps, n, k), "f4") for k in (d, 2 * d, d, d)) if keep else (None,) * 4
     for t in range(steps - 1, -1, -1) if back else range(steps):
         m = h @ u
-        zr = _sigmoid(g[t, :, : 2 * d] + m[:, : 2 * d])
-        z, r, q = zr[:, :d], zr[:, d:], m[:, 2 * d :]
-        c = np.tanh(g[t, :, 2 * d :] + r * q)
+        gate = _sigmoid(g[t, :, : 2 * d] + m[:, : 2 * d])
+        z, new = gate[:, :d], m[:, 2 * d :]
         if keep:
-            cache.append((t, h, z, r, q, c))
-        h = c + z * (h - c)
+            was[t], zr[t], q[t] = h, gate, new
+        new = np.tanh(g[t, :, 2 * d :] + gate[:, d:] * new)
+        if keep:
+            c[t] = new
+        h = new + z * (h - new)
         out[t] = h
-    return out, cache
+    return out, (was, zr, q, c)
 
 
-def _recur_back(dout, u, cache):
+def _recur_back(dout, u, cache, back: bool):
+    """Gradients of the inputs and of ``u``; all that doesn't hang on the step before is done for all steps at once."""
     import numpy as np
 
-    n, d = cache[0][1].shape
-    dg, du, dh = np.empty((len(cache), n, 3 * d), "f4"), np.zeros_like(u), np.zeros((n, d), "f4")
-    for t, h, z, r, q, c in reversed(cache):
-        dh = dh + dout[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz, dr = dh * (h - c) * z * (1 - z), dc * q * r * (1 - r)
-        dg[t, :, :d], dg[t, :, d : 2 * d], dg[t, :, 2 * d :] = dz, dr, dc
-        dm = np.concatenate([dz, dr, dc * r], axis=1)
-        du += h.T @ dm
-        dh = dh * z + dm @ u.T
-    return dg, du
+    was, zr, q, c = cache
+    steps, n, d = was.shape
+    z, r = zr[:, :, :d], zr[:, :, d:]
+    by_c, by_z, by_r = (1 - z) * (1 - c * c), (was - c) * z * (1 - z), q * r * (1 - r)
+    dg, dm, dh, turned = np.empty((steps, n, 3 * d), "f4"), np.empty((steps, n, 3 * d), "f4"), np.zeros((n, d), "f4"), np.ascontiguousarray(u.T)
+    for t in range(steps) if back else range(steps - 1, -1, -1):
+        dh += dout[t]
+        dc = dh * by_c[t]
+        np.multiply(dh, by_z[t], out=dg[t, :, :d])
+        np.multiply(dc, by_r[t], out=dg[t, :, d : 2 * d])
+        dg[t, :, 2 * d :] = dc
+        dm[t, :, : 2 * d] = dg[t, :, : 2 * d]
+        np.multiply(dc, r[t], out=dm[t, :, 2 * d :])
+        dh = dh * z[t] + dm[t] @ turned
+    return dg, was.reshape(-1, d).T @ dm.reshape(-1, 3 * d)
 
 
 def _attend(p, h, mask, keep: bool):
@@ -313,7 +321,8 @@ class Trainer:
         h, starts, length, first, data = fold_words(pa.array(texts, pa.string()))
         known, where, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         text_of = np.repeat(np.arange(len(texts)), np.diff(first))
-        docs = np.bincount(np.unique(of.astype("i8") * len(texts) + text_of) // max(1, len(texts)), minlength=len(known))
+        pairs = np.unique(of.astype("i8") * len(texts) + text_of)
+        docs = np.bincount(pairs // max(1, len(texts)), minlength=len(known))
         self.model = new_model(known[docs >= 2] if (docs >= 2).any() else known[:1], seed=seed)
         self.number = self.model.number(known)
         word, gram = trigrams(data, starts[where], length[where])
@@ -323,9 +332,8 @@ class Trainer:
         self.number, self.of = np.append(self.number, 0), np.append(of, len(known))
         self.text, self.begin, self.end = windows_of(first)
         # how much each word speaks for labelled texts
-        pairs = np.unique(np.stack([of, text_of], 1), axis=0) if len(of) else np.zeros((0, 2), "i8")
-        yes = self.labels[pairs[:, 1]] > 0.5 if len(pairs) else np.zeros(0, dtype=bool)
-        a, b = np.bincount(pairs[yes, 0], minlength=len(known)), np.bincount(pairs[~yes, 0], minlength=len(known))
+        yes = self.labels[pairs % max(1, len(texts))] > 0.5
+        a, b = (np.bincount(pairs[x] // max(1, len(texts)), minlength=len(known)) for x in (yes, ~yes))
         odds = np.log((a + 0.5) / (max(1, (self.labels > 0.5).sum()) + 1)) - np.log((b + 0.5) / (max(1, (self.labels <= 0.5).sum()) + 1))
         self.odds = np.append(np.where(a >= 2, np.maximum(odds, 0), 0), 0).astype("f4")
         self.m = {k: np.zeros_like(v) for k, v in self.model.p.items()}
@@ -344,12 +352,14 @@ class Trainer:
         import numpy as np
 
         p = self.model.p
-        u, of = np.unique(w, return_inverse=True)
+        there = np.zeros(len(self.number), dtype=bool)
+        there[w] = True
+        u, of = np.flatnonzero(there), (np.cumsum(there) - 1)[w]
         g = self.grams[u]
         g = g[:, : max(1, int((g >= 0).sum(1).max(initial=0)))]
         n = np.maximum(1, (g >= 0).sum(1, keepdims=True)).astype("f4")
         chars = np.where((g >= 0)[:, :, None], p["char"][np.maximum(g, 0)], 0).sum(1) / n
-        return u, of.reshape(w.shape), g, n, chars.astype("f4")
+        return u, of, g, n, chars.astype("f4")
 
     def logits(self, windows, block: int = 4096):
         import numpy as np
@@ -390,8 +400,8 @@ class Trainer:
         grad["v"] = np.einsum("tn,tna->a", de, k)
         grad["a"], grad["ab"] = np.einsum("tnd,tna->da", states, dk, optimize=True), dk.sum((0, 1))
         dstates = a[:, :, None] * dpool + dk @ p["a"].T
-        dgf, grad["uf"] = _recur_back(dstates[:, :, :d], p["uf"], kf)
-        dgb, grad["ub"] = _recur_back(dstates[:, :, d:], p["ub"], kb)
+        dgf, grad["uf"] = _recur_back(dstates[:, :, :d], p["uf"], kf, False)
+        dgb, grad["ub"] = _recur_back(dstates[:, :, d:], p["ub"], kb, True)
         flat = x.reshape(-1, x.shape[2])
         dx = np.zeros_like(flat)
         for name, dg in (("f", dgf), ("b", dgb)):
@@ -421,7 +431,7 @@ def _sum_rows(index, values, size: int):
     """Sums of the rows of ``values`` by ``index``."""
     import numpy as np
 
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype("u2") if size <= 1 << 16 else index, kind="stable")  # short numbers are sorted in no time
     i = index[order]
     begin = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, "i8")
     out = np.zeros((size, values.shape[1]), "f4")
