@@ -65,3 +65,14 @@ def orphaned_blobs(blobs: DataFrame, files: DataFrame, files_log: DataFrame, rep
     gone = available(blobs, repo_id).select("blob_id").join(files.select(F.col("blob_id").alias("_b")), F.col("blob_id") == F.col("_b"), "left_anti").distinct()
     paths = files_log.where("blob_id IS NOT NULL").select(F.col("blob_id").alias("_b"), "path").distinct()
     return gone.join(paths, F.col("blob_id") == F.col("_b"), "left").select("blob_id", "path")
+
+
+def size_bands(blobs: DataFrame, size: str = "blob_size") -> DataFrame:
+    """Number and bytes of blobs by the number of digits of their size, and the share of all bytes in ten-thousandths: ``digits, files, bytes, per_10000``.
+
+    Bytes are exact (decimal); null sizes form a band of their own without bytes.
+    """
+    big = F.col(size).cast("decimal(20,0)")
+    bands = blobs.groupBy(F.length(F.col(size).cast("string")).alias("digits")).agg(F.count("*").alias("files"), F.sum(big).cast("decimal(38,0)").alias("bytes"))
+    part = F.when(F.col("_all") == 0, 0).otherwise(F.expr("cast(cast(bytes as decimal(30,0)) * 10000 div _all as bigint)"))
+    return bands.withColumn("_all", blobs.agg(F.sum(big)).scalar()).select("digits", "files", "bytes", F.coalesce(part, F.lit(0)).cast("long").alias("per_10000"))

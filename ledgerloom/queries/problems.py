@@ -14,6 +14,7 @@ from ..operators.deliveries import first_delivery
 from ..operators.history import attribute_history
 from ..operators.references import existence_deltas, key_states, orphan_keys, orphan_references, reference_deltas
 from ..operators.scandiff import scan_changes
+from ..session import stage
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -110,7 +111,18 @@ def p5_state(spark: SparkSession, sf: str) -> DataFrame:
     return file_state(spark, sf).select("path", "blob_id", "valid_from", "uid")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_repository_names, p3_found, p3_counts, p4_found, p4_by_month, p4_orphan_keys, p5_found, p5_state)}
+def p5_on_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The same set of paths, from the state as of the median time (paths that were deleted by then are gone from it) and the rest of the feed; most paths of the
+    base are untouched by it."""
+    values, alive = {"blob_id": clean_id("blob_id"), "valid_from": F.col("valid_from")}, F.col("blob_id").isNotNull()
+    log = first_delivery(_t(spark, sf, "files_log"), {c: F.col(c) for c in ("path", "blob_id", "valid_from", "valid_from_ns")})
+    middle = log.agg(F.percentile_approx("valid_from_ns", 0.5)).first()[0]
+    early = (F.col("valid_from_ns") <= middle) | F.col("valid_from_ns").isNull()
+    base = stage(apply_feed(log.where(early), "path", values, alive), "base")
+    return apply_feed(log.where(~early), "path", values, alive, base=base).select("path", "blob_id", "valid_from", "uid")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_repository_names, p3_found, p3_counts, p4_found, p4_by_month, p4_orphan_keys, p5_found, p5_state, p5_on_base)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 
@@ -188,5 +200,6 @@ ORACLES = {
  SELECT 'blobs_log', repo_id, count(*), CASE WHEN repo_id IN (SELECT k FROM repo_first) THEN 'deleted' ELSE 'missing' END
  FROM versions WHERE payload AND valid_to_ns = 0 AND repo_id NOT IN (SELECT repo_id FROM named WHERE payload AND valid_to_ns = 0) GROUP BY repo_id""",
     "p5_found": f"SELECT path, uid FROM ({_P5}) WHERE blob_id IS NOT NULL",
+    "p5_on_base": f"SELECT path, {_id('blob_id')} AS blob_id, valid_from, uid FROM ({_P5}) WHERE blob_id IS NOT NULL",
     "p5_state": f"SELECT path, {_id('blob_id')} AS blob_id, valid_from, uid FROM ({_P5}) WHERE blob_id IS NOT NULL",
 }

@@ -532,11 +532,7 @@ def q35_status_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT digits, files, bytes::HUGEINT::VARCHAR AS bytes, CASE WHEN t = 0 THEN 0 ELSE ((bytes::HUGEINT * 10000) // t::HUGEINT)::BIGINT END AS per_10000 FROM (SELECT length(CAST(blob_size AS VARCHAR)) AS digits, count(*) AS files, sum(blob_size::DECIMAL(38,0)) AS bytes, sum(sum(blob_size::DECIMAL(38,0))) OVER () AS t FROM here GROUP BY 1)")
 def q36_size_bands(spark: SparkSession, sf: str) -> DataFrame:
     inv = fixture(spark, sf)
-    rows = availability.available(inv.current_blobs(), inv.here)
-    bands = rows.groupBy(F.length(F.col("blob_size").cast("string")).alias("digits")).agg(F.count("*").alias("files"), F.sum(F.col("blob_size").cast("decimal(20,0)")).cast("decimal(38,0)").alias("bytes"))
-    total = rows.agg(F.sum(F.col("blob_size").cast("decimal(20,0)"))).scalar()
-    part = F.when(F.col("t") == 0, 0).otherwise(F.expr("cast(cast(bytes as decimal(30,0)) * 10000 div t as bigint)"))
-    return bands.withColumn("t", total).select("digits", "files", F.col("bytes").cast("string").alias("bytes"), F.coalesce(part, F.lit(0)).cast("long").alias("per_10000"))
+    return availability.size_bands(availability.available(inv.current_blobs(), inv.here)).withColumn("bytes", F.col("bytes").cast("string"))
 
 
 @query("SELECT event_id, ts, (SELECT count(*) FROM events) AS total FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -633,6 +629,15 @@ def q40_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.upsert(_empty(rows), rows, "user_id", "value", "event_id")
 
 
+@query(f"SELECT user_id, value FROM (SELECT * FROM {_ACTIONS} WHERE action <> 'nochange' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE action = 'change'")
+def q40_upsert_onto_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The table that the first half of the actions left, under the second half."""
+    rows = _actions(spark, sf)
+    middle = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    table = stage(upsert.upsert(_empty(rows), rows.where(F.col("event_id") <= middle), "user_id", "value", "event_id"), "table")
+    return upsert.upsert(table, rows.where(F.col("event_id") > middle), "user_id", "value", "event_id")
+
+
 @query(f"SELECT count(*) AS processed, count(*) FILTER (action = 'change' OR (action = 'delete' AND was.a = 'change')) AS mutations FROM {_EFFECTS}")
 def q40_upsert_counts(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.counts(q40_upsert_trace(spark, sf))
