@@ -378,8 +378,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 24, ex
     number = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     stock = stock_runs(items) if blocks > 1 else None
     index = build_index(documents) if index is None else index
-    # a shard takes long for its few bytes, so shards are dealt out one by one rather than by file size
-    dealt = index.repartition(max(tasks(index.sparkSession), -(-index.count() // 8)))
+    # a shard takes long for its few bytes: where its files make less tasks than there are to share, shards are dealt out one by one
+    dealt = index if index.rdd.getNumPartitions() >= 4 * tasks(index.sparkSession) else index.repartition(max(tasks(index.sparkSession), -(-index.count() // 8)))
     found = [_ask(dealt, items.where(number == k) if blocks > 1 else items, rule, stock) for k in range(blocks)]
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"))
 
