@@ -62,15 +62,17 @@ def encoder(ranks: dict[bytes, int]) -> Callable[[str | None], list[int]]:
 
 
 def count_tokens(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
-    """The columns of ``documents`` but ``text``, with ``n_tokens`` of the whole text, and with ``ids`` the ``tokens`` themselves; null and empty texts
-    have none. The vocabulary is read by the driver and sent to the workers (under 1 MB).
+    """The columns of ``documents`` but ``text``, with ``n_tokens`` of the whole text, and with ``ids`` the ``tokens`` themselves, packed into two bytes each (four
+    for vocabularies beyond 65 536); null and empty texts have none. The vocabulary is read by the driver and sent to the workers (under 1 MB).
     """
-    shared = documents.sparkSession.sparkContext.broadcast(_ranks(vocabulary))
+    ranks = _ranks(vocabulary)
+    shared, kind = documents.sparkSession.sparkContext.broadcast(ranks), "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
     keep = [c for c in documents.columns if c != text]
-    made = [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())]
     schema = T.StructType([documents.schema[c] for c in keep] + made[: 1 + ids])
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         encode = encoder(shared.value)
@@ -78,7 +80,7 @@ def count_tokens(documents: DataFrame, text: str = "text", vocabulary: str = VOC
             for k, n in slices(b.column(len(keep))):
                 part = b.slice(k, n)
                 tokens = [encode(t) for t in part.column(len(keep)).to_pylist()]
-                new = [pa.array(map(len, tokens), pa.int64()), pa.array(tokens, pa.list_(pa.int32()))] if ids else [pa.array(map(len, tokens), pa.int64())]
+                new = [pa.array(map(len, tokens), pa.int64())] + ([pa.array([np.array(t, kind).tobytes() for t in tokens], pa.binary())] if ids else [])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *new], names=schema.names)
 
     return documents.select(*keep, text).mapInArrow(run, schema)
@@ -159,7 +161,7 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 
 def tokens_by_document(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
-    """Columns ``doc_id, source, n_tokens`` (and ``tokens`` with ``ids``) of all documents, written into the shared folder."""
+    """Columns ``doc_id, source, n_tokens`` (and packed ``tokens`` with ``ids``) of all documents, written into the shared folder."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), clean_source(source).alias("source"), F.col(text).alias("text"))
     return stage(count_tokens(rows, "text", vocabulary, ids), "tokens")
 
@@ -230,13 +232,28 @@ def mix_blocks(tokens: DataFrame, targets: DataFrame, block_tokens: int = 512, s
     """
     slot, names = _slots(tokens, targets, block_tokens, shard_slots, seed)
     pieces = pack_blocks(tokens.where(F.col("source").isin(names)), block_tokens, seed, ids=True)
-    blocks = pieces.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
-    blocks = blocks.select("source", "block", F.flatten("parts.part").alias("tokens"))
-    return slot.hint("merge").join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "tokens")
+    blocks = pieces.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "n_tokens", "part"))).alias("parts"))
+    whole = F.aggregate("parts", F.lit(bytearray()), lambda done, x: F.concat(done, x["part"]))
+    blocks = blocks.select("source", "block", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["n_tokens"]).alias("n"), whole.alias("packed"))
+    rows = slot.hint("merge").join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "n", "packed")
+    names = ["shard", "slot", "source", "block", "pass"]
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            n, packed = b.column(5).to_numpy(), b"".join(b.column(6).to_pylist())
+            ids = np.frombuffer(packed, f"<u{len(packed) // max(1, int(n.sum()))}" if len(n) else "<u2").astype("i4")
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype("i4")), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), tokens], names=[*names, "tokens"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def pack_blocks(tokens: DataFrame, block_tokens: int, seed: int = 7, ids: bool = False) -> DataFrame:
-    """Columns ``source, block, at, doc_id, first_token, n_tokens`` (and ``part``, the tokens, with ``ids``): where each document's tokens lie in its source's blocks.
+    """Columns ``source, block, at, doc_id, first_token, n_tokens`` (and ``part``, the packed tokens, with ``ids``): where each document's tokens lie in its source's blocks.
 
     The order is that of hash groups and hashes within them. Offsets are prefix sums in two steps, group totals first, so that
     no source is ever summed in one task. Documents without tokens or without source lie nowhere. A document is cut into its pieces in one step, which costs
@@ -253,10 +270,11 @@ def pack_blocks(tokens: DataFrame, block_tokens: int, seed: int = 7, ids: bool =
     rows = rows.withColumn("start", F.col("base") + F.col("until") - F.col("n_tokens"))
     size = F.lit(block_tokens)
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n_tokens") - 1) / size)
+    width = F.floor(F.octet_length("tokens") / F.col("n_tokens")).cast("int") if ids else None
 
     def piece(block: Column) -> Column:
         head, tail = F.greatest(F.col("start"), block * size), F.least(F.col("start") + F.col("n_tokens"), (block + 1) * size)
-        part = [F.slice("tokens", (head - F.col("start")).cast("int") + 1, (tail - head).cast("int")).alias("part")] if ids else []
+        part = [F.substring("tokens", width * (head - F.col("start")).cast("int") + 1, width * (tail - head).cast("int")).alias("part")] if ids else []
         return F.struct(block.alias("block"), (head - block * size).alias("at"), "doc_id", (head - F.col("start")).alias("first_token"), (tail - head).alias("n_tokens"), *part)
 
     return rows.select("source", F.inline(F.transform(F.sequence(first, last), piece)))

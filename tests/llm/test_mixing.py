@@ -103,7 +103,7 @@ def test_blocks_hold_each_token_once_a_pass(spark):
     docs = [(k, " ".join(f"w{k}x{j}" for j in range(k % 40)), "s", ) for k in range(300)] + [(7, "same id again", "s"), (7, "same id again", "s"), (8, None, "s")]
     documents, targets = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([("s", 3.0, 2)], "source string, target_share double, max_repeats int")
     tokens = mixing.tokens_by_document(documents, ids=True)
-    every = collections.Counter(t for r in tokens.collect() for t in r.tokens)
+    every = collections.Counter(int(t) for r in tokens.collect() for t in np.frombuffer(r.tokens, '<u2'))
     rows = mixing.mix_blocks(tokens, targets, block_tokens=64, shard_slots=7).collect()
     assert collections.Counter(t for r in rows for t in r.tokens) == {t: 2 * n for t, n in every.items()}
     assert max(collections.Counter(r.shard for r in rows).values()) == 7 and {len(r.tokens) for r in rows} <= {64, sum(every.values()) % 64}
