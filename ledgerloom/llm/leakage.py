@@ -31,6 +31,8 @@ PART_BYTES = 8 << 20
 RARE = 4
 #: Pairs are aligned in groups of at most so many cells.
 CELLS = 4_000_000
+#: Pairs with more repeated words than that are aligned one by one.
+MANY = 5000
 INDEX = "doc_ids binary, n_words binary, terms binary, ends binary, places binary"
 
 
@@ -228,6 +230,16 @@ def in_order(words, streams, rule: Rule, costs=(1, 2)):
     return alive
 
 
+def repeated(stream, words):
+    """All (place in ``stream``, place in ``words``) of equal terms, by place in the stream."""
+    import numpy as np
+
+    order = np.argsort(words, kind="stable")
+    lo, hi = (np.searchsorted(words[order], stream, side=x) for x in ("left", "right"))
+    at, of = _ranges(lo, hi - lo)
+    return of, order[at]
+
+
 def phrases(word, place, rule: Rule) -> bool:
     """Whether repeated words (``word``: place in the item, ``place``: in the document) form an unchanged phrase of ``window`` words."""
     import numpy as np
@@ -248,7 +260,11 @@ def passages(hits: list, rule: Rule):
 
     skip, found = rule.longest // rule.exchanged + 1, np.zeros(len(hits), dtype=bool)
     ring = rule.longest + skip
-    order = np.argsort([len(w) for w, _ in hits], kind="stable")
+    count = np.array([len(w) for w, _ in hits], "i8")
+    for k in np.flatnonzero(count > MANY):
+        found[k] = _passage(*hits[k], rule)
+    order = np.argsort(count, kind="stable")
+    order = order[count[order] <= MANY]
     while len(order):
         size = max(1, min(len(order), CELLS // (ring * max(1, len(hits[order[-1]][0])))))
         group, order = order[-size:], order[:-size]
@@ -274,6 +290,33 @@ def passages(hits: list, rule: Rule):
     return found
 
 
+def _passage(word, place, rule: Rule) -> bool:
+    """The same for one list, however long: a repeated word only looks at those of the few words before it in the item."""
+    from collections import deque
+
+    import numpy as np
+
+    skip = rule.longest // rule.exchanged + 1
+    ring, recent = rule.longest + skip, defaultdict(deque)
+    starts = np.arange(ring)
+    for i, p in zip(word.tolist(), place.tolist(), strict=True):
+        best = np.zeros(ring, "i2")
+        for j in range(max(0, i - skip), i):
+            if j in recent:
+                while recent[j] and recent[j][0][0] < p - rule.near - 1:
+                    recent[j].popleft()
+                for q, state in recent[j]:
+                    if q < p:
+                        np.maximum(best, state, out=best)
+        length = (i - starts) % ring + 1
+        best = np.where((best > 0) & (length <= rule.longest), best + 1, 0).astype("i2")
+        best[i % ring] = 1
+        recent[i].append((p, best))
+        if ((length >= rule.window) & (rule.exchanged * best.astype("i4") >= (rule.exchanged - 1) * length)).any():
+            return True
+    return False
+
+
 def _padded(rows: list, fill: int):
     import numpy as np
 
@@ -289,7 +332,7 @@ def _search(items: Items, rule: Rule):
 
     flat = np.concatenate(items.words) if items.words else np.zeros(0, "i4")
     n_own = np.array([len(w) for w in items.words], "i8")
-    first, total = np.append(0, np.cumsum(n_own)), len(items.terms)
+    first, total, longest = np.append(0, np.cumsum(n_own)), len(items.terms), int(n_own.max(initial=1))
 
     def run(row: dict):
         ids, n, terms, ends, places = unpack(row)
@@ -316,49 +359,56 @@ def _search(items: Items, rule: Rule):
         held = held[np.append(True, held[1:] != held[:-1])]  # which terms the pieces hold, by term
         edge = np.searchsorted(held, np.arange(total + 1) * size)
         rare = np.flatnonzero(rare_words(flat, first, count, rule))
-        item = np.searchsorted(first, rare, side="right") - 1
-        t = flat[rare]
-        which, of = _ranges(edge[t], edge[t + 1] - edge[t])
-        pairs, counts = np.unique(item[of] * size + held[which] % size, return_counts=True)
-        pairs = pairs[counts >= rule.rare]
-        k, piece = pairs // size, pairs % size
+        item, t = np.searchsorted(first, rare, side="right") - 1, flat[rare]
         stream = np.full(int(start[-1]), -1, "i4")
         stream[at] = term
-        out, left = [], []
-        for group in np.array_split(np.arange(len(k)), -(-len(k) * int(n_own.max()) // CELLS)) if len(k) else []:
-            own = _padded([items.words[i] for i in k[group]], -1)
-            key = np.where(own >= 0, own * size + piece[group][:, None], -1)
-            place = np.minimum(np.searchsorted(held, key), len(held) - 1)
-            left += group[enough_words(held[place] == key, rule)].tolist()
-        left = sorted(left, key=lambda x: int(k[x]))
-        todo, mark, last = [], np.zeros(total + 1, dtype=bool), -1
-        for x in left:
-            if k[x] != last:
-                mark[:] = False
-                last = int(k[x])
-                mark[items.words[last]] = True
-            d = int(np.searchsorted(piece_of, piece[x], side="right") - 1)
-            a = int(base[d] + (piece[x] - piece_of[d]) * rule.span)
-            s = stream[a : min(a + 2 * rule.span, int(start[d + 1]))]
-            where = np.flatnonzero(mark[s])
-            todo.append((d, last, s[where], where))
-        todo.sort(key=lambda x: len(x[2]))
-        while todo:
-            step = max(1, CELLS // (4 * max(1, len(todo[-1][2]))))
-            group, todo = todo[-step:], todo[:-step]
-            mine = in_order(_padded([items.words[i] for _, i, _, _ in group], -2), _padded([s for _, _, s, _ in group], -1), rule)
-            rest, hits = [], []
-            for (d, i, s, where), good in zip(group, mine, strict=True):
-                if not good:
-                    continue
-                a, w = np.nonzero(s[:, None] == items.words[i])
-                if phrases(w, where[a], rule):
-                    out.append((int(ids[d]), i, True))
-                else:
-                    rest.append((d, i))
-                    hits.append((w, where[a]))
-            out += [(int(ids[d]), i, False) for (d, i), ok in zip(rest, passages(hits, rule), strict=True) if ok]
-        return out
+
+        def candidates(rare_item, t):
+            """Items and pieces that hold enough of the words looked up, and enough words at all."""
+            which, of = _ranges(edge[t], edge[t + 1] - edge[t])
+            pairs, counts = np.unique(rare_item[of] * size + held[which] % size, return_counts=True)
+            pairs = pairs[counts >= rule.rare]
+            k, piece = pairs // size, pairs % size
+            for group in np.array_split(np.arange(len(k)), -(-len(k) * longest // CELLS)) if len(k) else []:
+                own = _padded([items.words[i] for i in k[group]], -1)
+                key = np.where(own >= 0, own * size + piece[group][:, None], -1)
+                place = np.minimum(np.searchsorted(held, key), len(held) - 1)
+                good = enough_words(held[place] == key, rule)
+                yield k[group][good], piece[group][good]
+
+        def compare(k, piece):
+            out, todo, mark, last = [], [], np.zeros(total + 1, dtype=bool), -1
+            for i, x in zip(k.tolist(), piece.tolist(), strict=True):
+                if i != last:
+                    mark[:] = False
+                    mark[items.words[i]], last = True, i
+                d = int(np.searchsorted(piece_of, x, side="right") - 1)
+                a = int(base[d] + (x - piece_of[d]) * rule.span)
+                s = stream[a : min(a + 2 * rule.span, int(start[d + 1]))]
+                where = np.flatnonzero(mark[s])
+                todo.append((d, i, s[where], where))
+            todo.sort(key=lambda x: len(x[2]))
+            while todo:
+                step = max(1, CELLS // (4 * max(longest, len(todo[-1][2]))))
+                group, todo = todo[-step:], todo[:-step]
+                mine = in_order(_padded([items.words[i] for _, i, _, _ in group], -2), _padded([s for _, _, s, _ in group], -1), rule)
+                rest, hits = [], []
+                for (d, i, s, where), good in zip(group, mine, strict=True):
+                    if not good:
+                        continue
+                    a, w = repeated(s, items.words[i])
+                    if phrases(w, where[a], rule):
+                        out.append((int(ids[d]), i, True))
+                    else:
+                        rest.append((d, i))
+                        hits.append((w, where[a]))
+                out += [(int(ids[d]), i, False) for (d, i), ok in zip(rest, passages(hits, rule), strict=True) if ok]
+            return out
+
+        # items are taken in groups whose words looked up have a bounded number of postings
+        cost = np.cumsum(np.bincount(item, edge[t + 1] - edge[t], len(n_own)))[item] // CELLS if len(item) else np.zeros(0)
+        cuts = np.flatnonzero(np.diff(cost, prepend=-1, append=-1)) if len(item) else []
+        return [x for a, b in zip(cuts, cuts[1:], strict=False) for k, piece in candidates(item[a:b], t[a:b]) for x in compare(k, piece)]
 
     return run
 

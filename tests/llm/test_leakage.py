@@ -173,6 +173,24 @@ def test_every_pair_against_brute_force(spark, seed, vocabulary, near):
     assert {(x.doc_id, x.item_id) for x in rows if x.kind == "phrase"} == {(d, k) for d, k in want if phrase(items[k], docs[d])}
 
 
+def test_long_lists_and_small_groups_give_the_same(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(8)
+    items = [[f"v{r.randrange(9)}" for _ in range(r.randrange(12, 40))] for _ in range(6)]
+    docs = [[r.choice([f"v{r.randrange(9)}", "zz", f"v{r.randrange(9)}"]) for _ in range(r.choice([20, 60, 200]))] for _ in range(25)]
+    docs += [i[: r.randrange(12, 40)] for i in items]
+    frames = [spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(x)], f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id"))]
+    rule = leakage.Rule(12, 6, 2)
+    want = {(d, k) for d, t in enumerate(docs) for k, i in enumerate(items) if brute(i, t, rule)}
+    assert {tuple(x) for x in leakage.leaked_items(*frames, window=12, near=2).collect()} == want and want
+    monkeypatch.setattr(leakage, "MANY", 0)
+    monkeypatch.setattr(leakage, "CELLS", 50)
+    assert {tuple(x) for x in leakage.leaked_items(*frames, window=12, near=2).collect()} == want
+    a, w = leakage.repeated(np.array([3, 1, 3]), np.array([3, 2, 3, 1]))
+    assert list(zip(a.tolist(), w.tolist())) == [(0, 0), (0, 2), (1, 3), (2, 0), (2, 2)]
+
+
 def test_words_shared_with_other_items_and_lines_after_every_second_word(spark):
     own, shared = [f"own{i}" for i in range(12)], [f"shared{i}" for i in range(12)]
     rows = [(k, " ".join([*(f"x{k}y{i}" for i in range(20)), *(shared if k < 10 else [])])) for k in range(121)]
