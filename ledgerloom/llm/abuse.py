@@ -326,9 +326,8 @@ class Trainer:
         self.model = new_model(known[docs >= 2] if (docs >= 2).any() else known[:1], seed=seed)
         self.number = self.model.number(known)
         word, gram = trigrams(data, starts[where], length[where])
-        slot = np.arange(len(word)) - np.searchsorted(word, word)
-        self.grams = np.full((len(known) + 1, int(slot.max(initial=0)) + 1), -1, "i4")
-        self.grams[word, slot] = gram
+        self.gram, self.gram_n = gram, np.bincount(word, minlength=len(known) + 1)
+        self.gram_at = np.cumsum(self.gram_n) - self.gram_n
         self.number, self.of = np.append(self.number, 0), np.append(of, len(known))
         self.text, self.begin, self.end = windows_of(first)
         # how much each word speaks for labelled texts
@@ -348,18 +347,21 @@ class Trainer:
         return self.of[np.where(mask, at, len(self.of) - 1)], mask
 
     def inputs(self, w):
-        """Unique words of ``w``, their place in it, their input vectors and trigrams."""
+        """Unique words of ``w``, their place in it, their trigrams and whose each is, their number, and the mean vectors of the trigrams."""
         import numpy as np
 
         p = self.model.p
         there = np.zeros(len(self.number), dtype=bool)
         there[w] = True
         u, of = np.flatnonzero(there), (np.cumsum(there) - 1)[w]
-        g = self.grams[u]
-        g = g[:, : max(1, int((g >= 0).sum(1).max(initial=0)))]
-        n = np.maximum(1, (g >= 0).sum(1, keepdims=True)).astype("f4")
-        chars = np.where((g >= 0)[:, :, None], p["char"][np.maximum(g, 0)], 0).sum(1) / n
-        return u, of, g, n, chars.astype("f4")
+        n = self.gram_n[u]
+        whose = np.repeat(np.arange(len(u)), n)
+        g = self.gram[(self.gram_at[u] - np.cumsum(n) + n)[whose] + np.arange(len(whose))]
+        chars, some = np.zeros((len(u), p["char"].shape[1]), "f4"), np.flatnonzero(n)
+        n = np.maximum(1, n)[:, None].astype("f4")
+        if len(g):
+            chars[some] = np.add.reduceat(p["char"][g], (np.cumsum(self.gram_n[u]) - self.gram_n[u])[some], axis=0) / n[some]
+        return u, of, g, whose, n, chars
 
     def logits(self, windows, block: int = 4096):
         import numpy as np
@@ -367,7 +369,7 @@ class Trainer:
         p, out = self.model.p, []
         for k in range(0, len(windows), block):
             w, mask = self.rows(windows[k : k + block])
-            u, of, _, _, chars = self.inputs(w)
+            u, of, _, _, _, chars = self.inputs(w)
             x = np.concatenate([p["word"][self.number[u]], chars], 1)
             forth, back = x @ p["wf"] + p["cf"], x @ p["wb"] + p["cb"]
             states = np.concatenate([_recur(forth[of], p["uf"], False, False)[0], _recur(back[of], p["ub"], True, False)[0]], axis=2)
@@ -379,7 +381,7 @@ class Trainer:
 
         p = self.model.p
         w, mask = self.rows(windows)
-        u, of, g, n, chars = self.inputs(w)
+        u, of, g, whose, n, chars = self.inputs(w)
         number = self.number[u][of]
         number = np.where(self.rng.random(number.shape) < 0.25, 0, number)
         blank = self.rng.random(number.shape) < 0.05
@@ -397,8 +399,8 @@ class Trainer:
         da = np.einsum("tnd,nd->tn", states, dpool)
         de = a * (da - (a * da).sum(axis=0))
         dk = de[:, :, None] * p["v"] * (1 - k * k)
-        grad["v"] = np.einsum("tn,tna->a", de, k)
-        grad["a"], grad["ab"] = np.einsum("tnd,tna->da", states, dk, optimize=True), dk.sum((0, 1))
+        grad["v"] = de.ravel() @ k.reshape(-1, k.shape[2])
+        grad["a"], grad["ab"] = states.reshape(-1, 2 * d).T @ dk.reshape(-1, dk.shape[2]), dk.sum((0, 1))
         dstates = a[:, :, None] * dpool + dk @ p["a"].T
         dgf, grad["uf"] = _recur_back(dstates[:, :, :d], p["uf"], kf, False)
         dgb, grad["ub"] = _recur_back(dstates[:, :, d:], p["ub"], kb, True)
@@ -412,18 +414,26 @@ class Trainer:
         size = p["word"].shape[1]
         grad["word"] = _sum_rows(number.ravel(), dx[:, :size], len(p["word"]))
         dchars = _sum_rows(of.ravel(), dx[:, size:], len(u)) / n
-        r, c = np.nonzero(g >= 0)
-        grad["char"] = _sum_rows(g[r, c], dchars[r], GRAMS)
+        grad["char"] = _sum_rows(g, dchars[whose], GRAMS)
         self.steps += 1
-        norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
-        scale = min(1.0, 2.0 / (norm + 1e-9))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in grad.values()))
+        scale = np.float32(min(1.0, 2.0 / (norm + 1e-9)))
         fix1, fix2 = 1 - 0.9**self.steps, 1 - 0.999**self.steps
         for name, v in grad.items():
-            v = v * np.float32(scale)
+            v *= scale
             m, s = self.m[name], self.s[name]
-            m += 0.1 * (v - m)
-            s += 0.001 * (v * v - s)
-            p[name] -= (self.rate * (m / fix1) / (np.sqrt(s / fix2) + 1e-8)).astype("f4")
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * v
+            s *= np.float32(0.999)
+            v *= v
+            v *= np.float32(0.001)
+            s += v
+            np.sqrt(s, out=v)
+            v *= np.float32(1 / np.sqrt(fix2))
+            v += np.float32(1e-8)
+            np.divide(m, v, out=v)
+            v *= np.float32(self.rate / fix1)
+            p[name] -= v
         return float(-(weight * (target * np.log(prob + 1e-7) + (1 - target) * np.log(1 - prob + 1e-7))).sum() / weight.sum())
 
 

@@ -144,7 +144,7 @@ def test_a_text_scores_the_same_in_any_batch():
         assert abs(both[1] - alone) < 1e-6
     vectors = [abuse.word_inputs(model, model.number(h), data, starts, length) for h, starts, length, _, data in (abuse.fold_words(pa.array([x])) for x in ("17", "31337", "de1234ad9"))]
     assert all((v == vectors[0]).all() for v in vectors)
-    grams = [abuse.Trainer([f"{n} ab", "cd"], [1, 0]).grams for n in ("17", "31337")]
+    grams = [abuse.Trainer([f"{n} ab", "cd"], [1, 0]).gram for n in ("17", "31337")]
     assert (grams[0] == grams[1]).all()
 
 
