@@ -23,28 +23,33 @@ from ..session import stage
 START = -(1 << 63)
 
 
-def _deltas(history: DataFrame, key: Column, present: Column, name: str) -> DataFrame:
-    there = F.coalesce(present, F.lit(False))
-    ends = F.array(
-        F.struct(F.col("valid_from_ns").alias("ns"), there.cast("int").alias("n"), F.lit(True).alias("begins")),
-        F.struct(F.when(there & (F.col("valid_to_ns") != 0), F.col("valid_to_ns")).alias("ns"), F.lit(-1).alias("n"), F.lit(False).alias("begins")),
-    )
-    rows = history.where(key.isNotNull()).select(key.alias("key"), F.xxhash64(*history.columns).alias("salt"), F.inline(ends)).where("ns IS NOT NULL")
-    counts = {c: F.col("n") if c == name else F.lit(0) for c in ("holders", "references")}
-    return rows.select("key", "ns", "salt", *(v.alias(k) for k, v in counts.items()), (F.col("begins") if name == "holders" else F.lit(False)).alias("begins"))
+def signed_deltas(history: DataFrame, holders: tuple[Column, Column] | None = None, references: tuple[Column, Column] | None = None) -> DataFrame:
+    """Columns ``key, ns, salt, holders, references, begins``: signed changes from versions as ``attribute_history`` gives them, in one pass over these.
 
+    ``holders``: the key whose holder a version is, and whether it is one (or else only says that the key is known: ``begins`` with 0). ``references``: the key that a version
+    refers to while it is valid, and whether it does. Null keys are left out.
+    """
+    parts = []
+    for name, pair in (("holders", holders), ("references", references)):
+        if pair is not None:
+            key, there = pair[0], F.coalesce(pair[1], F.lit(False))
+            begins, one = F.lit(name == "holders"), [F.lit(int(c == name)) for c in ("holders", "references")]
+            first = F.struct(key.alias("key"), F.col("valid_from_ns").alias("ns"), *(there.cast("int") * n for n in one), begins)
+            last = F.struct(key.alias("key"), F.when(there & (F.col("valid_to_ns") != 0), F.col("valid_to_ns")).alias("ns"), *(-n for n in one), F.lit(False))
+            kind = "array<struct<key:string,ns:bigint,holders:int,references:int,begins:boolean>>"
+            parts.append(F.array(first, last).cast(kind))
+    rows = history.select(F.xxhash64(*history.columns).alias("salt"), F.inline(F.concat(*parts)))
+    return rows.where("key IS NOT NULL AND ns IS NOT NULL AND (holders <> 0 OR references <> 0 OR begins)").select("key", "ns", "salt", "holders", "references", "begins")
 
-def existence_deltas(history: DataFrame, key: Column, present: Column) -> DataFrame:
-    """Columns ``key, ns, salt, holders, references, begins``: signed changes of existence from versions as ``attribute_history`` gives them.
 
-    A version without presence gives 0: the key is known, nothing exists. Null keys are left out.
-    """
-    return _deltas(history, key, present, "holders")
+def existence_deltas(history: DataFrame, key: Column, present: Column) -> DataFrame:
+    """Changes of existence only, see ``signed_deltas``."""
+    return signed_deltas(history, holders=(key, present))
 
 
 def reference_deltas(history: DataFrame, key: Column, present: Column) -> DataFrame:
-    """The same for references: each version refers to ``key`` while it is valid, if ``present``."""
-    return _deltas(history, key, present, "references")
+    """Changes of references only, see ``signed_deltas``."""
+    return signed_deltas(history, references=(key, present))
 
 
 def key_states(deltas: DataFrame, state: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators.changefeed import apply_feed
 from ..operators.copydiff import diff_copies, diff_values
 from ..operators.deliveries import first_delivery
 from ..operators.history import attribute_history
-from ..operators.references import existence_deltas, key_states, orphan_keys, orphan_references, reference_deltas
+from ..operators.references import existence_deltas, key_states, orphan_keys, orphan_references, reference_deltas, signed_deltas
 from ..operators.scandiff import scan_changes
 from ..session import stage
 
@@ -65,8 +65,8 @@ def _changes(spark: SparkSession, sf: str) -> list[DataFrame]:
     paths = attribute_history(files, {"path": F.col("path")}, {"blob_id": clean_id("blob_id")})
     named = attribute_history(names, repo, {"named": F.col("name").isNotNull()})
     return [
-        existence_deltas(blobs, _tagged("files_log", "blob_id"), F.col("has_blob")), reference_deltas(paths, _tagged("files_log", "blob_id"), F.lit(True)),
-        existence_deltas(named, _tagged("blobs_log", "repo_id"), F.col("named")), reference_deltas(blobs, _tagged("blobs_log", "repo_id"), F.col("has_blob")),
+        signed_deltas(blobs, holders=(_tagged("files_log", "blob_id"), F.col("has_blob")), references=(_tagged("blobs_log", "repo_id"), F.col("has_blob"))),
+        reference_deltas(paths, _tagged("files_log", "blob_id"), F.lit(True)), existence_deltas(named, _tagged("blobs_log", "repo_id"), F.col("named")),
     ]
 
 
