@@ -51,12 +51,14 @@ def encoder(ranks: dict[bytes, int]) -> Callable[[str | None], list[int]]:
     long = re.compile(f"{BLANK}{{{LONG_RUN},}}")
 
     def encode(text: str | None) -> list[int]:
+        if not text or len(text) < LONG_RUN:
+            return coder.encode_ordinary(text) if text else []
         out, at = [], 0
-        for run in long.finditer(text) if text and len(text) >= LONG_RUN else ():
+        for run in long.finditer(text):
             stop = run.end() - (run.end() < len(text))
             out += coder.encode_ordinary(text[at : run.start()]) + coder._encode_single_piece(text[run.start() : stop])
             at = stop
-        return out + coder.encode_ordinary(text[at:]) if text else out
+        return out + coder.encode_ordinary(text[at:])
 
     return encode
 
@@ -79,8 +81,12 @@ def count_tokens(documents: DataFrame, text: str = "text", vocabulary: str = VOC
         for b in batches:
             for k, n in slices(b.column(len(keep))):
                 part = b.slice(k, n)
-                tokens = [encode(t) for t in part.column(len(keep)).to_pylist()]
-                new = [pa.array(map(len, tokens), pa.int64())] + ([pa.array([np.array(t, kind).tobytes() for t in tokens], pa.binary())] if ids else [])
+                texts = part.column(len(keep)).to_pylist()
+                if ids:
+                    packed = [np.array(encode(t), kind).tobytes() for t in texts]
+                    new = [pa.array([len(x) // np.dtype(kind).itemsize for x in packed], pa.int64()), pa.array(packed, pa.binary())]
+                else:
+                    new = [pa.array([len(encode(t)) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *new], names=schema.names)
 
     return documents.select(*keep, text).mapInArrow(run, schema)
