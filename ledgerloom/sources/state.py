@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.deliveries import first_delivery
 from ..operators.logs import since, watermark
+from ..operators.prefilter import likely_in
 from ..operators.reduction import fold_increment, fold_latest
 from ..session import file_system
 from .inventory import STATES, Inventory
@@ -51,7 +52,7 @@ class StateStore:
             log = inv.table(spec.table)
             old, new = log.where(F.col("log_offset") <= done[-1][1]), since(log, done[-1][1], top)
             # a delivery of a row that is known already is no news
-            known = old.select(F.col("uid").alias("_known"))
+            known = likely_in(old.select(F.col("uid").alias("_known")), F.xxhash64("_known"), new.select("uid"), F.xxhash64("uid"))
             tail = first_delivery(new, spec.columns()).join(known, F.col("uid").eqNullSafe(F.col("_known")), "left_anti")
             now = fold_increment(self.spark.read.parquet(f"{self.path}/{name}/{done[-1][2]}"), tail, spec.key, spec.values, spec.keep())
         else:
