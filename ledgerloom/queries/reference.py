@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from ..sources.inventory import Inventory
 from ..sources.logstore import LogStore
 from ..sources.state import StateStore
 from ..sources.walk import walk_files
-from ..streaming.fold import fold_files
+from ..streaming.fold import FoldSink, fold_files
 from ..streaming.progress import Heartbeats
 from ..streaming.tail import tail
 from .problems import _first, _id
@@ -568,6 +569,26 @@ def st1_streaming_fold(spark: SparkSession, sf: str) -> DataFrame:
     return state.select("path", "blob_id", "valid_from_ns")
 
 
+@query("SELECT path, blob_id, valid_from_ns, true AS failed FROM cur_files")
+def st4_failure_and_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """The second batch fails after it was written: the query fails (``failed``), and started again it goes on and counts nothing twice."""
+    base, rows = _log_files(spark, sf)
+    sink, failed = FoldSink(spark, f"{base}/state", "path", "blob_id", F.col("blob_id").isNotNull()), False
+
+    def breaks(batch: DataFrame, number: int) -> None:
+        sink.write(batch, number)
+        if number == 1:
+            raise ValueError("broken batch")
+
+    for write in (breaks, sink.write):
+        q = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log").writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            failed = True
+    return sink.state().select("path", "blob_id", "valid_from_ns", F.lit(failed).alias("failed"))
+
+
 def _drain(rows: DataFrame, base: str) -> StreamingQuery:
     q = rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
